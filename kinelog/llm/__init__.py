@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import quality, sentencepieces, sharding
 
 _QUERIES = {
+    "op1_flow_reshard": sharding.op1_flow_reshard,
+    "op6_sentence_pieces": sentencepieces.op6_sentence_pieces,
     "op8_line_quality": quality.op8_line_quality,
 }
 _ORACLES = {
