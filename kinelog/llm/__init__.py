@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import quality, sentencepieces, sharding
+from . import jaccard, lempel_ziv, quality, sentencepieces, sharding, suffixes
 
 _QUERIES = {
     "op1_flow_reshard": sharding.op1_flow_reshard,
+    "op2_sparse_suffixes": suffixes.op2_sparse_suffixes,
+    "op3_chosen_path_join": jaccard.op3_chosen_path_join,
     "op6_sentence_pieces": sentencepieces.op6_sentence_pieces,
     "op8_line_quality": quality.op8_line_quality,
+    "op9_relative_lempel_ziv": lempel_ziv.op9_relative_lempel_ziv,
 }
 _ORACLES = {
     "op8_line_quality": quality.ORACLE,
