@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from . import jaccard, lempel_ziv, quality, sentencepieces, sharding, suffixes
+from . import decontamination, jaccard, lempel_ziv, quality, sentencepieces, sharding, suffixes, urls
 
 _QUERIES = {
     "op1_flow_reshard": sharding.op1_flow_reshard,
     "op2_sparse_suffixes": suffixes.op2_sparse_suffixes,
     "op3_chosen_path_join": jaccard.op3_chosen_path_join,
+    "op4_redirect_equivalence": urls.op4_redirect_equivalence,
+    "op5_string_tiling": decontamination.op5_string_tiling,
     "op6_sentence_pieces": sentencepieces.op6_sentence_pieces,
     "op8_line_quality": quality.op8_line_quality,
     "op9_relative_lempel_ziv": lempel_ziv.op9_relative_lempel_ziv,
 }
 _ORACLES = {
+    "op4_redirect_equivalence": urls.ORACLE,
     "op8_line_quality": quality.ORACLE,
 }
 
