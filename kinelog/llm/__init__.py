@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard, lempel_ziv, quality, sentencepieces, sharding, suffixes, urls
+from . import decontamination, jaccard, language, lempel_ziv, personal, quality, sentencepieces, sharding, suffixes, urls
 
 _QUERIES = {
     "op1_flow_reshard": sharding.op1_flow_reshard,
@@ -11,8 +11,10 @@ _QUERIES = {
     "op4_redirect_equivalence": urls.op4_redirect_equivalence,
     "op5_string_tiling": decontamination.op5_string_tiling,
     "op6_sentence_pieces": sentencepieces.op6_sentence_pieces,
+    "op7_logistic_language": language.op7_logistic_language,
     "op8_line_quality": quality.op8_line_quality,
     "op9_relative_lempel_ziv": lempel_ziv.op9_relative_lempel_ziv,
+    "op10_random_field": personal.op10_random_field,
 }
 _ORACLES = {
     "op4_redirect_equivalence": urls.ORACLE,
