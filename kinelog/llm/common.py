@@ -63,3 +63,8 @@ def mapped(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[Se
             )
 
     return df.mapInArrow(run, ddl)
+
+
+def carried(docs: DataFrame, names: Sequence[str]) -> str:
+    """DDL of columns that an operator hands on unchanged, after its own."""
+    return "".join(f", `{n}` {docs.schema[n].dataType.simpleString()}" for n in names)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, mapped, table
+from .common import carried, chunks, mapped, table
 from .shingles import gram_hashes, mixed
 
 #: Fixed values.
@@ -167,10 +167,10 @@ def _slices(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     yield part
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, contaminated, items (those at COVERAGE or more, sorted), max_coverage for each row of ``docs`` (doc_id, text)."""
+def contaminated(docs: DataFrame, benchmark: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_tokens, contaminated, items (those at COVERAGE or more, sorted), max_coverage for each row of ``docs`` (doc_id, text), and columns to carry."""
     context = docs.sparkSession.sparkContext
-    found = docs.select("doc_id", "text", F.lit(0).cast("long").alias("n_tokens"), F.array().cast("array<long>").alias("items"), F.lit(0.0).alias("max_coverage"))
+    found = docs.select("doc_id", "text", F.lit(0).cast("long").alias("n_tokens"), F.array().cast("array<long>").alias("items"), F.lit(0.0).alias("max_coverage"), *carry)
     for part in _slices(benchmark):  # each slice is one more step of the same stage, without a shuffle
         shared = context.broadcast(part)
 
@@ -188,10 +188,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                             over.append(item)
                     for c, v in zip(out, (len(ids), sorted(over, key=lambda x: (x is None, x)), best)):
                         c.append(v)
-                yield [batch.column(0), batch.column(1), *out]
+                yield [batch.column(0), batch.column(1), *out, *batch.columns[5:]]
 
-        found = mapped(found, work, "doc_id long, text string, n_tokens long, items array<long>, max_coverage double")
-    return found.select("doc_id", "n_tokens", (F.size("items") > 0).alias("contaminated"), "items", "max_coverage")
+        found = mapped(found, work, "doc_id long, text string, n_tokens long, items array<long>, max_coverage double" + carried(docs, carry))
+    return found.select("doc_id", "n_tokens", (F.size("items") > 0).alias("contaminated"), "items", "max_coverage", *carry)
 
 
 def op5_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import chunks, mapped, table
+from .common import carried, chunks, mapped, table
 
 #: Kinds in order, and what the patterns match.
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -372,8 +372,8 @@ def redacted(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[last:]])
 
 
-def find(docs: DataFrame, with_text: bool = False, rows: list[tuple[str, list[Span]]] | None = None) -> DataFrame:
-    """For each row of ``docs`` (doc_id, text) counts and digest of the base spans, all spans and, if asked, the redacted text."""
+def find(docs: DataFrame, with_text: bool = False, rows: list[tuple[str, list[Span]]] | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """For each row of ``docs`` (doc_id, text) counts and digest of the base spans, all spans, if asked the redacted text, and columns to carry."""
     shared = docs.sparkSession.sparkContext.broadcast(Field(labelled() if rows is None else rows))  # a few hundred features
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
@@ -386,9 +386,10 @@ def find(docs: DataFrame, with_text: bool = False, rows: list[tuple[str, list[Sp
                 [hashlib.sha256(joined(base).encode()).hexdigest() for base, _ in found],
                 [joined(every) for _, every in found],
                 *([[None if t is None else redacted(t, every) for t, (_, every) in zip(texts, found)]] if with_text else []),
+                *batch.columns[2:],
             ]
 
-    return mapped(docs.select("doc_id", "text"), work, SCHEMA + (", redacted_text string" if with_text else ""))
+    return mapped(docs.select("doc_id", "text", *carry), work, SCHEMA + (", redacted_text string" if with_text else "") + carried(docs, carry))
 
 
 def op10_random_field(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import chunks, mapped, table
+from .common import carried, chunks, mapped, table
 
 #: Fixed values.
 MIN_WORDS = 50
@@ -117,9 +117,9 @@ def judge(text: str, ids: dict[bytes, int]) -> tuple:
     return (n, len(text) - spaces, symbols, dup, repeat, failed, kept, lines, bad, lost), "\n".join(clean)
 
 
-def clean_lines(docs: DataFrame, with_text: bool = True) -> DataFrame:
-    """One row for each row of ``docs`` (doc_id, text): the figures, the verdict and, if asked, the clean text."""
-    ddl = SCHEMA + (", clean_text string" if with_text else "")
+def clean_lines(docs: DataFrame, with_text: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each row of ``docs`` (doc_id, text): the figures, the verdict, if asked the clean text, and columns to carry."""
+    ddl = SCHEMA + (", clean_text string" if with_text else "") + carried(docs, carry)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         for batch in chunks(batches):
@@ -129,9 +129,9 @@ def clean_lines(docs: DataFrame, with_text: bool = True) -> DataFrame:
                 figures, clean = judge(text or "", ids)
                 found.append(figures)
                 texts.append(None if text is None else clean)
-            yield [batch.column(0), *map(list, zip(*found)), *([texts] if with_text else [])]
+            yield [batch.column(0), *map(list, zip(*found)), *([texts] if with_text else []), *batch.columns[2:]]
 
-    return mapped(docs.select("doc_id", "text"), work, ddl)
+    return mapped(docs.select("doc_id", "text", *carry), work, ddl)
 
 
 def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
