@@ -2,8 +2,8 @@
 
 Each set is embedded into ``SIZE`` tokens (minimum hashes). A run deals all sets to buckets: in a bucket, each
 token that passes a random test leads to a child bucket, and sets that share a token share the decision. Buckets of
-up to ``LEAF`` sets are compared by brute force, larger ones are split again up to ``DEPTH`` times; what is still
-large then is compared in blocks. The number of runs follows from the target recall. Candidates are verified with
+up to ``LEAF`` sets are compared by brute force, larger ones are split again up to ``DEPTH`` times, unless near copies
+fill them; what is still large then is compared in blocks. The number of runs follows from the target recall. Candidates are verified with
 the whole shingle sets, so no false link is returned.
 
 Sets that are equal count as one class, whose least doc_id stands for it. A pair that meets in several buckets is
@@ -34,7 +34,9 @@ SIZE = 64
 #: Expected children of a bucket that a pair at the least similarity shares: LEAST / RATE.
 RATE = 0.75
 RECALL = 0.9999
-LEAF, DEPTH, BLOCK = 64, 3, 512
+LEAF, DEPTH, BLOCK = 64, 8, 512
+#: A bucket with fewer different tokens at an end than this share of its sets is dense.
+DENSE = 0.5
 #: Pairs that agree in fewer of the tokens aren't verified: five standard deviations under LEAST.
 PRUNE = 0.55
 _LIMIT = np.uint64(int(2**64 / (RATE * SIZE)))
@@ -133,21 +135,33 @@ def _cuts(rows: pa.Table, keys: int) -> list[int]:
 
 
 def leaves(reps: DataFrame) -> DataFrame:
-    """(path, rep, n) for each bucket of two or more sets to compare, n its size. ``reps``: rep, tokens."""
+    """(path, rep, n) for each bucket of two or more sets to compare, n its size. ``reps``: rep, tokens.
+
+    A large bucket is split again unless it is dense: if its sets have few different first or last tokens they are
+    near copies of each other, which further splits would not part.
+    """
     found, now = None, saved(split(reps, True))
     for depth in range(1, DEPTH + 1):
         sizes = now.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1")
         sized = saved(now.join(sizes, "path"))
-        leaf = sized if depth == DEPTH else sized.filter(F.col("n") <= LEAF)
+        leaf = sized.filter(F.col("n") <= LEAF)
         found = leaf if found is None else found.unionByName(leaf)
         large = sized.filter(F.col("n") > LEAF)
-        if depth == DEPTH or large.isEmpty():
+        if large.isEmpty():
+            return found
+        known = saved(large.join(reps, "rep"))
+        ends = [F.approx_count_distinct(F.substring("tokens", at, 4)) for at in (1, 4 * SIZE - 3)]
+        dense = known.groupBy("path").agg(F.least(*ends).alias("d"), F.count("*").alias("m")).filter(F.lit(depth == DEPTH) | (F.col("d") < DENSE * F.col("m")))
+        found = found.unionByName(known.join(dense, "path", "left_semi").select("path", "rep", "n"))
+        rest = known.join(dense, "path", "left_anti").select("rep", "tokens", "path")
+        if depth == DEPTH or rest.isEmpty():
             return found
-        now = saved(split(large.join(reps, "rep").select("rep", "tokens", "path"), False))
+        now = saved(split(rest, False))
 
 
 def candidates(reps: DataFrame, found: DataFrame) -> DataFrame:
-    """(path, i, j, rep, partners): for each set in a block of a bucket, the sets to verify it against there.
+    """(path, i, j, rep, partners): for each set in a block of a bucket that has to be verified there, against which
+    sets of larger doc_id; each pair stands once in an array, none in a row of its own.
 
     A bucket of more than BLOCK sets is cut into blocks by a hash; two blocks at a time meet in one task's group.
     """
@@ -173,14 +187,20 @@ def candidates(reps: DataFrame, found: DataFrame) -> DataFrame:
                 raw = g.column(5).to_pylist()
                 tokens = np.frombuffer(b"".join(raw[x] for x in order), np.uint32).reshape(-1, SIZE)
                 met = earlier(path, [g.column(6)[int(x)].values.to_numpy() for x in order])
+                partners = [rep[:0]] * len(rep)
+                there = np.zeros(len(rep), bool)
                 for a in range(len(rep) - 1):
                     ok = (tokens[a + 1 :] == tokens[a]).sum(1) >= PRUNE * SIZE
                     ok &= ~met[a, a + 1 :]
                     if i != j:
                         ok &= block[a + 1 :] != block[a]
                     if ok.any():
-                        for c, v in zip(out, (path, i, j, rep[a], rep[a + 1 :][ok])):
-                            c.append(v)
+                        partners[a] = rep[a + 1 :][ok]
+                        there[a] = True
+                        there[a + 1 :] |= ok
+                for a in np.flatnonzero(there).tolist():
+                    for c, v in zip(out, (path, i, j, rep[a], partners[a])):
+                        c.append(v)
             if out[0]:
                 yield out
 
@@ -193,19 +213,24 @@ def earlier(path: int, paths: list[np.ndarray]) -> np.ndarray:
     flat = np.concatenate(low)
     if not len(flat):
         return np.zeros((len(paths), len(paths)), bool)
-    names, column = np.unique(flat, return_inverse=True)
-    shared = np.zeros((len(paths), len(names)), np.float32)
-    shared[np.repeat(np.arange(len(paths)), list(map(len, low))), column] = 1
-    shared = shared[:, shared.sum(0) > 1]
-    return shared @ shared.T > 0
+    names, column, often = np.unique(flat, return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(paths)), list(map(len, low)))
+    rank = np.cumsum(often > 1) - 1  # only what two sets share matters
+    row, column = row[often[column] > 1], rank[column[often[column] > 1]]
+    met = np.zeros((len(paths), len(paths)), bool)
+    for k in range(0, int((often > 1).sum()), 1024):
+        some = (column >= k) & (column < k + 1024)
+        shared = np.zeros((len(paths), 1024), np.float32)
+        shared[row[some], column[some] - k] = 1
+        met |= shared @ shared.T > 0
+    return met
 
 
 def verified(docs: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
     """(a, b, n): for each set of a verified link, the number of linked texts seen in a block, and an edge to the least set there."""
     found = saved(found)
-    members = found.select("path", "i", "j", "rep").unionByName(found.select("path", "i", "j", F.explode("partners").alias("rep"))).distinct()
-    needed = members.select("rep").distinct()
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(needed, "rep", "left_semi")
+    needed = found.select("rep").distinct()  # grows with the documents, so both sides are shuffled at every size
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(needed.hint("merge"), "rep", "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         for batch in chunks(batches):
@@ -213,7 +238,7 @@ def verified(docs: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame
 
     whole = mapped(texts, sets, "rep long, shingles array<long>").join(classes.select("rep", "n_texts"), "rep")
     rows = (
-        members.join(whole, "rep").join(found, ["path", "i", "j", "rep"], "left")
+        found.join(whole, "rep")
         .select("path", "i", "j", "rep", "n_texts", "shingles", "partners")
         .repartition("path", "i", "j").sortWithinPartitions("path", "i", "j")
     )
