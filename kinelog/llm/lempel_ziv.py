@@ -2,20 +2,23 @@
 
 The reference of a document is every document of smaller doc_id. Its index is cut into blocks by fingerprint: for
 each window that occurs in two documents the least document and place. A document's windows are looked up in every
-block. The parse then goes from left to right: at an indexed window a factor begins and is drawn out as long as
-the reference goes on with the same words; factors shorter than a window can't occur. Where a factor ends, the
-windows that reach over its end are checked too: one that is indexed begins the next factor there.
+block, which gives stretches that go on with the words of one reference. The parse then goes from left to right: of the
+stretches at hand the one that reaches farthest becomes a factor, and the next begins at its end; other words are
+literals. At a factor's end the stretches that reach over it are checked, so a window of two references is not missed.
 
 Words in factors are removed. See ``repeats`` for nulls.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import repeats
-from .common import saved, table
+from .common import mapped, saved, table
 
 
 def reference_index(windows: DataFrame) -> DataFrame:
@@ -26,14 +29,39 @@ def reference_index(windows: DataFrame) -> DataFrame:
     )
 
 
+def parse(stretches: DataFrame) -> DataFrame:
+    """(doc_id, starts, ends, refs) of the greedy factors, none overlapping, from stretches sorted by start."""
+
+    def greedy(starts: list[int], ends: list[int], refs: list[int]) -> list[tuple[int, int, int]]:
+        out: list[tuple[int, int, int]] = []
+        at, k, reach, ref = 0, 0, -1, -1
+        while k < len(starts) or reach > at:
+            while k < len(starts) and starts[k] <= at:
+                if ends[k] > reach:
+                    reach, ref = ends[k], refs[k]
+                k += 1
+            if reach > at:
+                out.append((at, reach, ref))
+                at = reach
+            elif k < len(starts):
+                at = starts[k]  # literals up to here
+        return out
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+        for batch in batches:
+            found = [greedy(*row) for row in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)))]
+            yield [batch.column(0), *([[f[c] for f in row] for row in found] for c in range(3))]
+
+    return mapped(stretches, work, "doc_id long, starts array<int>, ends array<int>, refs array<long>")
+
+
 def factors(docs: DataFrame) -> DataFrame:
     """For each document its factors (starts, ends, refs), the text without them and figures. Columns as in ``repeats.cut``."""
     found = repeats.candidates(docs)
     windows = saved(repeats.windows(found))
     matched = windows.join(reference_index(windows), ["w1", "w2"]).filter("doc_id > ref.doc_id")
-    # One diagonal of (document, reference) is one factor; runs() begins another wherever an indexed window leaves it.
     pairs = matched.select("doc_id", "pos", F.col("ref.doc_id").alias("ref_doc"), F.col("ref.pos").alias("ref_pos"))
-    return repeats.cut(found, repeats.runs(pairs))
+    return repeats.cut(found, parse(repeats.runs(pairs)))
 
 
 def op9_relative_lempel_ziv(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,9 @@
 
 A word is a run of characters other than space, tab, line feed, vertical tab, form feed and carriage return. A
 window is ``WINDOW`` consecutive words. Its anchor is the group of ``GRAM`` words in it with the least hash, so equal
-windows have equal anchors. Only anchors that occur in two documents can lie in a window that does; the windows of
-the others are never written down.
+windows have equal anchors. Only anchors that occur in two different contents can lie in a window that does; the
+windows of the others are never written down. Documents with the same words as one of smaller doc_id are wholly marked
+and take no part beyond that.
 
 Defined results for both operators: a null text has no words; texts under ``WINDOW`` words lose nothing; a row with a
 null doc_id loses nothing and is nobody's reference; rows with one doc_id are one document and must have one text;
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,39 +46,59 @@ def digest(kept: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(kept)).hexdigest()
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_words, kept_sha256, text, anchors), saved: text and anchors only where an anchor is in two documents."""
-    docs = docs.select("doc_id", "text")
+CONTENT, ANCHOR = 0, 1
+
 
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+def scan(docs: DataFrame) -> DataFrame:
+    """Saved rows (kind, a, b, doc_id) of documents of WINDOW words or more: one with 128 bits of the content, and one for each
+    different anchor (a) with the content's first half (b)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         for batch in chunks(batches):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             flat, ends = word_hashes([words(t) for t in batch.column(1).to_pylist()])
-            found, of = [], []
+            kind, first, second, of = [], [], [], []
             for k, (a, b) in enumerate(zip(ends[:-1], ends[1:])):
                 if b - a >= WINDOW:
-                    grams, at = anchors(flat[a:b])
-                    found.append(np.unique(grams[np.unique(at)]))
-                    of.append(np.full(len(found[-1]), ids[k]))
-            if found:
-                yield [np.concatenate(found).view(np.int64), np.concatenate(of)]
+                    own = flat[a:b]
+                    c = np.frombuffer(xxhash.xxh3_128_digest(own.tobytes()), np.int64)
+                    grams, at = anchors(own)
+                    found = np.unique(grams[np.unique(at)]).view(np.int64)
+                    kind += [[CONTENT], np.full(len(found), ANCHOR)]
+                    first += [c[:1], found]
+                    second += [c[1:], np.full(len(found), c[0])]
+                    of.append(np.full(len(found) + 1, ids[k]))
+            if of:
+                yield [np.concatenate(x) for x in (kind, first, second, of)]
 
-    picked = mapped(docs.filter("doc_id IS NOT NULL"), pick, "anchor long, doc_id long")
-    shared = picked.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("anchor")
-    own = picked.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))  # bounded by one text
+    return saved(mapped(docs.filter("doc_id IS NOT NULL").select("doc_id", "text"), work, "kind int, a long, b long, doc_id long"))
+
+
+def candidates(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_words, kept_sha256, text, anchors, copy_of), saved. Documents with the words of a smaller doc_id are copies and
+    wholly marked; of the rest, text and anchors are kept only where an anchor is in two different contents."""
+    docs = docs.select("doc_id", "text")
+    rows = scan(docs)
+    content, picked = rows.filter(F.col("kind") == CONTENT), rows.filter(F.col("kind") == ANCHOR)
+    groups = content.groupBy("a", "b").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    copies = content.join(groups, ["a", "b"]).filter("doc_id > copy_of").select("doc_id", "copy_of").distinct()
+    shared = picked.groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high")).filter("low < high").select("a")
+    own = picked.join(shared, "a").groupBy("doc_id").agg(F.collect_set("a").alias("anchors"))  # bounded by one text
+    none = F.lit(None)
+    marks = own.join(copies, "doc_id", "left_anti").withColumn("copy_of", none.cast("long")).unionByName(copies.withColumn("anchors", none.cast("array<long>")))
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         for batch in chunks(batches):
             texts = batch.column(1).to_pylist()
             split = [words(t) for t in texts]
-            some = batch.column(2).is_valid().to_pylist()
+            some, copy = (batch.column(c).is_valid().to_pylist() for c in (2, 3))
             yield [
-                batch.column(0), list(map(len, split)), [None if s else digest(w) for s, w in zip(some, split)],
-                [t if s else None for s, t in zip(some, texts)], batch.column(2),
+                batch.column(0), list(map(len, split)), [None if s else digest([] if c else w) for s, c, w in zip(some, copy, split)],
+                [t if s else None for s, t in zip(some, texts)], batch.column(2), batch.column(3),
             ]
 
-    ddl = "doc_id long, n_words long, kept_sha256 string, text string, anchors array<long>"
-    return saved(mapped(docs.join(own, "doc_id", "left"), settle, ddl))
+    ddl = "doc_id long, n_words long, kept_sha256 string, text string, anchors array<long>, copy_of long"
+    return saved(mapped(docs.join(marks, "doc_id", "left").select("doc_id", "text", "anchors", "copy_of"), settle, ddl))
 
 
 def windows(found: DataFrame) -> DataFrame:
@@ -148,7 +170,12 @@ def cut(found: DataFrame, spans: DataFrame) -> DataFrame:
                 removed[k], shas[k] = int(gone.sum()), digest(kept)
                 if removed[k]:
                     kept_text[k] = b" ".join(kept).decode()
-            yield [batch.column(0), batch.column(1), removed, shas, kept_text, batch.column(4), batch.column(5), batch.column(6)]
+            starts, ends, refs = (batch.column(c).to_pylist() for c in (4, 5, 6))
+            for k, copy_of in enumerate(batch.column(7).to_pylist()):
+                if copy_of is not None:
+                    removed[k] = batch.column(1)[k].as_py()
+                    kept_text[k], starts[k], ends[k], refs[k] = "", [0], [removed[k]], [copy_of]
+            yield [batch.column(0), batch.column(1), removed, shas, kept_text, starts, ends, refs]
 
     whole = found.drop("anchors").join(spans, "doc_id", "left")
-    return mapped(whole.select("doc_id", "n_words", "kept_sha256", "text", "starts", "ends", "refs"), work, ddl)
+    return mapped(whole.select("doc_id", "n_words", "kept_sha256", "text", "starts", "ends", "refs", "copy_of"), work, ddl)
