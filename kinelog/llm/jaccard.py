@@ -160,8 +160,8 @@ def leaves(reps: DataFrame) -> DataFrame:
 
 
 def candidates(reps: DataFrame, found: DataFrame) -> DataFrame:
-    """(path, i, j, rep, partners): for each set in a block of a bucket that has to be verified there, against which
-    sets of larger doc_id; each pair stands once in an array, none in a row of its own.
+    """(path, i, j, rep, partners): for each set in a block of a bucket that has to be verified there, against which of
+    the block's sets of larger doc_id, as one bit for each of the block's sets in order. No pair has a row of its own.
 
     A bucket of more than BLOCK sets is cut into blocks by a hash; two blocks at a time meet in one task's group.
     """
@@ -187,24 +187,22 @@ def candidates(reps: DataFrame, found: DataFrame) -> DataFrame:
                 raw = g.column(5).to_pylist()
                 tokens = np.frombuffer(b"".join(raw[x] for x in order), np.uint32).reshape(-1, SIZE)
                 met = earlier(path, [g.column(6)[int(x)].values.to_numpy() for x in order])
-                partners = [rep[:0]] * len(rep)
-                there = np.zeros(len(rep), bool)
+                pair = np.zeros((len(rep), len(rep)), bool)
                 for a in range(len(rep) - 1):
                     ok = (tokens[a + 1 :] == tokens[a]).sum(1) >= PRUNE * SIZE
                     ok &= ~met[a, a + 1 :]
                     if i != j:
                         ok &= block[a + 1 :] != block[a]
-                    if ok.any():
-                        partners[a] = rep[a + 1 :][ok]
-                        there[a] = True
-                        there[a + 1 :] |= ok
-                for a in np.flatnonzero(there).tolist():
-                    for c, v in zip(out, (path, i, j, rep[a], partners[a])):
+                    pair[a, a + 1 :] = ok
+                there = np.flatnonzero(pair.any(0) | pair.any(1))
+                bits = np.packbits(pair[np.ix_(there, there)], axis=1)
+                for a, row in zip(there.tolist(), bits):
+                    for c, v in zip(out, (path, i, j, rep[a], row.tobytes())):
                         c.append(v)
             if out[0]:
                 yield out
 
-    return mapped(rows, work, "path long, i int, j int, rep long, partners array<long>")
+    return mapped(rows, work, "path long, i int, j int, rep long, partners binary")
 
 
 def earlier(path: int, paths: list[np.ndarray]) -> np.ndarray:
@@ -256,9 +254,10 @@ def verified(docs: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame
 
 
 def links(g: pa.Table) -> tuple[list, list, list]:
-    rep, n_texts = g.column(3).to_numpy(), g.column(4).to_numpy()
-    at = {int(r): k for k, r in enumerate(rep)}
-    shingles = [np.asarray(x.values).view(np.uint64) for x in g.column(5).combine_chunks()]
+    order = np.argsort(g.column(3).to_numpy())
+    rep, n_texts = g.column(3).to_numpy()[order], g.column(4).to_numpy()[order]
+    sets, bits = g.column(5).combine_chunks(), g.column(6).to_pylist()
+    shingles = [sets[int(k)].values.to_numpy().view(np.uint64) for k in order]
     count, root = np.zeros(len(rep), np.int64), np.arange(len(rep))
 
     def top(k: int) -> int:
@@ -267,10 +266,10 @@ def links(g: pa.Table) -> tuple[list, list, list]:
             k = root[k]
         return k
 
-    for a, partners in enumerate(g.column(6).to_pylist()):
-        if not partners:
+    for a, k in enumerate(order.tolist()):
+        others = np.flatnonzero(np.unpackbits(np.frombuffer(bits[k], np.uint8), count=len(rep))).tolist()
+        if not others:
             continue
-        others = [at[p] for p in partners]
         own = shingles[a]
         flat = np.concatenate([shingles[b] for b in others])
         sizes = np.array([len(shingles[b]) for b in others])
