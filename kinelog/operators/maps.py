@@ -206,13 +206,13 @@ def nearest_area(places: DataFrame, areas: DataFrame, first_radius: float, round
     """(place_id, elem_id, distance) of the nearest area, by doubled radii as in ``nearest_lane``."""
     rest, found, radius = places, None, first_radius
     for _ in range(rounds):
-        best = areas_within(rest, areas, radius, radius).groupBy("place_id").agg(F.min(F.struct("distance", "elem_id")).alias("b")).select("place_id", "b.elem_id", "b.distance")
+        best = areas_within(rest, areas, radius, radius).groupBy("place_id").agg(F.min(F.struct("distance", "elem_id")).alias("b")).select("place_id", "b.elem_id", "b.distance").persist()
         found = best if found is None else found.unionByName(best)
-        rest = rest.join(best, "place_id", "left_anti")
+        rest = rest.join(best, "place_id", "left_anti").persist()
         if rest.isEmpty():
             return found
         radius *= 2
-    return found
+    raise ValueError(f"places farther than {radius} from every area")
 
 
 def extent(points: DataFrame) -> DataFrame:

@@ -26,6 +26,8 @@ def run(start: DataFrame, actions: DataFrame, at: int, dt: float = 1.0) -> DataF
     seed = start.filter(F.col("scene_ts") == at).select(*AGENT, "scene_ts", "x", "y", "heading", "vx", "vy")
     moves = actions.filter(F.col("scene_ts") > at).join(seed.select(*AGENT), list(AGENT), "left_semi")
     rows = seed.unionByName(moves.select(*AGENT, "scene_ts", "x", "y", "heading"), allowMissingColumns=True)
+    # Both sides may come partitioned by agent, and a union that counts on it can lose that when partitions are coalesced.
+    rows = rows.repartition(*AGENT)
     w = Window.partitionBy(*AGENT).orderBy("scene_ts")
     for p, v in (("x", "vx"), ("y", "vy")):
         rows = rows.withColumn(v, F.when(F.col("scene_ts") == at, F.col(v)).otherwise((F.col(p) - F.lag(p).over(w)) / dt))
