@@ -24,10 +24,11 @@ def snapshot(states: DataFrame, at: int) -> DataFrame:
 def run(start: DataFrame, actions: DataFrame, at: int, dt: float = 1.0) -> DataFrame:
     """States after ``at`` from actions (scene, agent_id, scene_ts, x, y, heading) of the agents in ``start``."""
     seed = start.filter(F.col("scene_ts") == at).select(*AGENT, "scene_ts", "x", "y", "heading", "vx", "vy")
-    moves = actions.filter(F.col("scene_ts") > at).join(seed.select(*AGENT), list(AGENT), "left_semi")
-    rows = seed.unionByName(moves.select(*AGENT, "scene_ts", "x", "y", "heading"), allowMissingColumns=True)
+    moves = actions.filter(F.col("scene_ts") > at).select(*AGENT, "scene_ts", "x", "y", "heading")
     # Both sides may come partitioned by agent, and a union that counts on it can lose that when partitions are coalesced.
-    rows = rows.repartition(*AGENT)
+    rows = seed.unionByName(moves, allowMissingColumns=True).repartition(*AGENT)
+    seeded = F.max(F.when(F.col("scene_ts") == at, 1)).over(Window.partitionBy(*AGENT))
+    rows = rows.withColumn("_seeded", seeded).filter("_seeded = 1").drop("_seeded")
     w = Window.partitionBy(*AGENT).orderBy("scene_ts")
     for p, v in (("x", "vx"), ("y", "vy")):
         rows = rows.withColumn(v, F.when(F.col("scene_ts") == at, F.col(v)).otherwise((F.col(p) - F.lag(p).over(w)) / dt))
@@ -37,7 +38,10 @@ def run(start: DataFrame, actions: DataFrame, at: int, dt: float = 1.0) -> DataF
 
 
 def step(states: DataFrame, actions: DataFrame, now: int, dt: float = 1.0) -> DataFrame:
-    """One step: all rows of the next timestep are dropped, those of the actions put in their place."""
+    """One step: all rows of the next timestep are dropped, those of the actions put in their place.
+
+    A loop over steps should write its states now and then, since each step reads them twice.
+    """
     after = run(states, actions.filter(F.col("scene_ts") == now + 1), now, dt)
     return states.filter(F.col("scene_ts") != now + 1).select(*KEPT).unionByName(after)
 
