@@ -190,7 +190,7 @@ def test_polygons(spark):
     places = spark.createDataFrame([(1, "m", 1.0, 1.0), (2, "m", 5.0, 5.0), (3, "m", 13.0, 5.0), (4, "m", 200.0, 0.0)], "place_id long, map_id string, x double, y double")
     got = {(r.place_id, r.elem_id): r.distance for r in maps.areas_within(places, areas, 7.0, 5.0).collect()}
     assert got == {(1, "a"): 0.0, (2, "a"): pytest.approx(1.0), (3, "a"): pytest.approx(3.0), (3, "b"): pytest.approx(7.0)}
-    assert collect(maps.nearest_area(places, areas, 1.0), "place_id", "elem_id", "distance") == [(1, "a", 0.0), (2, "a", 1.0), (3, "a", 3.0), (4, "b", 175.0)]
+    assert collect(maps.nearest_area(places, areas, 100.0), "place_id", "elem_id", "distance") == [(1, "a", 0.0), (2, "a", 1.0), (3, "a", 3.0), (4, "b", 175.0)]
 
 
 def test_lines(spark):
