@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import repeats
-from .common import mapped, saved, table
+from .common import mapped, table
 
 
 def reference_index(windows: DataFrame) -> DataFrame:
@@ -58,7 +58,7 @@ def parse(stretches: DataFrame) -> DataFrame:
 def factors(docs: DataFrame) -> DataFrame:
     """For each document its factors (starts, ends, refs), the text without them and figures. Columns as in ``repeats.cut``."""
     found = repeats.candidates(docs)
-    windows = saved(repeats.windows(found))
+    windows = repeats.windows(found)  # worked out twice: that costs less than to write them down
     matched = windows.join(reference_index(windows), ["w1", "w2"]).filter("doc_id > ref.doc_id")
     pairs = matched.select("doc_id", "pos", F.col("ref.doc_id").alias("ref_doc"), F.col("ref.pos").alias("ref_pos"))
     return repeats.cut(found, parse(repeats.runs(pairs)))

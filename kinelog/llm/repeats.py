@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, mapped, saved
+from .common import chunks, discard, mapped, saved
 from .shingles import gram_hashes, mixed, word_hashes, words
 
 WINDOW, GRAM = 50, 16
@@ -98,7 +98,9 @@ def candidates(docs: DataFrame) -> DataFrame:
             ]
 
     ddl = "doc_id long, n_words long, kept_sha256 string, text string, anchors array<long>, copy_of long"
-    return saved(mapped(docs.join(marks, "doc_id", "left").select("doc_id", "text", "anchors", "copy_of"), settle, ddl))
+    found = saved(mapped(docs.join(marks, "doc_id", "left").select("doc_id", "text", "anchors", "copy_of"), settle, ddl))
+    discard(rows)
+    return found
 
 
 def windows(found: DataFrame) -> DataFrame:
