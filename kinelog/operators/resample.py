@@ -45,7 +45,7 @@ def upsample_status(lights: DataFrame, factor: int) -> DataFrame:
 
 
 def downsample_status(lights: DataFrame, factor: int) -> DataFrame:
-    """Every ``factor``-th row of a lane by position, as the reference data model has it, renumbered."""
+    """Every ``factor``-th row of a lane by position, as the data model has it, renumbered."""
     w = Window.partitionBy("scene", "lane_id").orderBy("scene_ts")
     return lights.withColumn("_r", F.row_number().over(w) - 1).filter(F.col("_r") % factor == 0).withColumn("scene_ts", F.floor(F.col("scene_ts") / factor)).drop("_r")
 
