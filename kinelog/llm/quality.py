@@ -29,6 +29,8 @@ MAX_REPEAT_PERCENT = 50
 #: A document stays if at most this share (percent) of its words was in removed lines.
 MAX_LOST_PERCENT = 50
 MIN_BARS = 2
+#: A line of that many words is prose, whatever it ends with.
+LONG_LINE = 30
 MIN_SHOUTED = 3
 BOILERPLATE = (
     "all rights reserved",
@@ -58,7 +60,7 @@ SCHEMA = (
 
 def bad_line(line: str, n_words: int) -> bool:
     """Whether a line with ``n_words`` > 0 words fails one of the line rules."""
-    if line.rstrip(_SPACE)[-1] not in END_MARKS:
+    if n_words < LONG_LINE and line.rstrip(_SPACE)[-1] not in END_MARKS:
         return True
     if line.count("|") >= MIN_BARS or len(_SYMBOL.findall(line)) >= n_words:
         return True
@@ -155,7 +157,7 @@ WITH d AS (
   FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)
 ), judged AS (
   SELECT doc_id, line, k,
-    NOT regexp_matches(line, '[.!?…:;"''”»)][\x20\x09-\x0D]*$')
+    (k < {LONG_LINE} AND NOT regexp_matches(line, '[.!?…:;"''”»)][\x20\x09-\x0D]*$'))
     OR length(line) - length(replace(line, '|', '')) >= {MIN_BARS}
     OR length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g')) >= k
     OR (k >= {MIN_SHOUTED} AND NOT regexp_matches(line, '\p{{Ll}}') AND regexp_matches(line, '\p{{Lu}}'))
