@@ -6,11 +6,12 @@ up to ``LEAF`` sets are compared by brute force, larger ones are split again up
 fill them; what is still large then is compared in blocks. The number of runs follows from the target recall. Candidates are verified with
 the whole shingle sets, so no false link is returned.
 
-Sets that are equal count as one class, whose least doc_id stands for it. A pair that meets in several buckets is
+Sets that are equal count as one class with a number (rep) of its own and the least doc_id. A pair that meets in several buckets is
 taken up in the least of them only, so links are counted without a row for each.
 
 Defined results: texts with under five words are one shingle; null texts and texts without a word have no shingle
-and no link and are classes of their own; rows with equal text share a class; a row with a null doc_id takes no
+and no link and are classes of their own; rows with equal text share a class, under one doc_id too; rows of different sets under one doc_id are linked
+each by its own set; a row with a null doc_id takes no
 part in links (class null, 0 links); extra columns are not looked at; an empty table gives no rows.
 """
 
@@ -65,13 +66,14 @@ def embed(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, identity of the text and of the set (two longs each) and tokens (binary; null without shingles)."""
+def identity(data: bytes) -> tuple[int, int]:
     import xxhash
 
-    def halves(digest: bytes) -> tuple[int, int]:
-        return tuple(np.frombuffer(digest, "<i8").tolist())
+    return tuple(np.frombuffer(xxhash.xxh3_128_digest(data), "<i8").tolist())
 
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """doc_id, identity of the text and of the set (two longs each) and tokens (binary; null without shingles)."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         for batch in chunks(batches):
             texts = batch.column(1).to_pylist()
@@ -80,8 +82,8 @@ def sketches(docs: DataFrame) -> DataFrame:
             tokens: list = [None] * len(sets)
             for i, row in zip(full, embed([sets[i] for i in full]) if full else ()):
                 tokens[i] = row.tobytes()
-            text = [halves(xxhash.xxh3_128_digest((t or "").encode("utf-8", "replace"))) for t in texts]
-            own = [halves(xxhash.xxh3_128_digest(s.tobytes())) for s in sets]
+            text = [identity((t or "").encode("utf-8", "replace")) for t in texts]
+            own = [identity(s.tobytes()) for s in sets]
             yield [batch.column(0), *map(list, zip(*text)), *map(list, zip(*own)), tokens]
 
     return mapped(docs.select("doc_id", "text"), work, "doc_id long, t1 long, t2 long, s1 long, s2 long, tokens binary")
@@ -161,7 +163,7 @@ def leaves(reps: DataFrame) -> DataFrame:
 
 def candidates(reps: DataFrame, found: DataFrame) -> DataFrame:
     """(path, i, j, rep, partners): for each set in a block of a bucket that has to be verified there, against which of
-    the block's sets of larger doc_id, as one bit for each of the block's sets in order. No pair has a row of its own.
+    the block's sets of larger rep, as one bit for each of the block's sets in order of rep. No pair has a row of its own.
 
     A bucket of more than BLOCK sets is cut into blocks by a hash; two blocks at a time meet in one task's group.
     """
@@ -225,16 +227,23 @@ def earlier(path: int, paths: list[np.ndarray]) -> np.ndarray:
 
 
 def verified(docs: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
-    """(a, b, n): for each set of a verified link, the number of linked texts seen in a block, and an edge to the least set there."""
+    """(a, b, n): for each set of a verified link, the number of linked texts seen in a block, and an edge to the least set there.
+
+    Rows may share a doc_id, so only those whose set is the class's count, and of these one.
+    """
     found = saved(found)
-    needed = found.select("rep").distinct()  # grows with the documents, so both sides are shuffled at every size
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(needed.hint("merge"), "rep", "left_semi")
+    needed = classes.join(found.select("rep").distinct(), "rep").select("doc_id", "rep", "s1", "s2", "n_texts")
+    # Grows with the documents, so both sides are shuffled at every size.
+    texts = docs.select("doc_id", "text").join(needed.hint("merge"), "doc_id").select("rep", "text", "s1", "s2", "n_texts")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         for batch in chunks(batches):
-            yield [batch.column(0), [s.view(np.int64) for s in shingle_sets([words(t) for t in batch.column(1).to_pylist()])]]
+            found = shingle_sets([words(t) for t in batch.column(1).to_pylist()])
+            s1, s2 = (batch.column(c).to_pylist() for c in (2, 3))
+            own = [k for k, s in enumerate(found) if identity(s.tobytes()) == (s1[k], s2[k])]
+            yield [batch.column(0).take(pa.array(own, pa.int64())), batch.column(4).take(pa.array(own, pa.int64())), [found[k].view(np.int64) for k in own]]
 
-    whole = mapped(texts, sets, "rep long, shingles array<long>").join(classes.select("rep", "n_texts"), "rep")
+    whole = mapped(texts, sets, "rep long, n_texts long, shingles array<long>").dropDuplicates(["rep"])
     rows = (
         found.join(whole, "rep")
         .select("path", "i", "j", "rep", "n_texts", "shingles", "partners")
@@ -257,6 +266,8 @@ def links(g: pa.Table) -> tuple[list, list, list]:
     order = np.argsort(g.column(3).to_numpy())
     rep, n_texts = g.column(3).to_numpy()[order], g.column(4).to_numpy()[order]
     sets, bits = g.column(5).combine_chunks(), g.column(6).to_pylist()
+    if len(np.unique(rep)) != len(rep) or any(len(b) != (len(rep) + 7) // 8 for b in bits):
+        raise ValueError("a block has other sets than its bits were made for")
     shingles = [sets[int(k)].values.to_numpy().view(np.uint64) for k in order]
     count, root = np.zeros(len(rep), np.int64), np.arange(len(rep))
 
@@ -296,19 +307,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     own = saved(sketches(docs))
     full = own.filter("tokens IS NOT NULL AND doc_id IS NOT NULL")
     texts = full.groupBy("s1", "s2", "t1", "t2").agg(F.min("doc_id").alias("d"), F.first("tokens").alias("tokens"))
-    classes = saved(texts.groupBy("s1", "s2").agg(F.min("d").alias("rep"), F.count("*").alias("n_texts"), F.first("tokens").alias("tokens")))
+    classes = texts.groupBy("s1", "s2").agg(F.min("d").alias("doc_id"), F.count("*").alias("n_texts"), F.first("tokens").alias("tokens"))
+    classes = saved(classes.withColumn("rep", F.monotonically_increasing_id()))  # the numbers hold once they are written
     reps = classes.select("rep", "tokens")
     found = saved(verified(docs, classes, candidates(reps, leaves(reps))))
-    near = components(found.select("a", "b"))
+    near = components(found.select("a", "b")).withColumnRenamed("node", "rep")
+    least = near.join(classes.select("rep", "doc_id"), "rep").groupBy("component").agg(F.min("doc_id").alias("class_id"))
+    near = near.join(least, "component").select("rep", "class_id")
     counts = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     known = (
-        classes.drop("tokens").join(near.withColumnRenamed("node", "rep"), "rep", "left").join(counts, "rep", "left")
-        .select("s1", "s2", "rep", F.coalesce("component", "rep").alias("component"), (F.coalesce("n", F.lit(0)) + F.col("n_texts") - 1).alias("n_links"))
+        classes.drop("tokens").join(near, "rep", "left").join(counts, "rep", "left")
+        .select("s1", "s2", F.col("doc_id").alias("copy_of"), F.coalesce("class_id", "doc_id").alias("class_id"), (F.coalesce("n", F.lit(0)) + F.col("n_texts") - 1).alias("n_links"))
     )
     keyed = own.select("doc_id", "s1", "s2", (F.col("tokens").isNotNull() & F.col("doc_id").isNotNull()).alias("full"))
     return (
         keyed.filter("full").join(known, ["s1", "s2"])
-        .select("doc_id", F.col("rep").alias("copy_of"), F.col("component").alias("class_id"), "n_links")
+        .select("doc_id", "copy_of", "class_id", "n_links")
         .unionByName(keyed.filter("NOT full").select("doc_id", F.col("doc_id").alias("copy_of"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
     )
 

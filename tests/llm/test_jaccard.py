@@ -91,6 +91,16 @@ def test_empty_table_and_null_ids(spark):
     assert J.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_rows_repeated_under_one_doc_id(spark):
+    """Rows 1, 1 and the near copy 3; two further texts of doc_id 5, of which one is near 6 and the other near 7."""
+    rng = random.Random(11)
+    a, b, c = (rng.choices([f"w{i}" for i in range(3000)], k=120) for _ in range(3))
+    near = lambda t: " ".join([*t[:-1], "other"])
+    rows = [(1, " ".join(a)), (1, " ".join(a)), (1, "  ".join(a)), (3, near(a)), (5, " ".join(b)), (5, " ".join(c)), (6, near(b)), (7, near(c))]
+    got = sorted(map(tuple, J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == [(1, 1, 1, 2), (1, 1, 1, 2), (1, 1, 1, 2), (3, 3, 1, 2), (5, 5, 5, 1), (5, 5, 5, 1), (6, 6, 5, 1), (7, 7, 5, 1)]
+
+
 def test_components_equal_union_find(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(400, 460)] + [(500, i) for i in range(501, 540)] + [(7, 7), (None, 3)]
