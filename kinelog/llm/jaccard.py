@@ -3,7 +3,8 @@
 Each set is embedded into ``SIZE`` tokens (minimum hashes). A run deals all sets to buckets: in a bucket, each
 token that passes a random test leads to a child bucket, and sets that share a token share the decision. Buckets of
 up to ``LEAF`` sets are compared by brute force, larger ones are split again up to ``DEPTH`` times, unless near copies
-fill them; what is still large then is compared in blocks. The number of runs follows from the target recall. Candidates are verified with
+fill them; what is still large then is compared in blocks. The number of runs follows from the target recall
+at the second level; sets whose buckets are split beyond it are dealt in further runs, enough for the deepest level. Candidates are verified with
 the whole shingle sets, so no false link is returned.
 
 Sets that are equal count as one class with a number (rep) of its own and the least doc_id. A pair that meets in several buckets is
@@ -17,6 +18,7 @@ part in links (class null, 0 links); extra columns are not looked at; an empty t
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -35,7 +37,7 @@ SIZE = 64
 #: Expected children of a bucket that a pair at the least similarity shares: LEAST / RATE.
 RATE = 0.75
 RECALL = 0.9999
-LEAF, DEPTH, BLOCK = 64, 8, 512
+LEAF, FIRST, DEPTH, BLOCK = 64, 2, 8, 512
 #: A bucket with fewer different tokens at an end than this share of its sets is dense.
 DENSE = 0.5
 #: Pairs that agree in fewer of the tokens aren't verified: five standard deviations under LEAST.
@@ -43,12 +45,29 @@ PRUNE = 0.55
 _LIMIT = np.uint64(int(2**64 / (RATE * SIZE)))
 
 
+def missed(level: int, n: int) -> float:
+    """Probability that n runs bring a pair at the least similarity together in no bucket of a level. Its agreeing tokens vary."""
+    out = 0.0
+    for k in range(SIZE + 1):
+        p = 1.0
+        for _ in range(level):
+            p = 1 - math.exp(-k / SIZE / RATE * p)
+        out += math.comb(SIZE, k) * LEAST**k * (1 - LEAST) ** (SIZE - k) * (1 - p) ** n
+    return out
+
+
 def runs() -> int:
-    """Runs after which a pair at the least similarity was together in a bucket of the second level with probability RECALL."""
-    p = 1.0
-    for _ in range(2):
-        p = 1 - math.exp(-LEAST / RATE * p)
-    return math.ceil(math.log(1 - RECALL) / math.log(1 - p))
+    """Runs after which a pair at the least similarity was together in a bucket of level FIRST with probability RECALL."""
+    return next(n for n in itertools.count(1) if missed(FIRST, n) <= 1 - RECALL)
+
+
+def all_runs() -> int:
+    """Runs of sets in buckets that are split beyond level FIRST.
+
+    A pair is lost if it is never together at level FIRST in the first runs, or if it is there but parted below and in
+    all runs never together at level DEPTH; both are at most 1 - RECALL.
+    """
+    return next(n for n in itertools.count(runs()) if missed(FIRST, runs()) + missed(DEPTH, n) <= 1 - RECALL)
 
 
 def _factors() -> tuple[np.ndarray, np.ndarray]:
@@ -94,16 +113,16 @@ def _tokens(column: pa.Array) -> np.ndarray:
     return mixed(raw | (np.arange(SIZE, dtype=np.uint64) << np.uint64(32)))
 
 
-def split(rows: DataFrame, first: bool) -> DataFrame:
-    """(path, rep) of the children: of every run's root if ``first`` (rows: rep, tokens), else of each row's path."""
-    roots = mixed(np.arange(1, runs() + 1, dtype=np.uint64) << np.uint64(20))
+def split(rows: DataFrame, some: range | None = None) -> DataFrame:
+    """(path, rep) of the children: of the roots of ``some`` runs (rows: rep, tokens), else of each row's path."""
+    roots = None if some is None else mixed(np.arange(some.start + 1, some.stop + 1, dtype=np.uint64) << np.uint64(20))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         for batch in batches:
             for k in range(0, batch.num_rows, 4096):
                 part = batch.slice(k, 4096)
                 rep, tokens = part.column(0).to_numpy(), _tokens(part.column(1))
-                paths = [np.full(len(rep), r) for r in roots] if first else [part.column(2).to_numpy().view(np.uint64)]
+                paths = [np.full(len(rep), r) for r in roots] if roots is not None else [part.column(2).to_numpy().view(np.uint64)]
                 for path in paths:
                     test = mixed(tokens ^ path[:, None])
                     row, token = np.nonzero(test < _LIMIT)
@@ -137,12 +156,20 @@ def _cuts(rows: pa.Table, keys: int) -> list[int]:
 
 
 def leaves(reps: DataFrame) -> DataFrame:
-    """(path, rep, n) for each bucket of two or more sets to compare, n its size. ``reps``: rep, tokens.
+    """(path, rep, n) for each bucket of two or more sets to compare, n its size. ``reps``: rep, tokens."""
+    found, deep = dealt(reps, range(runs()))
+    if deep is None:
+        return found
+    return found.unionByName(dealt(deep, range(runs(), all_runs()))[0])
+
+
+def dealt(reps: DataFrame, some: range) -> tuple[DataFrame, DataFrame | None]:
+    """The buckets of ``some`` runs as in ``leaves``, and (rep, tokens) of the sets in buckets split beyond level FIRST.
 
     A large bucket is split again unless it is dense: if its sets have few different first or last tokens they are
     near copies of each other, which further splits would not part.
     """
-    found, now = None, saved(split(reps, True))
+    found, deep, now = None, None, saved(split(reps, some))
     for depth in range(1, DEPTH + 1):
         sizes = now.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1")
         sized = saved(now.join(sizes, "path"))
@@ -150,15 +177,17 @@ def leaves(reps: DataFrame) -> DataFrame:
         found = leaf if found is None else found.unionByName(leaf)
         large = sized.filter(F.col("n") > LEAF)
         if large.isEmpty():
-            return found
+            return found, deep
         known = saved(large.join(reps, "rep"))
         ends = [F.approx_count_distinct(F.substring("tokens", at, 4)) for at in (1, 4 * SIZE - 3)]
         dense = known.groupBy("path").agg(F.least(*ends).alias("d"), F.count("*").alias("m")).filter(F.lit(depth == DEPTH) | (F.col("d") < DENSE * F.col("m")))
         found = found.unionByName(known.join(dense, "path", "left_semi").select("path", "rep", "n"))
         rest = known.join(dense, "path", "left_anti").select("rep", "tokens", "path")
         if depth == DEPTH or rest.isEmpty():
-            return found
-        now = saved(split(rest, False))
+            return found, deep
+        if depth == FIRST:  # deeper buckets hold no others
+            deep = saved(rest.select("rep", "tokens").dropDuplicates(["rep"]))
+        now = saved(split(rest))
 
 
 def candidates(reps: DataFrame, found: DataFrame) -> DataFrame:

@@ -101,6 +101,24 @@ def test_rows_repeated_under_one_doc_id(spark):
     assert got == [(1, 1, 1, 2), (1, 1, 1, 2), (1, 1, 1, 2), (3, 3, 1, 2), (5, 5, 5, 1), (5, 5, 5, 1), (6, 6, 5, 1), (7, 7, 5, 1)]
 
 
+def test_recall_where_buckets_go_deep(spark, monkeypatch):
+    """800 pairs that agree in 51 or 52 of 64 tokens, about 0.8, all of them of frequent passages, so that buckets are split to the last levels."""
+    monkeypatch.setattr(J, "LEAF", 8)
+    rng, n = np.random.default_rng(3), 800
+    frequent, rows = rng.integers(1, 2**32, (2, J.SIZE), np.uint32), []
+    for k in range(n):
+        own = frequent[rng.integers(0, 2, J.SIZE), np.arange(J.SIZE)]
+        own[[0, -1]] = rng.integers(1, 2**32, 2, np.uint32)  # not dense
+        other = own.copy()
+        at = rng.choice(np.arange(1, J.SIZE - 1), rng.choice([10, 11], p=[0.2, 0.8]), replace=False)
+        other[at] = np.where(own[at] == frequent[0, at], frequent[1, at], frequent[0, at])
+        other[[0, -1]] = rng.integers(1, 2**32, 2, np.uint32)
+        rows += [(2 * k, bytearray(own.tobytes())), (2 * k + 1, bytearray(other.tobytes()))]
+    found = J.leaves(spark.createDataFrame(rows, "rep long, tokens binary"))
+    met = found.groupBy("path", F.floor(F.col("rep") / 2).alias("pair")).count().filter("count = 2").select("pair").distinct().count()
+    assert n - met <= 1
+
+
 def test_components_equal_union_find(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(400, 460)] + [(500, i) for i in range(501, 540)] + [(7, 7), (None, 3)]
