@@ -456,15 +456,19 @@ def delta_codec(spark, d):
 _EDGES_SQL = "edges AS (SELECT DISTINCT 'n' || n_nationkey AS src, 'r' || n_regionkey AS dst FROM nation UNION SELECT DISTINCT 'r' || n_regionkey, 'n' || n_nationkey FROM nation UNION SELECT DISTINCT 's' || s_suppkey, 'n' || s_nationkey FROM supplier)"
 
 
+def lane_edges(spark, d):
+    n, s = t.table(spark, d, "nation"), t.table(spark, d, "supplier")
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    up = n.select(name("n", "n_nationkey").alias("src"), name("r", "n_regionkey").alias("dst"))
+    return up.unionByName(up.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).unionByName(s.select(name("s", "s_suppkey").alias("src"), name("n", "s_nationkey").alias("dst"))).distinct()
+
+
 @query(f"""WITH RECURSIVE {_EDGES_SQL}, w AS (SELECT 's' || s_suppkey AS start, 's' || s_suppkey AS node, 0 AS hop FROM supplier WHERE s_suppkey <= 5
 UNION SELECT w.start, edges.dst, w.hop + 1 FROM w JOIN edges ON w.node = edges.src WHERE w.hop < 3)
 SELECT start, node, CAST(min(hop) AS INTEGER) AS hop FROM w GROUP BY start, node""")
 def lane_graph(spark, d):
-    n, s = t.table(spark, d, "nation"), t.table(spark, d, "supplier")
-    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
-    up = n.select(name("n", "n_nationkey").alias("src"), name("r", "n_regionkey").alias("dst"))
-    edges = up.unionByName(up.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).unionByName(s.select(name("s", "s_suppkey").alias("src"), name("n", "s_nationkey").alias("dst"))).distinct()
-    return maps.reachable(edges, s.filter("s_suppkey <= 5").select(name("s", "s_suppkey").alias("node")), 3)
+    s = t.table(spark, d, "supplier").filter("s_suppkey <= 5")
+    return maps.reachable(lane_edges(spark, d), s.select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("node")), 3)
 
 
 @query("""SELECT DISTINCT a.l_partkey AS elem_id, b.l_partkey AS other FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey WHERE a.l_returnflag = 'R' AND b.l_returnflag = 'R'""")
@@ -473,6 +477,58 @@ def shared_borders(spark, d):
     return maps.adjacent_by_border(rows)
 
 
+# The same over whole tables: every state asks, every track is a lane, every supplier starts, every line item is a border.
+
+_MAP_ALL = f"""WITH {t.TRAJ}, points AS (SELECT agent_id AS elem_id, scene_ts AS seq, x AS px, y AS py FROM traj),
+places AS (SELECT agent_id * 4294967296 + scene_ts AS place_id, x, y FROM traj),
+pairs AS (SELECT place_id, elem_id, seq, sqrt((x - px) * (x - px) + (y - py) * (y - py)) AS distance FROM places CROSS JOIN points)"""
+
+
+def all_points(spark, d):
+    p = t.positions(spark, d)
+    return p.select(F.lit("m").alias("map_id"), F.col("agent_id").alias("elem_id"), F.col("scene_ts").alias("seq"), "x", "y", F.lit(0.0).alias("z"), F.lit(0.0).alias("h"))
+
+
+def all_places(spark, d):
+    p = t.positions(spark, d)
+    return p.select((F.col("agent_id") * 4294967296 + F.col("scene_ts")).alias("place_id"), F.lit("m").alias("map_id"), "x", "y", F.lit(0.0).alias("z"), F.lit(0.0).alias("h"))
+
+
+@query(_MAP_ALL + " SELECT DISTINCT place_id, elem_id FROM pairs WHERE distance <= 1.5")
+def lanes_within_all(spark, d):
+    return maps.lanes_within(all_places(spark, d), all_points(spark, d), 1.5)
+
+
+@query(_MAP_ALL + " SELECT place_id, m.elem_id, round(m.distance, 6) AS distance FROM (SELECT place_id, min({'distance': distance, 'elem_id': elem_id}) AS m FROM pairs GROUP BY place_id)")
+def nearest_lane_all(spark, d):
+    return maps.nearest_lane(all_places(spark, d), all_points(spark, d), 8.0).select("place_id", "elem_id", r("distance").alias("distance"))
+
+
+@query(_MAP_ALL + """, c AS (SELECT place_id, elem_id, min(distance) AS cost FROM pairs WHERE distance <= 2.0 GROUP BY ALL)
+SELECT place_id, elem_id, round(cost, 6) AS cost, row_number() OVER (PARTITION BY place_id ORDER BY cost, elem_id) AS rank FROM c""")
+def current_lane_all(spark, d):
+    return maps.current_lane(all_places(spark, d), all_points(spark, d)).select("place_id", "elem_id", r("cost").alias("cost"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"""WITH {t.TRAJ}, e AS (SELECT agent_id AS elem_id, scene_ts AS seq, CAST(trunc((x - lag(x, 1, 0.0) OVER w) * 1000) AS INTEGER) AS dx, CAST(trunc((y - lag(y, 1, 0.0) OVER w) * 1000) AS INTEGER) AS dy FROM traj WINDOW w AS {t.BY})
+SELECT elem_id, seq, CAST(sum(dx) OVER w AS DOUBLE) / 1000 AS x, CAST(sum(dy) OVER w AS DOUBLE) / 1000 AS y FROM e WINDOW w AS (PARTITION BY elem_id ORDER BY seq ROWS UNBOUNDED PRECEDING)""")
+def delta_codec_all(spark, d):
+    return maps.decode(maps.encode(all_points(spark, d))).select("elem_id", "seq", "x", "y")
+
+
+@query(f"""WITH RECURSIVE {_EDGES_SQL}, w AS (SELECT 's' || s_suppkey AS start, 's' || s_suppkey AS node, 0 AS hop FROM supplier
+UNION SELECT w.start, edges.dst, w.hop + 1 FROM w JOIN edges ON w.node = edges.src WHERE w.hop < 3)
+SELECT start, node, CAST(min(hop) AS INTEGER) AS hop FROM w GROUP BY start, node""")
+def lane_graph_all(spark, d):
+    starts = t.table(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("node"))
+    return maps.reachable(lane_edges(spark, d), starts, 3)
+
+
+@query("""SELECT DISTINCT a.l_partkey AS elem_id, b.l_partkey AS other FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey""")
+def shared_borders_all(spark, d):
+    return maps.adjacent_by_border(t.table(spark, d, "lineitem").select(F.col("l_partkey").alias("elem_id"), F.col("l_orderkey").alias("border_id")))
+
+
 @query("""WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0),
 p AS (SELECT query_id, vec_id, list_distance(CAST(e AS DOUBLE[]), CAST(embedding AS DOUBLE[])) AS distance FROM q CROSS JOIN embeddings WHERE vec_id <> query_id),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM p)
