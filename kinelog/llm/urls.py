@@ -47,9 +47,10 @@ def path_of(url: Column) -> Column:
 
 
 def key_of(url: Column) -> Column:
-    """A url without scheme, fragment, tracking parameters and ending: what aliases by spelling have in common."""
+    """A url without scheme, fragment, tracking parameters and ending: what aliases by spelling have in common. Null without a host."""
     query = F.regexp_replace(F.regexp_replace(F.regexp_extract(url, QUERY, 1), TRACKING, ""), "^&", "")
-    return F.concat(host_of(url), F.regexp_replace(path_of(url), ENDING, ""), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
+    key = F.concat(host_of(url), F.regexp_replace(path_of(url), ENDING, ""), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
+    return F.when(host_of(url) != "", key)
 
 
 def rule_of(host: Column, path: Column, rules: tuple = RULES) -> Column:
@@ -75,7 +76,7 @@ def judge(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict and decided_by (rule, alias or default) for each row of ``pages`` (page_id, url, html)."""
     url = F.col("url")
     own = pages.select("page_id", "url", host_of(url).alias("host"), path_of(url).alias("path"))
-    own = own.withColumn("r", rule_of(F.col("host"), F.col("path"), rules)).withColumn("key", F.when(F.col("host") != "", key_of(url)))
+    own = own.withColumn("r", rule_of(F.col("host"), F.col("path"), rules)).withColumn("key", key_of(url))
     edges = saved(links(pages.select("url", "html")))
     to, target = F.col("target"), edges.select("target")
     ends = edges.select(key_of(url).alias("a"), key_of(to).alias("b"))

@@ -59,6 +59,12 @@ def test_aliases_and_precedence(spark):
     assert got[16].verdict == "block"
 
 
+def test_malformed_urls_join_nothing(spark):
+    rows = [(1, "no scheme", canonical("http://shop.net/fr/bad")), (2, "nor here", canonical("http://fine.org/a")), (3, "http://fine.org/a", None)]
+    got = {r.page_id: (r.verdict, r.decided_by) for r in U.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: ("allow", "default") for k in (1, 2, 3)}
+
+
 def test_equals_its_sql(spark):
     con = duckdb.connect()
     con.register("pages", pa.table({k: [r[i] for r in ROWS] for i, k in enumerate(("page_id", "url", "html"))}))
