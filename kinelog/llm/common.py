@@ -6,9 +6,11 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -46,6 +48,22 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: A key with more than one in so many of all rows is joined by broadcast. Fewer keys than this can be.
+HOT = 256
+
+
+def join_unique(many: DataFrame, few: DataFrame, *keys: str) -> DataFrame:
+    """Inner join of ``many`` with ``few``, saved, one row for each key, whose n is the number of rows of ``many`` under it or more.
+
+    Keys with more than one in HOT of these rows would meet in one task; they are fewer than HOT, so their rows of ``few`` are broadcast.
+    """
+    total = few.agg(F.sum("n")).first()[0] or 0
+    hot, rest = few.filter(F.col("n") * HOT > total).drop("n"), few.filter(F.col("n") * HOT <= total).drop("n")
+    names = list(keys)
+    joined = many.join(F.broadcast(hot), names)
+    return joined.unionByName(many.join(F.broadcast(hot.select(*names)), names, "left_anti").join(rest, names))
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: int = 1, limit: int = CHUNK_CHARS) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with at most ``limit`` bytes in the text column, or one row."""
     for batch in batches:
@@ -74,6 +92,30 @@ def mapped(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[Se
     return df.mapInArrow(run, ddl)
 
 
+def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[pa.Table]]:
+    """The complete groups of rows that are sorted by the first ``keys`` columns, some at a time. A group is bounded."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        now = pa.Table.from_batches([batch])
+        now = pa.concat_tables([rest, now]) if rest is not None else now
+        if not now.num_rows:
+            continue
+        cuts = _cuts(now, keys)
+        yield [now.slice(a, b - a) for a, b in zip(cuts[:-1], cuts[1:])]
+        rest = now.slice(cuts[-1])
+    if rest is not None and rest.num_rows:
+        yield [rest]
+
+
+def _cuts(rows: pa.Table, keys: int) -> list[int]:
+    new = np.zeros(rows.num_rows, bool)
+    new[0] = True
+    for k in range(keys):
+        c = rows.column(k).to_numpy()
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new).tolist()
+
+
 def carried(docs: DataFrame, names: Sequence[str]) -> str:
     """DDL of columns that an operator hands on unchanged, after its own."""
     return "".join(f", `{n}` {docs.schema[n].dataType.simpleString()}" for n in names)

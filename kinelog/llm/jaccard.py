@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, mapped, saved, table
+from .common import chunks, groups, mapped, saved, table
 from .graph import components
 from .shingles import mixed, shingle_sets, words
 
@@ -131,30 +131,6 @@ def split(rows: DataFrame, some: range | None = None) -> DataFrame:
     return mapped(rows, work, "rep long, path long")
 
 
-def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[pa.Table]]:
-    """The complete groups of rows that are sorted by the first ``keys`` columns, some at a time. A group is bounded."""
-    rest: pa.Table | None = None
-    for batch in batches:
-        now = pa.Table.from_batches([batch])
-        now = pa.concat_tables([rest, now]) if rest is not None else now
-        if not now.num_rows:
-            continue
-        cuts = _cuts(now, keys)
-        yield [now.slice(a, b - a) for a, b in zip(cuts[:-1], cuts[1:])]
-        rest = now.slice(cuts[-1])
-    if rest is not None and rest.num_rows:
-        yield [rest]
-
-
-def _cuts(rows: pa.Table, keys: int) -> list[int]:
-    new = np.zeros(rows.num_rows, bool)
-    new[0] = True
-    for k in range(keys):
-        c = rows.column(k).to_numpy()
-        new[1:] |= c[1:] != c[:-1]
-    return np.flatnonzero(new).tolist()
-
-
 def leaves(reps: DataFrame) -> DataFrame:
     """(path, rep, n) for each bucket of two or more sets to compare, n its size. ``reps``: rep, tokens."""
     found, deep = dealt(reps, range(runs()))

@@ -1,10 +1,16 @@
 """Substring duplicates by a relative Lempel-Ziv parse.
 
-The reference of a document is every document of smaller doc_id. Its index is cut into blocks by fingerprint: for
-each window that occurs in two documents the least document and place. A document's windows are looked up in every
-block, which gives stretches that go on with the words of one reference. The parse then goes from left to right: of the
-stretches at hand the one that reaches farthest becomes a factor, and the next begins at its end; other words are
-literals. At a factor's end the stretches that reach over it are checked, so a window of two references is not missed.
+The reference of a document is every document of smaller doc_id. The reference is indexed in blocks: the words around
+each minimiser that recurs (see ``repeats``), each different block once, with the least document and place that has it. A
+document's own places are looked up by their block. If a smaller document has the whole block, that is the factor's
+candidate; otherwise the candidates are the other indexed blocks of the same minimiser in smaller documents, each extended
+to the left and right as far as the words agree. Candidates that go on with the same words of the same reference are one
+stretch. The parse then goes from left to right: of the stretches at hand the one that reaches farthest becomes a
+factor, and the next begins at its end; other words are literals. At a factor's end the stretches that reach over it
+are checked, so a window of two references is not missed.
+
+Blocks of one minimiser are compared with each other in a task if they are at most ``LARGE``. If there are more, each block is
+looked up by its windows instead, of which the index then holds the least document and place.
 
 Words in factors are removed. See ``repeats`` for nulls.
 """
@@ -13,55 +19,110 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import repeats
-from .common import mapped, table
-
-
-def reference_index(windows: DataFrame) -> DataFrame:
-    """(w1, w2, ref): the least document and place of each window that occurs in two documents."""
-    return (
-        windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "pos")).alias("ref"), F.max("doc_id").alias("last"))
-        .filter("last > ref.doc_id").drop("last")
-    )
-
-
-def parse(stretches: DataFrame) -> DataFrame:
-    """(doc_id, starts, ends, refs) of the greedy factors, none overlapping, from stretches sorted by start."""
-
-    def greedy(starts: list[int], ends: list[int], refs: list[int]) -> list[tuple[int, int, int]]:
-        out: list[tuple[int, int, int]] = []
-        at, k, reach, ref = 0, 0, -1, -1
-        while k < len(starts) or reach > at:
-            while k < len(starts) and starts[k] <= at:
-                if ends[k] > reach:
-                    reach, ref = ends[k], refs[k]
-                k += 1
-            if reach > at:
-                out.append((at, reach, ref))
-                at = reach
-            elif k < len(starts):
-                at = starts[k]  # literals up to here
-        return out
+from .common import groups, join_unique, mapped, saved, table
+from .repeats import RIGHT, WINDOW, Stretch
+
+#: Different blocks of one minimiser that are extended against each other inside a task.
+LARGE = 256
+_BLOCK = ("g", "b1", "b2")
+
+
+def places(found: DataFrame) -> DataFrame:
+    """The places of ``repeats.blocks``, saved, with 64 bits of the minimiser (g) and 128 of the block (b1, b2)."""
+    rows = repeats.blocks(found)
+    rows = rows.withColumns({"before": F.least("pos", F.lit(repeats.LEFT)), "after": F.least(F.col("size") - F.col("pos"), F.lit(RIGHT))})
+    return saved(rows.withColumns({"g": F.xxhash64(F.substring("block", 1, 8 * repeats.GRAM)), "b1": F.xxhash64("block"), "b2": F.xxhash64(F.lit(1), "block")}))
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
-        for batch in batches:
-            found = [greedy(*row) for row in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)))]
-            yield [batch.column(0), *([[f[c] for f in row] for row in found] for c in range(3))]
 
-    return mapped(stretches, work, "doc_id long, starts array<int>, ends array<int>, refs array<long>")
+def reference_index(rows: DataFrame) -> DataFrame:
+    """(g, b1, b2, doc_id, pos, n, block), saved: each different block with its least document and place, and how many places have it."""
+    least = rows.groupBy(*_BLOCK).agg(F.min(F.struct("doc_id", "pos", "block")).alias("r"), F.count("*").alias("n"))
+    return saved(least.select(*_BLOCK, "r.doc_id", "r.pos", "n", "r.block"))
 
 
-def factors(docs: DataFrame) -> DataFrame:
+def extended(some: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, left, right): the longest match of block i with block j of a smaller document around their minimiser, if it has a window."""
+    i, j = np.nonzero(doc[None, :] < doc[:, None])
+    left = np.concatenate([repeats.agreeing(some[i[k : k + 4096], RIGHT:] == some[j[k : k + 4096], RIGHT:]) for k in range(0, len(i), 4096)] or [i])
+    right = np.concatenate([repeats.agreeing(some[i[k : k + 4096], :RIGHT] == some[j[k : k + 4096], :RIGHT]) for k in range(0, len(i), 4096)] or [i])
+    has_left, has_right = repeats.extents(some)
+    left, right = np.minimum(left, has_left[i]), np.minimum(right, has_right[i])
+    ok = left + right >= WINDOW
+    return i[ok], j[ok], left[ok], right[ok]
+
+
+def candidates(index: DataFrame, large: int = LARGE) -> DataFrame:
+    """(g, b1, b2, left, right, ref, ref_pos): for each block of the index its matches with blocks of smaller documents, ref_pos the place of
+    the reference's minimiser."""
+    sizes = saved(index.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1"))
+    named = index.withColumnRenamed("n", "places")
+    few = named.join(sizes.filter(F.col("n") <= large).select("g"), "g")
+    rows = few.select("g", "b1", "b2", "doc_id", "pos", "block").repartition("g").sortWithinPartitions("g", "b1", "b2")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+        for some in groups(batches, 1):
+            out: list[list] = [[] for _ in range(7)]
+            for g in some:
+                if g.num_rows < 2:
+                    continue
+                doc, pos = g.column(3).to_numpy(), g.column(4).to_numpy()
+                i, j, left, right = extended(repeats.numbers(g.column(5)), doc, pos)
+                keep = repeats.staircase(i, left, right, doc[j])
+                i, j = i[keep], j[keep]
+                for c, v in zip(out, (*(g.column(c).to_numpy()[i] for c in range(3)), left[keep], right[keep], doc[j], pos[j])):
+                    c.append(v)
+            if out[0]:
+                yield [np.concatenate(c) for c in out]
+
+    near = mapped(rows, work, "g long, b1 long, b2 long, left int, right int, ref long, ref_pos int")
+    crowded = join_unique(named.select("g", "b1", "b2", "doc_id", "pos", "block"), sizes.filter(F.col("n") > large), "g")
+    windows = saved(repeats.block_windows(crowded))
+    least = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", F.col("pos"))).alias("r"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
+    least = saved(least.filter("last > r.doc_id").select("w1", "w2", "n", F.col("r.doc_id").alias("ref"), F.col("r.pos").alias("ref_pos")))
+    far = join_unique(windows, least, "w1", "w2").filter("doc_id > ref")
+    return near.unionByName(far.select(*_BLOCK, "left", (WINDOW - F.col("left")).alias("right"), "ref", "ref_pos"))
+
+
+def looked_up(rows: DataFrame, index: DataFrame, large: int = LARGE) -> DataFrame:
+    """Matches of every place, as ``repeats.cut`` takes them."""
+    found = candidates(index, large).groupBy(*_BLOCK).agg(F.collect_list(F.struct("left", "right", "ref", "ref_pos")).alias("found"))  # LARGE or a block's windows at most
+    known = index.join(found, list(_BLOCK), "left").filter("n > 1 OR found IS NOT NULL")
+    known = saved(known.select(*_BLOCK, "n", F.col("doc_id").alias("owner"), F.col("pos").alias("owner_pos"), "found"))
+    own = join_unique(rows.select("doc_id", "content", "pos", "before", "after", *_BLOCK), known, *_BLOCK)
+    whole = F.array(F.struct(F.col("before").alias("left"), F.col("after").alias("right"), F.col("owner").alias("ref"), F.col("owner_pos").alias("ref_pos")))
+    own = own.withColumn("m", F.explode(F.when(F.col("doc_id") > F.col("owner"), whole).otherwise(F.col("found"))))
+    own = own.filter(F.col("m.left") + F.col("m.right") >= WINDOW)
+    return own.select("doc_id", "content", (F.col("pos") - F.col("m.left")).alias("begin"), (F.col("pos") + F.col("m.right")).alias("end"), F.col("m.ref").alias("ref"), (F.col("pos") - F.col("m.ref_pos")).alias("shift"))
+
+
+def parse(stretches: list[Stretch]) -> list[Stretch]:
+    """The greedy factors (start, end, ref), none overlapping, from stretches sorted by start."""
+    out: list[Stretch] = []
+    at, k, reach, ref = 0, 0, -1, -1
+    while k < len(stretches) or reach > at:
+        while k < len(stretches) and stretches[k][0] <= at:
+            if stretches[k][1] > reach:
+                _, reach, ref = stretches[k]
+            k += 1
+        if reach > at:
+            out.append((at, reach, ref))
+            at = reach
+        elif k < len(stretches):
+            at = stretches[k][0]  # literals up to here
+    return out
+
+
+def factors(docs: DataFrame, large: int = LARGE) -> DataFrame:
     """For each document its factors (starts, ends, refs), the text without them and figures. Columns as in ``repeats.cut``."""
     found = repeats.candidates(docs)
-    windows = repeats.windows(found)  # worked out twice: that costs less than to write them down
-    matched = windows.join(reference_index(windows), ["w1", "w2"]).filter("doc_id > ref.doc_id")
-    pairs = matched.select("doc_id", "pos", F.col("ref.doc_id").alias("ref_doc"), F.col("ref.pos").alias("ref_pos"))
-    return repeats.cut(found, parse(repeats.runs(pairs)))
+    rows = places(found)
+    return repeats.cut(found, looked_up(rows, reference_index(rows), large), parse)
 
 
 def op9_relative_lempel_ziv(spark: SparkSession, sf_dir: str) -> DataFrame:
