@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -23,14 +24,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none."""
+    """The folder that all executors share. One of our own only where the session names none and runs on this machine alone."""
     found = spark.conf.get("spark.checkpoint.dir", "")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="kinelog-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+_SCOPES: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """What ``saved`` writes inside is deleted at the end, but for the tables taken out of the list."""
+    _SCOPES.append([])
+    try:
+        yield _SCOPES[-1]
+    finally:
+        for df in _SCOPES.pop():
+            discard(df)
+
+
 def saved(df: DataFrame) -> DataFrame:
     """The rows written to the shared folder and read again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
@@ -38,6 +55,8 @@ def saved(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.saved_at = path
+    if _SCOPES:
+        _SCOPES[-1].append(out)
     return out
 
 

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import discard, saved
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for each node of ``edges`` (a, b): the component is the least node of it.
 
     Large-star and small-star rounds until the edges no longer change. Nodes are of any ordered type; rows with
-    a null end and loops add nothing. Each round is written to the shared folder. A node with very many
+    a null end and loops add nothing. Each round is written to the shared folder, the one before is deleted. A node with very many
     neighbours costs one aggregated row a task and a join that Spark can split.
     """
     now = saved(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
@@ -25,7 +25,8 @@ def components(edges: DataFrame) -> DataFrame:
         # Now each edge leads from a larger node to a smaller one.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.withColumnRenamed("m", "b"))
-        now = saved(small.filter("a <> b").distinct())
+        before, now = now, saved(small.filter("a <> b").distinct())
+        discard(before)
         after = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if after == state:
             break

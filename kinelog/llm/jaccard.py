@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, groups, mapped, saved, table
+from .common import chunks, groups, join_unique, mapped, saved, table
 from .graph import components
 from .shingles import mixed, shingle_sets, words
 
@@ -91,21 +91,24 @@ def identity(data: bytes) -> tuple[int, int]:
     return tuple(np.frombuffer(xxhash.xxh3_128_digest(data), "<i8").tolist())
 
 
+def identified(docs: DataFrame) -> DataFrame:
+    """``docs`` with the identity of the text; a null text is the empty one."""
+    return docs.withColumn("content", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, identity of the text and of the set (two longs each) and tokens (binary; null without shingles)."""
+    """doc_id, identity of the text and of the set (two longs) and tokens (binary; null without shingles)."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         for batch in chunks(batches):
-            texts = batch.column(1).to_pylist()
-            sets = shingle_sets([words(t) for t in texts])
+            sets = shingle_sets([words(t) for t in batch.column(1).to_pylist()])
             full = [i for i, s in enumerate(sets) if len(s)]
             tokens: list = [None] * len(sets)
             for i, row in zip(full, embed([sets[i] for i in full]) if full else ()):
                 tokens[i] = row.tobytes()
-            text = [identity((t or "").encode("utf-8", "replace")) for t in texts]
             own = [identity(s.tobytes()) for s in sets]
-            yield [batch.column(0), *map(list, zip(*text)), *map(list, zip(*own)), tokens]
+            yield [batch.column(0), batch.column(2), *map(list, zip(*own)), tokens]
 
-    return mapped(docs.select("doc_id", "text"), work, "doc_id long, t1 long, t2 long, s1 long, s2 long, tokens binary")
+    return mapped(identified(docs.select("doc_id", "text")), work, "doc_id long, content binary, s1 long, s2 long, tokens binary")
 
 
 def _tokens(column: pa.Array) -> np.ndarray:
@@ -147,8 +150,8 @@ def dealt(reps: DataFrame, some: range) -> tuple[DataFrame, DataFrame | None]:
     """
     found, deep, now = None, None, saved(split(reps, some))
     for depth in range(1, DEPTH + 1):
-        sizes = now.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1")
-        sized = saved(now.join(sizes, "path"))
+        sizes = saved(now.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1").withColumn("size", F.col("n")))
+        sized = saved(join_unique(now, sizes, "path").withColumnRenamed("size", "n"))
         leaf = sized.filter(F.col("n") <= LEAF)
         found = leaf if found is None else found.unionByName(leaf)
         large = sized.filter(F.col("n") > LEAF)
@@ -156,9 +159,11 @@ def dealt(reps: DataFrame, some: range) -> tuple[DataFrame, DataFrame | None]:
             return found, deep
         known = saved(large.join(reps, "rep"))
         ends = [F.approx_count_distinct(F.substring("tokens", at, 4)) for at in (1, 4 * SIZE - 3)]
-        dense = known.groupBy("path").agg(F.least(*ends).alias("d"), F.count("*").alias("m")).filter(F.lit(depth == DEPTH) | (F.col("d") < DENSE * F.col("m")))
-        found = found.unionByName(known.join(dense, "path", "left_semi").select("path", "rep", "n"))
-        rest = known.join(dense, "path", "left_anti").select("rep", "tokens", "path")
+        dense = known.groupBy("path").agg(F.least(*ends).alias("d"), F.count("*").alias("n"))
+        dense = saved(dense.select("path", "n", (F.lit(depth == DEPTH) | (F.col("d") < DENSE * F.col("n"))).alias("dense")))
+        marked = join_unique(known, dense, "path")
+        found = found.unionByName(marked.filter("dense").select("path", "rep", "n"))
+        rest = marked.filter("NOT dense").select("rep", "tokens", "path")
         if depth == DEPTH or rest.isEmpty():
             return found, deep
         if depth == FIRST:  # deeper buckets hold no others
@@ -234,19 +239,17 @@ def earlier(path: int, paths: list[np.ndarray]) -> np.ndarray:
 def verified(docs: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
     """(a, b, n): for each set of a verified link, the number of linked texts seen in a block, and an edge to the least set there.
 
-    Rows may share a doc_id, so only those whose set is the class's count, and of these one.
+    A class is given by one of its texts, whose doc_id other texts may share.
     """
     found = saved(found)
-    needed = classes.join(found.select("rep").distinct(), "rep").select("doc_id", "rep", "s1", "s2", "n_texts")
+    needed = classes.join(found.select("rep").distinct(), "rep").select("doc_id", "content", "rep", "n_texts")
     # Grows with the documents, so both sides are shuffled at every size.
-    texts = docs.select("doc_id", "text").join(needed.hint("merge"), "doc_id").select("rep", "text", "s1", "s2", "n_texts")
+    texts = identified(docs.select("doc_id", "text")).join(needed.hint("merge"), ["doc_id", "content"]).select("rep", "text", "n_texts")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         for batch in chunks(batches):
             found = shingle_sets([words(t) for t in batch.column(1).to_pylist()])
-            s1, s2 = (batch.column(c).to_pylist() for c in (2, 3))
-            own = [k for k, s in enumerate(found) if identity(s.tobytes()) == (s1[k], s2[k])]
-            yield [batch.column(0).take(pa.array(own, pa.int64())), batch.column(4).take(pa.array(own, pa.int64())), [found[k].view(np.int64) for k in own]]
+            yield [batch.column(0), batch.column(2), [s.view(np.int64) for s in found]]
 
     whole = mapped(texts, sets, "rep long, n_texts long, shingles array<long>").dropDuplicates(["rep"])
     rows = (
@@ -303,34 +306,48 @@ def links(g: pa.Table) -> tuple[list, list, list]:
     return rep[hit].tolist(), [int(rep[top(k)]) for k in hit.tolist()], count[hit].tolist()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, copy_of, class_id, n_links for each row of ``docs`` (doc_id, text).
-
-    copy_of: least doc_id with the same shingle set. class_id: least doc_id of the connected group of links.
-    n_links: other texts with similarity LEAST or more.
-    """
+def linked(docs: DataFrame) -> DataFrame:
+    """The columns of ``near_duplicates``, the identity of the text and ``stays``: whether it is the first text of its group."""
     own = saved(sketches(docs))
     full = own.filter("tokens IS NOT NULL AND doc_id IS NOT NULL")
-    texts = full.groupBy("s1", "s2", "t1", "t2").agg(F.min("doc_id").alias("d"), F.first("tokens").alias("tokens"))
-    classes = texts.groupBy("s1", "s2").agg(F.min("d").alias("doc_id"), F.count("*").alias("n_texts"), F.first("tokens").alias("tokens"))
+    texts = full.groupBy("s1", "s2", "content").agg(F.min("doc_id").alias("d"), F.count("*").alias("n"), F.first("tokens").alias("tokens"))
+    classes = texts.groupBy("s1", "s2").agg(F.min(F.struct("d", "content")).alias("head"), F.count("*").alias("n_texts"), F.sum("n").alias("n"), F.first("tokens").alias("tokens"))
+    classes = classes.select("s1", "s2", "n_texts", "n", "tokens", F.col("head.d").alias("doc_id"), F.col("head.content").alias("content"))
     classes = saved(classes.withColumn("rep", F.monotonically_increasing_id()))  # the numbers hold once they are written
     reps = classes.select("rep", "tokens")
     found = saved(verified(docs, classes, candidates(reps, leaves(reps))))
     near = components(found.select("a", "b")).withColumnRenamed("node", "rep")
-    least = near.join(classes.select("rep", "doc_id"), "rep").groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    near = near.join(least, "component").select("rep", "class_id")
-    counts = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
-    known = (
+    heads = near.join(classes.select("rep", F.struct("doc_id", "content").alias("head")), "rep")
+    near = near.join(heads.groupBy("component").agg(F.min("head").alias("head")), "component").select("rep", "head")
+    counts = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
+    known = saved(
         classes.drop("tokens").join(near, "rep", "left").join(counts, "rep", "left")
-        .select("s1", "s2", F.col("doc_id").alias("copy_of"), F.coalesce("class_id", "doc_id").alias("class_id"), (F.coalesce("n", F.lit(0)) + F.col("n_texts") - 1).alias("n_links"))
+        .select("s1", "s2", "n", F.col("doc_id").alias("copy_of"), F.coalesce("head", F.struct("doc_id", "content")).alias("head"), (F.coalesce("links", F.lit(0)) + F.col("n_texts") - 1).alias("n_links"))
     )
-    keyed = own.select("doc_id", "s1", "s2", (F.col("tokens").isNotNull() & F.col("doc_id").isNotNull()).alias("full"))
+    keyed = own.select("doc_id", "content", "s1", "s2", (F.col("tokens").isNotNull() & F.col("doc_id").isNotNull()).alias("full"))
     return (
-        keyed.filter("full").join(known, ["s1", "s2"])
-        .select("doc_id", "copy_of", "class_id", "n_links")
-        .unionByName(keyed.filter("NOT full").select("doc_id", F.col("doc_id").alias("copy_of"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+        join_unique(keyed.filter("full"), known, "s1", "s2")
+        .select("doc_id", "copy_of", F.col("head.doc_id").alias("class_id"), "n_links", "content", (F.col("head") == F.struct("doc_id", "content")).alias("stays"))
+        .unionByName(keyed.filter("NOT full").select("doc_id", F.col("doc_id").alias("copy_of"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "content", F.lit(True).alias("stays")))
     )
 
 
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, copy_of, class_id, n_links for each row of ``docs`` (doc_id, text).
+
+    copy_of: least doc_id with the same shingle set. class_id: least doc_id of the connected group of links.
+    n_links: other texts with similarity LEAST or more. Groups whose least document is one doc_id with unlike texts share
+    its name; ``representatives`` tells them apart.
+    """
+    return linked(docs).drop("content", "stays")
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """Of each group of links the first row by doc_id and text, whole; rows with a null doc_id stay all."""
+    stay = linked(docs).filter("stays AND doc_id IS NOT NULL").select("doc_id", "content").distinct()
+    once = identified(docs.filter("doc_id IS NOT NULL")).join(stay, ["doc_id", "content"], "left_semi").dropDuplicates(["doc_id", "content"])
+    return once.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+
+
 def op3_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

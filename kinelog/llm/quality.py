@@ -2,16 +2,24 @@
 
 Each line is judged by itself (navigation, symbols, shouting, missing end punctuation, boilerplate).
 Failing lines are removed. A document is rejected if it fails the base rules or if the removed lines
-held more than ``MAX_LOST`` of its words.
+held more than ``MAX_LOST_PERCENT`` of its words.
+
+A line ends well with a mark that ends sentences in any script; lines with letters of a script that has no such
+mark are spared that rule. Boilerplate is learned: a line is common if it recurs in RECURS different texts and in one of SHARE. Each text
+has its share of lines, so there are at most SHARE times the mean number of lines of common ones, however many
+documents there are, and they are broadcast. In a text whose words are common lines for more than
+``MAX_COMMON_PERCENT`` they are no boilerplate: it is a copy, which other operators handle. A few English phrases count too.
 
 Nulls and texts without a word: all counts 0, ``base_failed`` true, ``kept`` false, clean text null for
-a null text and empty otherwise. A null doc_id is carried through. Repeated rows are judged alike.
-Extra columns are not looked at.
+a null text and empty otherwise. A null doc_id is carried through. Repeated rows are judged alike and count as one text.
+A very long text is one task's work, of memory in proportion to it. An empty table gives no rows. Extra columns are not looked at.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+import sys
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
@@ -20,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import carried, chunks, mapped, table
 
@@ -45,10 +54,19 @@ BOILERPLATE = (
     "terms of use",
 )
 SYMBOLS = "#*$%&|<>"
-END_MARKS = ".!?…:;\"'”»)"
+#: Marks that end a sentence in any script (a property of Unicode), and what may follow them or stand for them.
+SENTENCE_ENDS = "".join(regex.findall(r"\p{Sentence_Terminal}", "".join(chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000)))
+CLOSING = "…:;\"'”’»)）」』】》〉؛"
+END_MARKS = frozenset(SENTENCE_ENDS + CLOSING)
+#: Scripts without a mark at the end of a sentence.
+UNMARKED = r"[\p{Thai}\p{Lao}]"
+#: A line is common if it is in RECURS different texts and in one of SHARE of them.
+RECURS, SHARE = 50, 1000
+MAX_COMMON_PERCENT = 20
 
 _BOILERPLATE = re.compile("|".join(map(re.escape, BOILERPLATE)))
 _SYMBOL = re.compile(f"[{re.escape(SYMBOLS)}]")
+_UNMARKED = regex.compile(UNMARKED)
 _LOWER, _UPPER = regex.compile(r"\p{Ll}"), regex.compile(r"\p{Lu}")
 _SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 
@@ -60,7 +78,7 @@ SCHEMA = (
 
 def bad_line(line: str, n_words: int) -> bool:
     """Whether a line with ``n_words`` > 0 words fails one of the line rules."""
-    if n_words < LONG_LINE and line.rstrip(_SPACE)[-1] not in END_MARKS:
+    if n_words < LONG_LINE and line.rstrip(_SPACE)[-1] not in END_MARKS and not _UNMARKED.search(line):
         return True
     if line.count("|") >= MIN_BARS or len(_SYMBOL.findall(line)) >= n_words:
         return True
@@ -88,8 +106,21 @@ def repeated_words(ids: np.ndarray) -> int:
     return int(covered.sum())
 
 
-def judge(text: str, ids: dict[bytes, int]) -> tuple:
-    """The figures of one text and its clean lines. ``ids`` numbers the words seen so far."""
+def line_key(line: str) -> bytes:
+    return hashlib.md5(line.encode("utf-8", "surrogatepass")).digest()
+
+
+def common_lines(docs: DataFrame) -> frozenset[bytes]:
+    """Keys of the lines that recur in many different texts: at most SHARE times the mean number of lines of a text."""
+    texts = docs.filter("text IS NOT NULL").select(F.md5("text").alias("whole"), "text")
+    lines = texts.select("whole", F.explode(F.split("text", "\n")).alias("line")).filter(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    often = lines.select("whole", F.unhex(F.md5("line")).alias("line")).distinct().groupBy("line").agg(F.count("*").alias("n")).filter(F.col("n") >= RECURS)
+    n_texts = texts.select("whole").distinct().count()
+    return frozenset(bytes(r[0]) for r in often.filter(F.col("n") * SHARE >= n_texts).select("line").collect())
+
+
+def judge(text: str, ids: dict[bytes, int], common: frozenset[bytes] = frozenset()) -> tuple:
+    """The figures of one text and its clean lines. ``ids`` numbers the words seen so far, ``common`` has the keys of common lines."""
     words = text.encode("utf-8", "surrogatepass").split()
     n = len(words)
     numbers = np.fromiter(map(ids.__getitem__, words), np.int64, n)
@@ -100,15 +131,19 @@ def judge(text: str, ids: dict[bytes, int]) -> tuple:
     seen: set[str] = set()
     dup = lines = bad = lost = 0
     clean = []
-    for line in text.split("\n"):
-        in_line = len(line.encode("utf-8", "surrogatepass").split())
+    parts = text.split("\n")
+    sizes = [len(line.encode("utf-8", "surrogatepass").split()) for line in parts]
+    shared = {line for line in set(parts) if line_key(line) in common} if common else set()
+    if 100 * sum(k for line, k in zip(parts, sizes) if line in shared) > MAX_COMMON_PERCENT * n:
+        shared = set()
+    for line, in_line in zip(parts, sizes):
         if not in_line:
             clean.append(line)
             continue
         lines += 1
         dup += line in seen
         seen.add(line)
-        if bad_line(line, in_line):
+        if line in shared or bad_line(line, in_line):
             bad += 1
             lost += in_line
         else:
@@ -121,6 +156,7 @@ def judge(text: str, ids: dict[bytes, int]) -> tuple:
 
 def clean_lines(docs: DataFrame, with_text: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): the figures, the verdict, if asked the clean text, and columns to carry."""
+    shared = docs.sparkSession.sparkContext.broadcast(common_lines(docs))
     ddl = SCHEMA + (", clean_text string" if with_text else "") + carried(docs, carry)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
@@ -128,7 +164,7 @@ def clean_lines(docs: DataFrame, with_text: bool = True, carry: tuple[str, ...]
             ids: dict[bytes, int] = defaultdict(count().__next__)
             found, texts = [], []
             for text in batch.column(1).to_pylist():
-                figures, clean = judge(text or "", ids)
+                figures, clean = judge(text or "", ids, shared.value)
                 found.append(figures)
                 texts.append(None if text is None else clean)
             yield [batch.column(0), *map(list, zip(*found)), *([texts] if with_text else []), *batch.columns[2:]]
@@ -141,6 +177,7 @@ def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _W = r"'[^\x20\x09-\x0D]+'"
+_ENDS_SQL = "[" + "".join(map(re.escape, sorted(END_MARKS))).replace("'", "''") + "]"
 _BOIL_SQL = "'" + "|".join(BOILERPLATE) + "'"
 ORACLE = rf"""
 WITH d AS (
@@ -155,14 +192,23 @@ WITH d AS (
 ), lines AS (
   SELECT doc_id, line, len(regexp_extract_all(line, {_W})) AS k
   FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)
+), texts AS (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL
+), common AS (
+  SELECT line FROM (SELECT DISTINCT text, unnest(string_split(text, chr(10))) AS line FROM texts)
+  WHERE regexp_matches(line, {_W}) GROUP BY line
+  HAVING count(*) >= {RECURS} AND count(*) * {SHARE} >= (SELECT count(*) FROM texts)
+), marked AS (
+  SELECT doc_id, l.line, k, c.line IS NOT NULL
+    AND 100 * coalesce(sum(k) FILTER (WHERE c.line IS NOT NULL) OVER (PARTITION BY doc_id), 0) <= {MAX_COMMON_PERCENT} * sum(k) OVER (PARTITION BY doc_id) AS shared
+  FROM lines l LEFT JOIN common c ON l.line = c.line WHERE k > 0
 ), judged AS (
-  SELECT doc_id, line, k,
-    (k < {LONG_LINE} AND NOT regexp_matches(line, '[.!?…:;"''”»)][\x20\x09-\x0D]*$'))
+  SELECT doc_id, line, k, shared
+    OR (k < {LONG_LINE} AND NOT regexp_matches(line, '{_ENDS_SQL}[\x20\x09-\x0D]*$') AND NOT regexp_matches(line, '{UNMARKED}'))
     OR length(line) - length(replace(line, '|', '')) >= {MIN_BARS}
     OR length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g')) >= k
     OR (k >= {MIN_SHOUTED} AND NOT regexp_matches(line, '\p{{Ll}}') AND regexp_matches(line, '\p{{Lu}}'))
     OR regexp_matches(lower(line), {_BOIL_SQL}) AS bad
-  FROM lines WHERE k > 0
+  FROM marked
 ), per AS (
   SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines,
     count(*) FILTER (WHERE bad) AS n_bad_lines, coalesce(sum(k) FILTER (WHERE bad), 0) AS n_lost_words
