@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the docs
 of the next. All but the last return the columns of documents. Columns beyond these are dropped at the start, so
 that names can't clash. A null text fails the quality rules; a row with a null doc_id has no near duplicates; rows
-repeated under one doc_id stay once; an empty table stays empty.
+repeated under one doc_id stay once, texts that differ under one doc_id are documents of their own; an empty table stays
+empty.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinelog.llm import decontamination, jaccard, personal, quality, sentencepieces
-from kinelog.llm.common import saved, table
+from kinelog.llm.common import saved, scratch, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -30,11 +31,9 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the least doc_id stays."""
+    """Of each group of near copies the least doc_id stays. Texts of one group under that doc_id are one document."""
     docs = docs.select(*COLUMNS)
-    stay = jaccard.near_duplicates(docs).filter("doc_id = class_id").select("doc_id").distinct()
-    once = docs.filter("doc_id IS NOT NULL").join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(docs.filter("doc_id IS NULL"))
+    return jaccard.representatives(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,5 +62,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir))
+        with scratch() as tables:
+            docs = saved(stage(spark, docs, sf_dir))
+            tables.remove(docs)
     return docs
