@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -36,18 +37,29 @@ def valid_range(found: DataFrame, spec: QuerySpec) -> DataFrame:
     return found.withColumns({"lo_ts": F.col("first_ts") + spec.least("history"), "hi_ts": F.col("last_ts") - spec.least("future")}).filter("lo_ts <= hi_ts")
 
 
-def agent_index(found: DataFrame, spec: QuerySpec) -> DataFrame:
-    """(scene, agent_id, scene_ts) of every answer of an agent-centric query. Range arithmetic; no state is read."""
+def predicted(found: DataFrame, spec: QuerySpec) -> DataFrame:
+    """The agents that a query answers for, with lo_ts and hi_ts. The ego is left out where its future is given."""
     some = of_types(found, spec.only_predict if spec.only_predict is not None else spec.only_types, spec.no_types)
+    if spec.with_ego_future:
+        some = some.filter(F.col("agent_id").cast("string") != "ego")
     if spec.ego_only:
-        some = some.filter("agent_id = 'ego'")
-    return valid_range(some, spec).select(*AGENT, F.explode(F.sequence("lo_ts", "hi_ts")).alias("scene_ts"))
+        some = some.filter(F.col("agent_id").cast("string") == "ego")
+    return valid_range(some, spec)
+
+
+def agent_index(found: DataFrame, spec: QuerySpec) -> DataFrame:
+    """(scene, agent_id, scene_ts) of every answer of an agent-centric query. Range arithmetic; no state is read."""
+    return predicted(found, spec).select(*AGENT, F.explode(F.sequence("lo_ts", "hi_ts")).alias("scene_ts"))
 
 
 def index_sizes(found: DataFrame, spec: QuerySpec) -> DataFrame:
     """Answers of each scene, without listing them."""
-    some = valid_range(of_types(found, spec.only_predict if spec.only_predict is not None else spec.only_types, spec.no_types), spec)
-    return some.groupBy("scene").agg(F.sum(F.col("hi_ts") - F.col("lo_ts") + 1).alias("n"))
+    return predicted(found, spec).groupBy("scene").agg(F.sum(F.col("hi_ts") - F.col("lo_ts") + 1).alias("n"))
+
+
+def timely(spec: QuerySpec) -> Column:
+    """Whether history and future are long enough at a row with scene_ts, first_ts and last_ts."""
+    return (F.col("scene_ts") >= F.col("first_ts") + spec.least("history")) & (F.col("scene_ts") <= F.col("last_ts") - spec.least("future"))
 
 
 def scene_index(found: DataFrame, spec: QuerySpec) -> DataFrame:
@@ -55,17 +67,16 @@ def scene_index(found: DataFrame, spec: QuerySpec) -> DataFrame:
     everyone = found.select("scene", F.explode(F.sequence("first_ts", "last_ts")).alias("scene_ts"), "agent_type", "first_ts", "last_ts")
     wanted = F.lit(True) if spec.only_types is None else F.col("agent_type").isin(*sorted(spec.only_types))
     kept = ~F.col("agent_type").isin(*sorted(spec.no_types)) if spec.no_types else F.lit(True)
-    timely = (F.col("scene_ts") >= F.col("first_ts") + spec.least("history")) & (F.col("scene_ts") <= F.col("last_ts") - spec.least("future"))
-    held = everyone.groupBy("scene", "scene_ts").agg(F.bool_or(wanted).alias("a"), F.bool_or(kept).alias("b"), F.bool_or(timely).alias("c"))
+    held = everyone.groupBy("scene", "scene_ts").agg(F.bool_or(wanted).alias("a"), F.bool_or(kept).alias("b"), F.bool_or(timely(spec)).alias("c"))
     return held.filter("a AND b AND c").select("scene", "scene_ts")
 
 
 def ordinals(found: DataFrame, spec: QuerySpec) -> DataFrame:
     """Agents with the ordinal of their first answer, counted over scenes and agents in order.
 
-    Sums run inside a scene and over scenes, so no task sees all agents.
+    Sums run inside a scene and over scenes: a task sees the agents of a scene, or a row for each scene.
     """
-    some = valid_range(of_types(found, spec.only_types, spec.no_types), spec).withColumn("n", F.col("hi_ts") - F.col("lo_ts") + 1)
+    some = predicted(found, spec).withColumn("n", F.col("hi_ts") - F.col("lo_ts") + 1)
     inside = Window.partitionBy("scene").orderBy("agent_id").rowsBetween(Window.unboundedPreceding, -1)
     scenes = some.groupBy("scene").agg(F.sum("n").alias("total"))
     before = scenes.withColumn("offset", F.coalesce(F.sum("total").over(Window.orderBy("scene").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -89,3 +100,40 @@ def time_batches(index: DataFrame, k: int = 0) -> DataFrame:
     lead = ranked.filter(F.col("_k") == k).select(*AGENT)
     when = index.join(lead, list(AGENT), "left_semi").select("scene", "scene_ts")
     return index.join(when, ["scene", "scene_ts"], "left_semi").groupBy("scene", "scene_ts").agg(F.sort_array(F.collect_list("agent_id")).alias("agents"), F.count("*").alias("n"))
+
+
+# Scenes.
+
+
+def long_enough(scenes: DataFrame, least: int = 2) -> DataFrame:
+    """Scenes (length_timesteps) of some timesteps at least."""
+    return scenes.filter(F.col("length_timesteps") >= least)
+
+
+def tagged(scenes: DataFrame, by_prefix: bool = False) -> DataFrame:
+    """Scenes with their tags: env, split and location (``by_prefix``: what of it comes before the first dash)."""
+    location = F.substring_index("location", "-", 1) if by_prefix else F.col("location")
+    return scenes.withColumn("tags", F.array_compact(F.array("env", "data_split", location)))
+
+
+def of_source(scenes: DataFrame, env: str, wanted: list[str], descriptions: list[str] | None = None, by_prefix: bool = False) -> DataFrame:
+    """The scenes of one source that fit any of the wanted tags and descriptions, each once, too short ones left out."""
+    found = matching(tagged(long_enough(scenes.filter(F.col("env") == env)), by_prefix), wanted, descriptions)
+    return found.drop("wanted", "tags").distinct()
+
+
+def shuffled_split(names: list[str], shares: dict[str, float], seed: int = 0) -> dict[str, str]:
+    """Name -> part: names in a seeded shuffle, dealt by shares; the last part takes the rest. A few hundred names, on the driver."""
+    order = list(names)
+    random.Random(seed).shuffle(order)
+    out, at, parts = {}, 0, list(shares)
+    for k, part in enumerate(parts):
+        end = len(order) if k == len(parts) - 1 else at + int(len(order) * shares[part])
+        out |= dict.fromkeys(order[at:end], part)
+        at = end
+    return out
+
+
+def shuffled(rows: DataFrame, seed: int, *keys: str) -> DataFrame:
+    """Rows in an order that a seed fixes: by a hash of their keys."""
+    return rows.orderBy(F.xxhash64(F.lit(seed), *keys), *keys)

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.angles import wrap
+from ..schema import MAP_ELEMENTS
+from ..scratch import written
 
 
 def points_of(elements: DataFrame, line: str = "center") -> DataFrame:
@@ -38,23 +40,38 @@ def lanes_within(places: DataFrame, points: DataFrame, radius: float) -> DataFra
     return near_points(places, points, radius).select("place_id", "elem_id").distinct()
 
 
+def found_place(*columns: str) -> Column:
+    """Whether none of the coordinates is null or NaN."""
+    ok = F.lit(True)
+    for c in columns:
+        ok = ok & F.col(c).isNotNull() & ~F.isnan(F.col(c))
+    return ok
+
+
 def nearest_lane(places: DataFrame, points: DataFrame, first_radius: float, rounds: int = 30) -> DataFrame:
     """(place_id, elem_id, distance) of the nearest point's element, the least elem_id on ties.
 
-    Places without a point in reach are searched again with twice the radius, until all have one; places of a map
-    without points stay out.
+    Places without a point in reach are searched again with twice the radius, until all have one. Places without
+    coordinates, or of a map without points, stay out.
     """
+    points = points.filter(found_place("x", "y", "z"))
     maps = points.select("map_id").distinct()
-    rest, found, radius = places.join(maps, "map_id", "left_semi"), None, first_radius
+    rest = places.filter(found_place("x", "y", "z")).join(maps, "map_id", "left_semi")
+    return by_doubling(rest, lambda some, radius: near_points(some, points, radius), first_radius, rounds)
+
+
+def by_doubling(rest: DataFrame, search, first_radius: float, rounds: int) -> DataFrame:
+    """The nearest hit of each place; what has none is written down and searched again with twice the radius."""
+    found, radius = None, first_radius
     for _ in range(rounds):
-        best = near_points(rest, points, radius).groupBy("place_id").agg(F.min(F.struct("distance", "elem_id")).alias("b"))
-        best = best.select("place_id", "b.elem_id", "b.distance").persist()
+        best = search(rest, radius).groupBy("place_id").agg(F.min(F.struct("distance", "elem_id")).alias("b"))
+        best = written(best.select("place_id", "b.elem_id", "b.distance"))
         found = best if found is None else found.unionByName(best)
-        rest = rest.join(best, "place_id", "left_anti").persist()
+        rest = written(rest.join(best, "place_id", "left_anti"))
         if rest.isEmpty():
             return found
         radius *= 2
-    raise ValueError(f"places farther than {radius} from every point")
+    raise ValueError(f"places farther than {radius} from everything")
 
 
 def current_lane(places: DataFrame, points: DataFrame, max_distance: float = 2.0, max_turn: float = np.pi / 8) -> DataFrame:
@@ -65,12 +82,12 @@ def current_lane(places: DataFrame, points: DataFrame, max_distance: float = 2.0
 
 
 def reachable(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
-    """(start, node, hop): nodes of a directed graph (src, dst) within some hops of each start, with the fewest hops."""
+    """(start, node, hop): nodes of a directed graph (src, dst) within some hops of each start, with the fewest hops. Each hop is written down."""
     seen = starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("hop"))
     front = seen
     for hop in range(1, hops + 1):
-        nxt = front.join(edges, front["node"] == edges["src"]).select("start", F.col("dst").alias("node")).distinct()
-        front = nxt.join(seen, ["start", "node"], "left_anti").withColumn("hop", F.lit(hop))
+        nxt = front.select("start", "node").join(edges, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
+        front = written(nxt.join(seen, ["start", "node"], "left_anti").withColumn("hop", F.lit(hop)))
         seen = seen.unionByName(front)
     return seen
 
@@ -141,6 +158,78 @@ def interpolate(elements: DataFrame, n: int, line: str = "center") -> DataFrame:
     return elements.withColumn(line, even(line))
 
 
+def even_points(points: DataFrame, counts: DataFrame, *keys: str) -> DataFrame:
+    """Lines (``keys``, seq, x, y, z) brought to as many points at even arc lengths as ``counts`` (``keys``, n) asks for."""
+    w = Window.partitionBy(*keys).orderBy("seq")
+    whole = Window.partitionBy(*keys)
+    step = F.sqrt(sum(F.pow(F.col(c) - F.lag(c).over(w), 2) for c in ("x", "y", "z")))
+    rows = points.withColumn("_d", F.coalesce(step, F.lit(0.0))).withColumn("_s", F.sum("_d").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    # A line without a length is dealt with by the number of its points.
+    rows = rows.withColumns({"_row": F.row_number().over(w) - 1, "_rows": F.count("*").over(whole), "_l": F.sum("_d").over(whole)})
+    share = F.when(F.col("_l") > 0, F.col("_s") / F.col("_l")).otherwise(F.col("_row") / F.greatest(F.col("_rows") - 1, F.lit(1)))
+    rows = rows.withColumn("_share", share).withColumns({f"_{c}": F.lead(c).over(w) for c in ("x", "y", "z")}).withColumn("_next", F.lead("_share").over(w))
+    rows = rows.join(counts.select(*keys, "n"), list(keys))
+    first = lambda c: F.ceil(F.col(c) * (F.col("n") - 1) - 1e-9).cast("int")
+    last = F.when(F.col("_row") >= F.col("_rows") - 2, F.col("n") - 1).otherwise(first("_next") - 1)
+    rows = rows.filter((F.col("_row") < F.col("_rows") - 1) | (F.col("_rows") == 1)).withColumns({"_a": F.when(F.col("_rows") == 1, 0).otherwise(first("_share")), "_b": last})
+    rows = rows.filter("_a <= _b").withColumn("k", F.explode(F.sequence("_a", "_b")))
+    at = F.when(F.col("n") > 1, F.col("k") / (F.col("n") - 1)).otherwise(0.0)
+    gap = F.col("_next") - F.col("_share")
+    t = F.when(gap > 0, F.least(F.greatest((at - F.col("_share")) / gap, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
+    return rows.select(*keys, F.col("k").alias("seq"), *(F.coalesce(F.col(c) + (F.col(f"_{c}") - F.col(c)) * t, F.col(c)).alias(c) for c in ("x", "y", "z")))
+
+
+def relative_to_line(places: DataFrame, points: DataFrame) -> DataFrame:
+    """(place_id, seq, along, across, turn) for each point of the line of each place (place_id, map_id, elem_id, x, y, h): the place seen from
+    the point in the direction of the line at its nearest point, and the wrapped turn against that direction. The first of equally near points counts."""
+    line = points.select("map_id", "elem_id", "seq", F.col("x").alias("px"), F.col("y").alias("py"), F.col("h").alias("ph"))
+    pairs = places.select("place_id", "map_id", "elem_id", "x", "y", "h").join(line, ["map_id", "elem_id"])
+    dx, dy = F.col("x") - F.col("px"), F.col("y") - F.col("py")
+    w = Window.partitionBy("place_id")
+    pairs = pairs.withColumn("_h", F.min(F.struct(F.hypot(dx, dy).alias("d"), "seq", "ph")).over(w)["ph"])
+    c, s = F.cos("_h"), F.sin("_h")
+    return pairs.select("place_id", "seq", (dx * c + dy * s).alias("along"), (dy * c - dx * s).alias("across"), wrap(F.col("h") - F.col("_h")).alias("turn"))
+
+
+def midpoints(points: DataFrame) -> DataFrame:
+    """The point in the middle of each line: of n points the one at n // 2."""
+    n = points.groupBy("map_id", "elem_id").agg(F.count("*").alias("_n"))
+    row = F.row_number().over(Window.partitionBy("map_id", "elem_id").orderBy("seq")) - 1
+    return points.withColumn("_row", row).join(n, ["map_id", "elem_id"]).filter(F.col("_row") == F.floor(F.col("_n") / 2)).drop("_row", "_n")
+
+
+# Maps as sets of elements.
+
+
+def layers_of(elements: DataFrame, layers: tuple[str, ...] | None = None) -> DataFrame:
+    """The elements of some layers (names of ``schema.MAP_ELEMENTS``); all of them by default."""
+    return elements if layers is None else elements.filter(F.col("elem_type").isin(*(MAP_ELEMENTS[x] for x in layers)))
+
+
+def differing_elements(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(map_id, elem_id, only_in) of elements that one of two maps has and the other lacks; none: they are equal."""
+    left, right = (m.select("map_id", "elem_id").distinct() for m in (a, b))
+    return left.subtract(right).withColumn("only_in", F.lit("first")).unionByName(right.subtract(left).withColumn("only_in", F.lit("second")))
+
+
+def remapped_lanes(links: DataFrame, pieces: DataFrame) -> DataFrame:
+    """Links (elem_id, kind, other) between lanes that were cut into ``pieces`` (elem_id, chunk, piece_id), as links between pieces.
+
+    An adjacent lane stands for all its pieces, next to every piece; the lane before for its last piece, before the
+    first one; the lane after for its first piece, after the last one. Pieces of a lane follow each other.
+    """
+    ends = pieces.groupBy("elem_id").agg(F.min_by("piece_id", "chunk").alias("first"), F.max_by("piece_id", "chunk").alias("last"))
+    mine, theirs = ends.select("elem_id", F.col("first").alias("m_first"), F.col("last").alias("m_last")), ends.select(F.col("elem_id").alias("other"), F.col("first").alias("o_first"), F.col("last").alias("o_last"))
+    both = links.join(mine, "elem_id").join(theirs, "other")
+    before = both.filter("kind = 'previous'").select(F.col("m_first").alias("piece_id"), "kind", F.col("o_last").alias("other_id"))
+    after = both.filter("kind = 'next'").select(F.col("m_last").alias("piece_id"), "kind", F.col("o_first").alias("other_id"))
+    beside = links.filter("kind NOT IN ('previous', 'next')").join(pieces.select("elem_id", "piece_id"), "elem_id").join(pieces.select(F.col("elem_id").alias("other"), F.col("piece_id").alias("other_id")), "other").select("piece_id", "kind", "other_id")
+    follow = F.lead("piece_id").over(Window.partitionBy("elem_id").orderBy("chunk"))
+    inner = pieces.withColumn("_next", follow).filter("_next IS NOT NULL")
+    inside = inner.select("piece_id", F.lit("next").alias("kind"), F.col("_next").alias("other_id")).unionByName(inner.select(F.col("_next").alias("piece_id"), F.lit("previous").alias("kind"), F.col("piece_id").alias("other_id")))
+    return before.unionByName(after).unionByName(beside).unionByName(inside).distinct()
+
+
 def project(places: DataFrame, points: DataFrame) -> DataFrame:
     """The nearest place on a given element's line (places: place_id, map_id, elem_id, x, y): px, py, heading of the segment, distance."""
     w = Window.partitionBy("map_id", "elem_id").orderBy("seq")
@@ -204,15 +293,8 @@ def areas_within(places: DataFrame, areas: DataFrame, radius: float, cell: float
 
 def nearest_area(places: DataFrame, areas: DataFrame, first_radius: float, rounds: int = 30) -> DataFrame:
     """(place_id, elem_id, distance) of the nearest area, by doubled radii as in ``nearest_lane``."""
-    rest, found, radius = places, None, first_radius
-    for _ in range(rounds):
-        best = areas_within(rest, areas, radius, radius).groupBy("place_id").agg(F.min(F.struct("distance", "elem_id")).alias("b")).select("place_id", "b.elem_id", "b.distance").persist()
-        found = best if found is None else found.unionByName(best)
-        rest = rest.join(best, "place_id", "left_anti").persist()
-        if rest.isEmpty():
-            return found
-        radius *= 2
-    raise ValueError(f"places farther than {radius} from every area")
+    rest = places.filter(found_place("x", "y")).join(areas.select("map_id").distinct(), "map_id", "left_semi")
+    return by_doubling(rest, lambda some, radius: areas_within(some, areas, radius, radius), first_radius, rounds)
 
 
 def extent(points: DataFrame) -> DataFrame:

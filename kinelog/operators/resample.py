@@ -10,14 +10,14 @@ from ..schema import AGENT
 from .derive import by_agent
 
 
-def upsample(states: DataFrame, factor: int, columns: tuple[str, ...], angle: str | None = None) -> DataFrame:
+def upsample(states: DataFrame, factor: int, columns: tuple[str, ...], angle: str | None = None, constant: tuple[str, ...] = ()) -> DataFrame:
     """Each sample at ``factor`` times its timestep and linear ones between two. The last sample adds none.
 
-    An angle goes the short way round and comes out wrapped.
+    An angle goes the short way round and comes out wrapped. Constant columns go on from the sample before.
     """
     w = by_agent()
     every = (*columns, *([angle] if angle else []))
-    rows = states.select(*AGENT, "scene_ts", *every, F.lead("scene_ts").over(w).alias("_n"), *(F.lead(c).over(w).alias(f"_n_{c}") for c in every))
+    rows = states.select(*AGENT, "scene_ts", *every, *constant, F.lead("scene_ts").over(w).alias("_n"), *(F.lead(c).over(w).alias(f"_n_{c}") for c in every))
     steps = F.coalesce((F.col("_n") - F.col("scene_ts")) * factor, F.lit(1))
     rows = rows.withColumn("_steps", steps).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_steps") - 1)))
     share = F.col("_i") / F.col("_steps")
@@ -28,7 +28,7 @@ def upsample(states: DataFrame, factor: int, columns: tuple[str, ...], angle: st
             return wrap(F.col(c) + F.coalesce(wrap(move) * share, F.lit(0.0))).alias(c)
         return F.when(F.col("_i") == 0, F.col(c)).otherwise(F.col(c) + move * share).alias(c)
 
-    return rows.select(*AGENT, (F.col("scene_ts") * factor + F.col("_i")).alias("scene_ts"), *map(between, every))
+    return rows.select(*AGENT, (F.col("scene_ts") * factor + F.col("_i")).alias("scene_ts"), *map(between, every), *constant)
 
 
 def downsample(states: DataFrame, factor: int) -> DataFrame:

@@ -1 +1,5 @@
+"""The registered queries."""
 
+from . import queries, scene_queries
+
+__all__ = ["queries", "scene_queries"]

@@ -414,21 +414,21 @@ def simulation_run(spark, d):
     return simulation.run(simulation.snapshot(s, 10), actions, 10).select(*KEYS, *(r(c).alias(c) for c in ("x", "y", "vx", "vy", "ax", "ay")))
 
 
-# Maps. The tracks of scene 0 stand for lanes, the places of scene 1 ask.
+# Maps. A scene is a map, its tracks stand for lanes, and every state asks from a place beside its own.
 
-_MAP = f"""WITH {t.TRAJ}, points AS (SELECT agent_id AS elem_id, scene_ts AS seq, x AS px, y AS py FROM traj WHERE scene = 0),
-places AS (SELECT agent_id * 1000 + scene_ts AS place_id, x, y FROM traj WHERE scene = 1 AND scene_ts % 10 = 0),
-pairs AS (SELECT place_id, elem_id, seq, sqrt((x - px) * (x - px) + (y - py) * (y - py)) AS distance FROM places CROSS JOIN points)"""
+_MAP = f"""WITH {t.STATES}, points AS (SELECT scene, agent_id AS elem_id, scene_ts AS seq, x AS px, y AS py, heading AS ph FROM states),
+places AS (SELECT scene, agent_id * 4294967296 + scene_ts AS place_id, x + 1.25 AS x, y - 0.75 AS y, heading AS h FROM states),
+pairs AS (SELECT place_id, elem_id, seq, h, ph, sqrt((x - px) * (x - px) + (y - py) * (y - py)) AS distance FROM places JOIN points USING (scene))"""
 
 
 def map_points(spark, d):
-    p = t.positions(spark, d).filter("scene = 0")
-    return p.select(F.lit("m").alias("map_id"), F.col("agent_id").alias("elem_id"), F.col("scene_ts").alias("seq"), "x", "y", F.lit(0.0).alias("z"), F.lit(0.0).alias("h"))
+    p = t.states(spark, d)
+    return p.select(F.col("scene").alias("map_id"), F.col("agent_id").alias("elem_id"), F.col("scene_ts").alias("seq"), "x", "y", F.lit(0.0).alias("z"), F.col("heading").alias("h"))
 
 
 def map_places(spark, d):
-    p = t.positions(spark, d).filter("scene = 1 AND scene_ts % 10 = 0")
-    return p.select((F.col("agent_id") * 1000 + F.col("scene_ts")).alias("place_id"), F.lit("m").alias("map_id"), "x", "y", F.lit(0.0).alias("z"), F.lit(0.0).alias("h"))
+    p = t.states(spark, d)
+    return p.select((F.col("agent_id") * 4294967296 + F.col("scene_ts")).alias("place_id"), F.col("scene").alias("map_id"), (F.col("x") + 1.25).alias("x"), (F.col("y") - 0.75).alias("y"), F.lit(0.0).alias("z"), F.col("heading").alias("h"))
 
 
 @query(_MAP + " SELECT DISTINCT place_id, elem_id FROM pairs WHERE distance <= 1.5")
@@ -436,18 +436,22 @@ def lanes_within(spark, d):
     return maps.lanes_within(map_places(spark, d), map_points(spark, d), 1.5)
 
 
-@query(_MAP + ", k AS (SELECT *, row_number() OVER (PARTITION BY place_id ORDER BY distance, elem_id) AS r FROM pairs) SELECT place_id, elem_id, round(distance, 6) AS distance FROM k WHERE r = 1")
+@query(_MAP + " SELECT place_id, m.elem_id, round(m.distance, 6) AS distance FROM (SELECT place_id, min({'distance': distance, 'elem_id': elem_id}) AS m FROM pairs GROUP BY place_id)")
 def nearest_lane(spark, d):
     return maps.nearest_lane(map_places(spark, d), map_points(spark, d), 8.0).select("place_id", "elem_id", r("distance").alias("distance"))
 
 
-@query(_MAP + """, c AS (SELECT place_id, elem_id, min(distance) AS cost FROM pairs WHERE distance <= 2.0 GROUP BY ALL)
+_TURN = "abs((h - ph + pi()) - floor((h - ph + pi()) / (2 * pi())) * 2 * pi() - pi())"
+
+
+@query(_MAP + f""", k AS (SELECT place_id, elem_id, distance, {_TURN} AS turn FROM pairs WHERE distance <= 6.0),
+c AS (SELECT place_id, elem_id, min(distance + 0.1 * turn) AS cost FROM k WHERE turn < pi() / 8 GROUP BY ALL)
 SELECT place_id, elem_id, round(cost, 6) AS cost, row_number() OVER (PARTITION BY place_id ORDER BY cost, elem_id) AS rank FROM c""")
 def current_lane(spark, d):
-    return maps.current_lane(map_places(spark, d), map_points(spark, d)).select("place_id", "elem_id", r("cost").alias("cost"), F.col("rank").cast("long").alias("rank"))
+    return maps.current_lane(map_places(spark, d), map_points(spark, d), 6.0).select("place_id", "elem_id", r("cost").alias("cost"), F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"""WITH {t.TRAJ}, e AS (SELECT agent_id AS elem_id, scene_ts AS seq, CAST(trunc((x - lag(x, 1, 0.0) OVER w) * 1000) AS INTEGER) AS dx, CAST(trunc((y - lag(y, 1, 0.0) OVER w) * 1000) AS INTEGER) AS dy FROM traj WHERE scene = 0 WINDOW w AS {t.BY})
+@query(f"""WITH {t.TRAJ}, e AS (SELECT agent_id AS elem_id, scene_ts AS seq, CAST(trunc((x - lag(x, 1, 0.0) OVER w) * 1000) AS INTEGER) AS dx, CAST(trunc((y - lag(y, 1, 0.0) OVER w) * 1000) AS INTEGER) AS dy FROM traj WINDOW w AS {t.BY})
 SELECT elem_id, seq, CAST(sum(dx) OVER w AS DOUBLE) / 1000 AS x, CAST(sum(dy) OVER w AS DOUBLE) / 1000 AS y FROM e WINDOW w AS (PARTITION BY elem_id ORDER BY seq ROWS UNBOUNDED PRECEDING)""")
 def delta_codec(spark, d):
     return maps.decode(maps.encode(map_points(spark, d))).select("elem_id", "seq", "x", "y")
@@ -463,21 +467,21 @@ def lane_edges(spark, d):
     return up.unionByName(up.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).unionByName(s.select(name("s", "s_suppkey").alias("src"), name("n", "s_nationkey").alias("dst"))).distinct()
 
 
-@query(f"""WITH RECURSIVE {_EDGES_SQL}, w AS (SELECT 's' || s_suppkey AS start, 's' || s_suppkey AS node, 0 AS hop FROM supplier WHERE s_suppkey <= 5
+@query(f"""WITH RECURSIVE {_EDGES_SQL}, w AS (SELECT 's' || s_suppkey AS start, 's' || s_suppkey AS node, 0 AS hop FROM supplier
 UNION SELECT w.start, edges.dst, w.hop + 1 FROM w JOIN edges ON w.node = edges.src WHERE w.hop < 3)
 SELECT start, node, CAST(min(hop) AS INTEGER) AS hop FROM w GROUP BY start, node""")
 def lane_graph(spark, d):
-    s = t.table(spark, d, "supplier").filter("s_suppkey <= 5")
+    s = t.table(spark, d, "supplier")
     return maps.reachable(lane_edges(spark, d), s.select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("node")), 3)
 
 
-@query("""SELECT DISTINCT a.l_partkey AS elem_id, b.l_partkey AS other FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey WHERE a.l_returnflag = 'R' AND b.l_returnflag = 'R'""")
+@query("""SELECT DISTINCT a.l_partkey AS elem_id, b.l_partkey AS other FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey""")
 def shared_borders(spark, d):
-    rows = t.table(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_partkey").alias("elem_id"), F.col("l_orderkey").alias("border_id"))
+    rows = t.table(spark, d, "lineitem").select(F.col("l_partkey").alias("elem_id"), F.col("l_orderkey").alias("border_id"))
     return maps.adjacent_by_border(rows)
 
 
-# The same over whole tables: every state asks, every track is a lane, every supplier starts, every line item is a border.
+# The same with one map for all scenes, where every state asks from its own place.
 
 _MAP_ALL = f"""WITH {t.TRAJ}, points AS (SELECT agent_id AS elem_id, scene_ts AS seq, x AS px, y AS py FROM traj),
 places AS (SELECT agent_id * 4294967296 + scene_ts AS place_id, x, y FROM traj),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.angles import enu
-from ..operators.maps import with_headings
+from ..operators.maps import even_points, with_headings
 
 
 def lanelet_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
@@ -36,13 +36,11 @@ def lanelet_points(tables: dict[str, DataFrame], map_id: str, origin: tuple[floa
 
 
 def lanelet_centers(points: DataFrame) -> DataFrame:
-    """Center lines: the mean of both borders at even shares of their points, with headings; points as the map operators take them."""
-    n = points.groupBy("map_id", "elem_id", "side").agg(F.count("*").alias("n"))
-    share = F.when(F.col("n") > 1, F.round(F.col("seq") / (F.col("n") - 1) * 10)).otherwise(0).cast("int")
-    cells = points.join(n, ["map_id", "elem_id", "side"]).withColumn("k", share)
-    sides = cells.groupBy("map_id", "elem_id", "k", "side").agg(*(F.avg(c).alias(c) for c in ("x", "y", "z")))
-    middle = sides.groupBy("map_id", "elem_id", F.col("k").alias("seq")).agg(F.count("*").alias("m"), *(F.avg(c).alias(c) for c in ("x", "y", "z"))).filter("m = 2").drop("m")
-    return with_headings(middle)
+    """Center lines: both borders brought to as many points as the longer one has, then their means, with headings. A lanelet with one border has none."""
+    sizes = points.groupBy("map_id", "elem_id", "side").agg(F.count("*").alias("n"))
+    n = sizes.groupBy("map_id", "elem_id").agg(F.max("n").alias("n"), F.count("*").alias("sides")).filter("sides = 2")
+    even = even_points(points, sizes.drop("n").join(n.drop("sides"), ["map_id", "elem_id"]), "map_id", "elem_id", "side")
+    return with_headings(even.groupBy("map_id", "elem_id", "seq").agg(*(F.avg(c).alias(c) for c in ("x", "y", "z"))))
 
 
 def lanelet_borders(tables: dict[str, DataFrame]) -> DataFrame:

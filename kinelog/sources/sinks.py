@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.resample import downsample, upsample
+from ..schema import AGENT
 from ..spec import ratio
 
 
@@ -25,7 +26,9 @@ def states_at(spark: SparkSession, path: str, env: str, native_dt: float, dt: fl
     found = read_states(spark, path, env, dt)
     if not found.isEmpty():
         return found
-    native, factor = read_states(spark, path, env, native_dt), ratio(native_dt, dt)
-    columns = ("x", "y", "z", "vx", "vy", "ax", "ay", "length", "width", "height")
-    save_states(upsample(native, factor, columns, "heading") if factor > 0 else downsample(native, -factor).drop("env", "dt"), path, env, dt)
+    native, factor = read_states(spark, path, env, native_dt).drop("env", "dt"), ratio(native_dt, dt)
+    moving = [c for c in ("x", "y", "z", "vx", "vy", "ax", "ay", "length", "width", "height") if c in native.columns]
+    constant = [c for c in native.columns if c not in (*AGENT, "scene_ts", "heading", *moving)]
+    made = upsample(native, factor, tuple(moving), "heading", tuple(constant)) if factor > 0 else downsample(native, -factor)
+    save_states(made.select(*native.columns), path, env, dt)
     return read_states(spark, path, env, dt)

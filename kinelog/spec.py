@@ -37,12 +37,15 @@ class QuerySpec:
     centric: str = "agent"
     pad: str = "outside"
     ego_only: bool = False
+    with_ego_future: bool = False
 
     def __post_init__(self) -> None:
         if self.centric not in ("agent", "scene"):
             raise ValueError("centric is agent or scene")
         if self.pad not in ("outside", "right"):
             raise ValueError("pad is outside or right")
+        if self.ego_only and self.with_ego_future:
+            raise ValueError("an ego whose future is given is not predicted")
         if self.dt <= 0:
             raise ValueError("dt is positive")
         for low, high in (self.history, self.future):
