@@ -56,7 +56,7 @@ def nearest_lane(places: DataFrame, points: DataFrame, first_radius: float, roun
     """
     points = points.filter(found_place("x", "y", "z"))
     maps = points.select("map_id").distinct()
-    rest = places.filter(found_place("x", "y", "z")).join(maps, "map_id", "left_semi")
+    rest = written(places.filter(found_place("x", "y", "z"))).join(maps, "map_id", "left_semi")
     return by_doubling(rest, lambda some, radius: near_points(some, points, radius), first_radius, rounds)
 
 
@@ -293,7 +293,7 @@ def areas_within(places: DataFrame, areas: DataFrame, radius: float, cell: float
 
 def nearest_area(places: DataFrame, areas: DataFrame, first_radius: float, rounds: int = 30) -> DataFrame:
     """(place_id, elem_id, distance) of the nearest area, by doubled radii as in ``nearest_lane``."""
-    rest = places.filter(found_place("x", "y")).join(areas.select("map_id").distinct(), "map_id", "left_semi")
+    rest = written(places.filter(found_place("x", "y"))).join(areas.select("map_id").distinct(), "map_id", "left_semi")
     return by_doubling(rest, lambda some, radius: areas_within(some, areas, radius, radius), first_radius, rounds)
 
 

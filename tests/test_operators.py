@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinelog.functions import angles, formats
-from kinelog.operators import derive, elements, index, maps, metrics, neighbors, resample, simulation, vectors, windows
+from kinelog.operators import derive, elements, index, lookup, maps, metrics, neighbors, resample, scenes, simulation, vectors, windows
 from kinelog.spec import QuerySpec, ratio, steps
 
 KIND = "scene long, agent_id long, scene_ts long, x double, y double"
@@ -237,3 +237,101 @@ def test_empty_tables(spark):
     assert elements.agent_elements(index.agent_index(found, spec), none, spec).count() == 0
     assert index.scene_index(found, spec).count() == 0 and index.ordinals(found, spec).count() == 0
     assert resample.upsample(none, 2, ("x",)).count() == 0 and derive.fill_gaps(none, "x").count() == 0
+
+
+def test_places_without_coordinates_have_no_lane(spark):
+    points = spark.createDataFrame([("m", 1, 0, 0.0, 0.0, 0.0, 0.0), ("m", 2, 0, 300.0, 0.0, 0.0, 0.0), ("m", 3, 0, math.nan, 0.0, 0.0, 0.0)], "map_id string, elem_id long, seq long, x double, y double, z double, h double")
+    places = spark.createDataFrame([(1, "m", 100.0, 0.0, 0.0), (2, "m", None, 0.0, 0.0), (3, "m", math.nan, 0.0, 0.0), (4, "other", 0.0, 0.0, 0.0), (5, "m", 160.0, 0.0, 0.0)], "place_id long, map_id string, x double, y double, z double")
+    assert collect(maps.nearest_lane(places, points, 1.0), "place_id", "elem_id") == [(1, 1), (5, 2)]
+    ring = [{"x": a, "y": b, "z": 0.0, "h": 0.0} for a, b in ((0.0, 0.0), (1.0, 0.0), (1.0, 1.0))]
+    areas = spark.createDataFrame([("m", 7, ring, [])], "map_id string, elem_id long, polygon array<struct<x:double,y:double,z:double,h:double>>, holes array<array<struct<x:double,y:double,z:double,h:double>>>")
+    assert collect(maps.nearest_area(places, areas, 1.0), "place_id", "elem_id") == [(1, 7), (5, 7)]
+
+
+def test_index_sizes_and_ordinals_follow_the_same_agents(spark):
+    found = spark.createDataFrame([("s", "ego", 0, 9, 1), ("s", "a", 0, 4, 2), ("s", "b", 2, 8, 1)], "scene string, agent_id string, first_ts long, last_ts long, agent_type int")
+    for spec, names in (
+        (QuerySpec(dt=1.0), {"ego", "a", "b"}), (QuerySpec(dt=1.0, ego_only=True), {"ego"}), (QuerySpec(dt=1.0, with_ego_future=True), {"a", "b"}),
+        (QuerySpec(dt=1.0, only_types=frozenset((1, 2)), only_predict=frozenset((2,))), {"a"}),
+    ):
+        listed = index.agent_index(found, spec)
+        assert {r.agent_id for r in listed.collect()} == names
+        assert index.index_sizes(found, spec).first().n == listed.count()
+        ends = [(r.first_ordinal, r.first_ordinal + r.hi_ts - r.lo_ts + 1) for r in index.ordinals(found, spec).orderBy("agent_id").collect()]
+        assert [a for a, _ in ends] == [0, *(b for _, b in ends[:-1])] and ends[-1][1] == listed.count()
+    with pytest.raises(ValueError):
+        QuerySpec(dt=1.0, ego_only=True, with_ego_future=True)
+
+
+def test_scenes_by_tag_and_seeded_orders(spark):
+    listed = spark.createDataFrame(
+        [("e", "a", "boston-port", "train", 5, "Rain"), ("e", "b", "boston-hill", "val", 5, "sun"), ("e", "c", "boston-port", "train", 1, "rain"), ("f", "d", "boston-port", "train", 5, "rain")],
+        "env string, name string, location string, data_split string, length_timesteps int, description string",
+    )
+    names = lambda df: sorted(r.name for r in df.collect())
+    assert names(index.of_source(listed, "e", ["train-boston", "val"], by_prefix=True)) == ["a", "b"]
+    assert names(index.of_source(listed, "e", ["train-boston"])) == [] and names(index.of_source(listed, "e", ["e", "train"], ["RAIN"])) == ["a"]
+    split = index.shuffled_split([f"n{i}" for i in range(10)], {"train": 0.7, "val": 0.2, "test": 0.1})
+    assert split == index.shuffled_split([f"n{i}" for i in range(10)], {"train": 0.7, "val": 0.2, "test": 0.1})
+    assert sorted(split.values()) == ["test"] + ["train"] * 7 + ["val"] * 2
+    order = [r.name for r in index.shuffled(listed, 3, "name").collect()]
+    assert order == [r.name for r in index.shuffled(listed.repartition(3), 3, "name").collect()] and sorted(order) == ["a", "b", "c", "d"]
+
+
+def test_scene_elements_with_an_ego(spark):
+    rows = [("s", a, ts, i * 2.0, ts * 1.0, 1) for i, a in enumerate(("a", "ego", "z")) for ts in range(3) if a != "z" or ts < 2]
+    states = derive.velocities(spark.createDataFrame(rows, "scene string, agent_id string, scene_ts long, x double, y double, agent_type int"))
+    moments = states.select("scene", "scene_ts").distinct()
+    spec = QuerySpec(dt=1.0, history=(None, 1.0), future=(None, 1.0))
+    got = {r.scene_ts: r for r in scenes.scene_elements(moments, states, spec).collect()}
+    assert {t: (r.center_id, [a.agent_id for a in r.agents]) for t, r in got.items()} == {0: ("ego", ["ego", "a", "z"]), 1: ("ego", ["ego", "a", "z"]), 2: ("ego", ["ego", "a"])}
+    assert [len(r.robot) for _, r in sorted(got.items())] == [2, 2, 1] and got[1].agents[1].history[-1].x == pytest.approx(0.0, abs=1e-9) and got[1].agents[1].history[-1].y == pytest.approx(2.0)
+    cut = scenes.scene_elements(moments, states, spec, max_agents=1).collect()
+    assert {r.center_id for r in cut} == {"a"} and {r.num_agents for r in cut} == {1}
+    elements_ = scenes.scene_elements(moments, states, spec)
+    batch = scenes.scene_collate(elements_, "scene_ts", 8, spec).collect()
+    assert {len(r.agents) for r in batch} == {3} and all(len(a.history) == 2 and len(a.future) == 1 for r in batch for a in r.agents if a)
+    picked = {r.scene_ts: r for r in scenes.to_agent_batch(elements_, F.lit(1)).collect()}
+    assert picked[0].agent_id == "a" and [n.agent_id for n in picked[0].neighbors] == ["ego", "z"] and picked[2].num_neighbors == 1
+    with pytest.raises(Exception, match="no such agent"):
+        scenes.to_agent_batch(elements_, F.lit(2)).collect()
+    assert scenes.scene_elements(moments, states.limit(0), spec).count() == 0
+
+
+def test_elements_filtered_by_mask_and_changed(spark):
+    e = spark.createDataFrame([("s", "a", 0, 1), ("s", "a", 1, 1), ("s", "b", 0, 2)], "scene string, agent_id string, scene_ts long, agent_type int")
+    mask = spark.createDataFrame([("s", "a", 0, True), ("s", "b", 0, False)], "scene string, agent_id string, scene_ts long, keep boolean")
+    assert collect(scenes.masked(e, mask, "scene", "agent_id", "scene_ts"), "agent_id", "scene_ts") == [("a", 0)]
+    assert collect(scenes.agent_types(e), "agent_type") == [(1,), (2,)] and scenes.of_agent_type(e, 2).count() == 1
+    assert collect(scenes.augmented(e, lambda d: d.filter("scene_ts = 0"), lambda d: d.withColumn("agent_type", F.lit(9))), "agent_type") == [(9,), (9,)]
+    assert collect(scenes.kept_by(e, F.col("scene_ts") >= 0, 2, ("scene_ts", "agent_id")), "agent_id", "scene_ts") == [("a", 0), ("b", 0)]
+
+
+def test_lookups_and_setters(spark):
+    rng = random.Random(4)
+    states = derive.velocities(spark.createDataFrame(tracks(rng), KIND))
+    frames = states.filter("scene_ts = 4").groupBy("scene").agg(F.min_by(F.struct("x", "y", "vx", "vy", "ax", "ay", "heading"), "agent_id").alias("f")).select("scene", "f.*")
+    seen = lookup.observed(states, frames)
+    for got, want in ((lookup.restored(seen, frames), states),):
+        pairs = {tuple(r)[:3]: r for r in got.collect()}
+        for r in want.join(frames.select("scene"), "scene", "left_semi").collect():
+            g = pairs[tuple(r)[:3]]
+            assert [g.x, g.vy, g.ax, math.cos(g.heading)] == pytest.approx([r.x, r.vy, r.ax, math.cos(r.heading)], abs=1e-9)
+    one = states.first()
+    assert lookup.state_of(states, one.scene, one.agent_id, one.scene_ts).first() == one
+    assert lookup.states_of(states, states.unionByName(states).limit(3)).count() <= 3
+    with pytest.raises(ValueError):
+        lookup.with_elements(states, v_lon=F.lit(0.0))
+    assert lookup.value_of(states, states, "x", frames).count() == seen.count()
+
+
+def test_simulation_carries_extents_and_height(spark):
+    states = derive.velocities(spark.createDataFrame(tracks(random.Random(5)), KIND)).withColumns({"z": F.lit(2.0), "length": F.col("agent_id") + 0.5, "agent_type": F.lit(1)})
+    start = simulation.snapshot(states, 3)
+    moves = start.filter("scene_ts = 3").select("scene", "agent_id", (F.col("scene_ts") + 1).alias("scene_ts"), "x", "y", "heading")
+    after = simulation.step(start, moves, 3)
+    assert all(r.z == 2.0 and r.length == r.agent_id + 0.5 and r.agent_type == 1 for r in after.collect())
+    raised = simulation.run(start, moves.withColumn("z", F.lit(7.0)), 3).collect()
+    assert raised and all(r.z == 7.0 for r in raised)
+    added = simulation.add_agents(after, moves.withColumn("agent_id", F.col("agent_id") + 100)).filter("agent_id >= 100")
+    assert added.count() == moves.count() and added.filter("length IS NOT NULL").count() == 0

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinelog.operators import maps as map_operators
-from kinelog.sources import maps, registry, sinks, tracks
+from kinelog.sources import maps, registry, sinks, store, tracks
 from kinelog.sources.common import STATES
 
 
@@ -144,3 +144,45 @@ def test_states_on_disk_and_at_another_timestep(spark, tmp_path):
     up = sinks.states_at(spark, f"{tmp_path}/out", "eupeds", 0.4, 0.2)
     assert up.count() == 18 and sinks.states_at(spark, f"{tmp_path}/out", "eupeds", 0.4, 0.2).count() == 18
     assert "PartitionFilters: [" in up._jdf.queryExecution().executedPlan().toString()
+
+
+def test_columns_survive_another_timestep(spark, tmp_path):
+    (tmp_path / "hall.txt").write_text("\n".join(f"{10 * t}.0\t{a}.0\t{t * 0.4}\t{a}.0" for a in (1, 2) for t in range(5)))
+    s = tracks.walkers(spark, f"{tmp_path}/hall.txt")
+    sinks.save_states(s.states, f"{tmp_path}/out", "eupeds", 0.4)
+    for dt, n in ((0.2, 18), (0.8, 6)):
+        found = sinks.states_at(spark, f"{tmp_path}/out", "eupeds", 0.4, dt)
+        assert set(found.columns) == {*s.states.columns, "env", "dt"}
+        assert [r.agent_type for r in found.collect()] == [2] * n and {r.length for r in found.collect()} == {0.75}
+
+
+def test_center_lines_have_all_points(spark):
+    border = lambda side, n, y: [("m", 1, side, i, 10.0 * i / (n - 1), y, 0.0) for i in range(n)]
+    rows = border("left", 101, 2.0) + border("right", 34, 0.0) + [("m", 2, "left", i, float(i), 0.0, 0.0) for i in range(3)] + [("m", 3, s, i, 5.0, 5.0, 0.0) for s in ("left", "right") for i in range(2)]
+    points = spark.createDataFrame(rows, "map_id string, elem_id long, side string, seq int, x double, y double, z double")
+    got = maps.lanelet_centers(points).orderBy("elem_id", "seq").collect()
+    one = [r for r in got if r.elem_id == 1]
+    assert [r.seq for r in one] == list(range(101)) and [r.x for r in one] == pytest.approx([i / 10 for i in range(101)]) and {round(r.y, 9) for r in one} == {1.0}
+    assert [(r.elem_id, r.x, r.y) for r in got if r.elem_id > 1] == [(3, 5.0, 5.0)] * 2  # a lanelet with one border has no center line
+
+
+def test_stored_tables(spark, tmp_path):
+    path, made = str(tmp_path / "index"), []
+
+    def make():
+        made.append(1)
+        return spark.range(5).withColumnRenamed("id", "k")
+
+    for _ in range(2):
+        assert store.stored(spark, path, {"b": 1, "a": [2]}, make).count() == 5
+    assert made == [1] and store.key_of({"a": [2], "b": 1}) == store.key_of({"b": 1, "a": [2]}) != store.key_of({"b": 2, "a": [2]})
+    assert store.stored_elements(spark, path, {"b": 1, "a": [2]}, make, spark.range(9).withColumnRenamed("id", "k"), ("k",)).count() == 5
+    with pytest.raises(ValueError):
+        store.stored_elements(spark, path, {"b": 1, "a": [2]}, make, spark.range(3).withColumnRenamed("id", "k"), ("k",))
+    lanes = spark.createDataFrame([("a", 1, 1), ("a", 2, 3), ("b", 3, 1)], "map_id string, elem_id int, elem_type int")
+    store.save_maps(lanes, f"{tmp_path}/maps")
+    store.save_maps(lanes.filter("map_id = 'b'").withColumn("elem_id", F.lit(9)), f"{tmp_path}/maps")
+    assert [r.elem_id for r in store.read_map(spark, f"{tmp_path}/maps", "a", ("ped_crosswalk",)).collect()] == [2]
+    assert [r.elem_id for r in store.read_map(spark, f"{tmp_path}/maps", "b").collect()] == [9]
+    with pytest.raises(ValueError):
+        store.read_map(spark, f"{tmp_path}/maps", "c")
