@@ -1,8 +1,8 @@
 """Substring duplicates by a sparse suffix array.
 
 Suffixes are retained only at minimiser positions, which the content selects, and only where the minimiser recurs in another
-content. They are sorted over all partitions by their words (those that a window can reach, see ``repeats``). Neighbours
-are compared: the common prefix of any two suffixes is the least of the common prefixes of the neighbours between
+content. They are sorted over all partitions, by minimiser and then by their words (those that a window can reach, see
+``repeats``). Neighbours are compared: the common prefix of any two suffixes is the least of the common prefixes of the neighbours between
 them. From there a match is extended to the left as far as the words before the two places agree. Two suffixes
 of one minimiser whose match reaches WINDOW words mark it in the document of greater doc_id; a suffix is held against all
 those of its minimiser, since the one that agrees farthest to the right may not agree to the left.
@@ -58,7 +58,9 @@ def matches(some: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def compared(suffixes: DataFrame, large: int = LARGE) -> DataFrame:
     """Saved (kind, doc_id, content, begin, end, ref, shift, pos, block): SURE matches, and OPEN suffixes that one task can't settle."""
-    rows = suffixes.select("doc_id", "content", "pos", "block").repartitionByRange("block", "doc_id", "pos").sortWithinPartitions("block", "doc_id", "pos")
+    # Ranges are found from a sample of the keys on the driver, so the key is short: minimisers come in order of a hash, their suffixes by words.
+    rows = suffixes.select("doc_id", "content", "pos", "block", F.xxhash64(F.substring("block", 1, 8 * GRAM)).alias("g"))
+    rows = rows.repartitionByRange("g", "doc_id", "pos").sortWithinPartitions("g", "block", "doc_id", "pos").drop("g")
 
     def settled(part: pa.Table, some: np.ndarray, edges: bool) -> Iterator[list]:
         doc, pos = part.column(0).to_numpy(), part.column(2).to_numpy().astype(np.int64)
