@@ -10,7 +10,8 @@ factor, and the next begins at its end; other words are literals. At a factor's
 are checked, so a window of two references is not missed.
 
 Blocks of one minimiser are compared with each other in a task if they are at most ``LARGE``. If there are more, each block is
-looked up by its windows instead, of which the index then holds the least document and place.
+looked up by its windows instead, of which the index then holds the least document and place; only windows with a stem of
+``STEM`` words around the minimiser that two documents have are written down.
 
 Words in factors are removed. See ``repeats`` for nulls.
 """
@@ -25,8 +26,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import repeats
-from .common import groups, join_unique, mapped, saved, table
+from .common import chunks, groups, join_unique, mapped, saved, table
 from .repeats import RIGHT, WINDOW, Stretch
+from .shingles import word_hashes, words
 
 #: Different blocks of one minimiser that are extended against each other inside a task.
 LARGE = 256
@@ -34,19 +36,57 @@ _BLOCK = ("g", "b1", "b2")
 
 
 def places(found: DataFrame) -> DataFrame:
-    """The places of ``repeats.blocks``, saved, with 64 bits of the minimiser (g) and 128 of the block (b1, b2)."""
-    rows = repeats.blocks(found)
-    rows = rows.withColumns({"before": F.least("pos", F.lit(repeats.LEFT)), "after": F.least(F.col("size") - F.col("pos"), F.lit(RIGHT))})
-    return saved(rows.withColumns({"g": F.xxhash64(F.substring("block", 1, 8 * repeats.GRAM)), "b1": F.xxhash64("block"), "b2": F.xxhash64(F.lit(1), "block")}))
+    """Saved: every place of a shared minimiser with the words before and after it in its block, and 64 bits of the minimiser (g) and 128 of the block (b1, b2)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+        for batch in chunks(batches, 2):
+            flat, ends = word_hashes([words(t) for t in batch.column(2).to_pylist()])
+            shared = batch.column(3)
+            for k, (a, b) in enumerate(zip(ends[:-1], ends[1:])):
+                grams, at = repeats.anchors(flat[a:b])
+                at = np.unique(at)
+                at = at[np.isin(grams[at], shared[k].values.to_numpy().view(np.uint64))]
+                for s in range(0, len(at), repeats.SLICE):
+                    pos = at[s : s + repeats.SLICE]
+                    same = pa.array(np.zeros(len(pos), np.int64))
+                    some = repeats.block_words(flat[a:b], pos)
+                    b1, b2 = (repeats.hashes_of_rows(some, some.shape[1], second)[:, 0].view(np.int64) for second in (False, True))
+                    before, after = repeats.extents(some)
+                    yield [batch.column(0).slice(k, 1).take(same), batch.column(1).slice(k, 1).take(same), pos, before, after, grams[pos].view(np.int64), b1, b2]
+
+    ddl = "doc_id long, content binary, pos int, before int, after int, g long, b1 long, b2 long"
+    return saved(mapped(found.filter("text IS NOT NULL").select("doc_id", "content", "text", "anchors"), work, ddl))
 
 
 def reference_index(rows: DataFrame) -> DataFrame:
-    """(g, b1, b2, doc_id, pos, n, block), saved: each different block with its least document and place, and how many places have it."""
-    least = rows.groupBy(*_BLOCK).agg(F.min(F.struct("doc_id", "pos", "block")).alias("r"), F.count("*").alias("n"))
-    return saved(least.select(*_BLOCK, "r.doc_id", "r.pos", "n", "r.block"))
+    """(g, b1, b2, doc_id, content, pos, n, entry), saved: each different block with its least document and place, how many places have it, and a number."""
+    least = rows.groupBy(*_BLOCK).agg(F.min(F.struct("doc_id", "content", "pos")).alias("r"), F.count("*").alias("n"))
+    return saved(least.select(*_BLOCK, "r.*", "n", F.monotonically_increasing_id().alias("entry")))
+
 
+def with_words(found: DataFrame, index: DataFrame) -> DataFrame:
+    """(entry, g, size, doc_id, pos, block), saved: the words of the indexed blocks whose minimiser has ``size`` different ones, two or more."""
+    sizes = saved(index.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").withColumn("size", F.col("n")))
+    wanted = join_unique(index.select("entry", "g", "doc_id", "content", "pos"), sizes, "g")
+    per = wanted.groupBy("doc_id", "content").agg(F.collect_list(F.struct("entry", "g", "size", "pos")).alias("w"))  # bounded by one text
+    # Rows repeated under one doc_id are one text.
+    texts = found.filter("text IS NOT NULL").select("doc_id", "content", "text").join(per, ["doc_id", "content"])
+    texts = texts.select("doc_id", "text", *(F.col("w")[c].alias(c) for c in ("entry", "g", "size", "pos")))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+        for batch in chunks(batches):
+            flat, ends = word_hashes([words(t) for t in batch.column(1).to_pylist()])
+            for k, (a, b) in enumerate(zip(ends[:-1], ends[1:])):
+                entry, g, size, pos = (batch.column(c)[k].values.to_numpy() for c in range(2, 6))
+                for s in range(0, len(pos), repeats.SLICE):
+                    e = slice(s, s + repeats.SLICE)
+                    n = len(pos[e])
+                    yield [entry[e], g[e], size[e], batch.column(0).slice(k, 1).take(pa.array(np.zeros(n, np.int64))), pos[e], repeats.binaries(repeats.block_words(flat[a:b], pos[e]))]
 
-def extended(some: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    return saved(mapped(texts, work, "entry long, g long, size long, doc_id long, pos int, block binary"))
+
+
+def extended(some: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(i, j, left, right): the longest match of block i with block j of a smaller document around their minimiser, if it has a window."""
     i, j = np.nonzero(doc[None, :] < doc[:, None])
     left = np.concatenate([repeats.agreeing(some[i[k : k + 4096], RIGHT:] == some[j[k : k + 4096], RIGHT:]) for k in range(0, len(i), 4096)] or [i])
@@ -57,44 +97,74 @@ def extended(some: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.nda
     return i[ok], j[ok], left[ok], right[ok]
 
 
-def candidates(index: DataFrame, large: int = LARGE) -> DataFrame:
-    """(g, b1, b2, left, right, ref, ref_pos): for each block of the index its matches with blocks of smaller documents, ref_pos the place of
-    the reference's minimiser."""
-    sizes = saved(index.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1"))
-    named = index.withColumnRenamed("n", "places")
-    few = named.join(sizes.filter(F.col("n") <= large).select("g"), "g")
-    rows = few.select("g", "b1", "b2", "doc_id", "pos", "block").repartition("g").sortWithinPartitions("g", "b1", "b2")
+def _ladder(before: int, after: int, left_over: int, depth: int) -> list[int]:
+    """Words before the minimiser of the stretches that every window holds one of: a window with so many words left over has half of them on one side."""
+    if not depth:
+        return [before]
+    half = -(-left_over // 2)
+    return _ladder(before + half, after, left_over - half, depth - 1) + _ladder(before, after + half, left_over - half, depth - 1)
+
+
+#: A window has one of these stretches of STEM words around its minimiser, given by the words before it.
+STEM = WINDOW - 4
+STEMS = sorted(set(_ladder(0, 0, repeats.LEFT, 3)))
+
+
+def shared_lefts(crowded: DataFrame) -> DataFrame:
+    """(entry, lefts): bits of the numbers of words before the minimiser for which a window of the block may be in two documents."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+        for batch in batches:
+            some = repeats.numbers(batch.column(2))
+            left, right = repeats.extents(some)
+            stem = repeats.hashes_of_rows(some[:, repeats.IN_TEXT], STEM).view(np.int64)
+            for a in STEMS:
+                at = np.flatnonzero((left >= a) & (right >= STEM - a))
+                if len(at):
+                    yield [stem[at, repeats.LEFT - a] ^ a, batch.column(0).to_numpy()[at], batch.column(1).to_numpy()[at], np.full(len(at), sum(1 << x for x in range(a, a + 5)))]
+
+    stems = saved(mapped(crowded.select("entry", "doc_id", "block"), work, "stem long, entry long, doc_id long, lefts long"))
+    twice = stems.groupBy("stem").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).filter("low < high").select("stem", "n")
+    return join_unique(stems, saved(twice), "stem").groupBy("entry").agg(F.bit_or("lefts").alias("lefts"))
+
+
+def candidates(blocks: DataFrame, large: int = LARGE) -> DataFrame:
+    """(entry, left, right, ref, ref_pos): for each block of the index (``with_words``) its matches with blocks of smaller documents,
+    ref_pos the place of the reference's minimiser."""
+    rows = blocks.filter(F.col("size") <= large).select("g", "entry", "doc_id", "pos", "block").repartition("g").sortWithinPartitions("g", "entry")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         for some in groups(batches, 1):
-            out: list[list] = [[] for _ in range(7)]
+            out: list[list] = [[] for _ in range(5)]
             for g in some:
                 if g.num_rows < 2:
                     continue
-                doc, pos = g.column(3).to_numpy(), g.column(4).to_numpy()
-                i, j, left, right = extended(repeats.numbers(g.column(5)), doc, pos)
+                entry, doc, pos = (g.column(c).to_numpy() for c in (1, 2, 3))
+                i, j, left, right = extended(repeats.numbers(g.column(4)), doc)
                 keep = repeats.staircase(i, left, right, doc[j])
                 i, j = i[keep], j[keep]
-                for c, v in zip(out, (*(g.column(c).to_numpy()[i] for c in range(3)), left[keep], right[keep], doc[j], pos[j])):
+                for c, v in zip(out, (entry[i], left[keep], right[keep], doc[j], pos[j])):
                     c.append(v)
             if out[0]:
                 yield [np.concatenate(c) for c in out]
 
-    near = mapped(rows, work, "g long, b1 long, b2 long, left int, right int, ref long, ref_pos int")
-    crowded = join_unique(named.select("g", "b1", "b2", "doc_id", "pos", "block"), sizes.filter(F.col("n") > large), "g")
-    windows = saved(repeats.block_windows(crowded))
-    least = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", F.col("pos"))).alias("r"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
+    near = mapped(rows, work, "entry long, left int, right int, ref long, ref_pos int")
+    crowded = blocks.filter(F.col("size") > large).select("entry", "doc_id", "pos", "block")
+    windows = saved(repeats.block_windows(crowded.join(shared_lefts(crowded), "entry"), "lefts"))
+    least = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "pos")).alias("r"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
     least = saved(least.filter("last > r.doc_id").select("w1", "w2", "n", F.col("r.doc_id").alias("ref"), F.col("r.pos").alias("ref_pos")))
-    far = join_unique(windows, least, "w1", "w2").filter("doc_id > ref")
-    return near.unionByName(far.select(*_BLOCK, "left", (WINDOW - F.col("left")).alias("right"), "ref", "ref_pos"))
+    far = join_unique(windows.drop("pos"), least, "w1", "w2").filter("doc_id > ref")
+    return near.unionByName(far.select("entry", "left", (WINDOW - F.col("left")).alias("right"), "ref", "ref_pos"))
 
 
-def looked_up(rows: DataFrame, index: DataFrame, large: int = LARGE) -> DataFrame:
+def looked_up(found: DataFrame, large: int = LARGE) -> DataFrame:
     """Matches of every place, as ``repeats.cut`` takes them."""
-    found = candidates(index, large).groupBy(*_BLOCK).agg(F.collect_list(F.struct("left", "right", "ref", "ref_pos")).alias("found"))  # LARGE or a block's windows at most
-    known = index.join(found, list(_BLOCK), "left").filter("n > 1 OR found IS NOT NULL")
+    rows = places(found)
+    index = reference_index(rows)
+    matches = candidates(with_words(found, index), large).groupBy("entry").agg(F.collect_list(F.struct("left", "right", "ref", "ref_pos")).alias("found"))  # LARGE or a block's windows at most
+    known = index.join(matches, "entry", "left").filter("n > 1 OR found IS NOT NULL")
     known = saved(known.select(*_BLOCK, "n", F.col("doc_id").alias("owner"), F.col("pos").alias("owner_pos"), "found"))
-    own = join_unique(rows.select("doc_id", "content", "pos", "before", "after", *_BLOCK), known, *_BLOCK)
+    own = join_unique(rows, known, *_BLOCK)
     whole = F.array(F.struct(F.col("before").alias("left"), F.col("after").alias("right"), F.col("owner").alias("ref"), F.col("owner_pos").alias("ref_pos")))
     own = own.withColumn("m", F.explode(F.when(F.col("doc_id") > F.col("owner"), whole).otherwise(F.col("found"))))
     own = own.filter(F.col("m.left") + F.col("m.right") >= WINDOW)
@@ -121,8 +191,7 @@ def parse(stretches: list[Stretch]) -> list[Stretch]:
 def factors(docs: DataFrame, large: int = LARGE) -> DataFrame:
     """For each document its factors (starts, ends, refs), the text without them and figures. Columns as in ``repeats.cut``."""
     found = repeats.candidates(docs)
-    rows = places(found)
-    return repeats.cut(found, looked_up(rows, reference_index(rows), large), parse)
+    return repeats.cut(found, looked_up(found, large), parse)
 
 
 def op9_relative_lempel_ziv(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -131,7 +131,7 @@ def block_words(own: np.ndarray, pos: np.ndarray) -> np.ndarray:
 
 
 def blocks(found: DataFrame) -> DataFrame:
-    """(doc_id, content, pos, size, block) of every place of a shared minimiser, size the text's words."""
+    """(doc_id, content, pos, block) of every place of a shared minimiser."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         for batch in chunks(batches, 2):
@@ -144,9 +144,9 @@ def blocks(found: DataFrame) -> DataFrame:
                 for s in range(0, len(at), SLICE):
                     pos = at[s : s + SLICE]
                     same = pa.array(np.zeros(len(pos), np.int64))
-                    yield [batch.column(0).slice(k, 1).take(same), batch.column(1).slice(k, 1).take(same), pos, np.full(len(pos), b - a), binaries(block_words(flat[a:b], pos))]
+                    yield [batch.column(0).slice(k, 1).take(same), batch.column(1).slice(k, 1).take(same), pos, binaries(block_words(flat[a:b], pos))]
 
-    return mapped(found.filter("text IS NOT NULL").select("doc_id", "content", "text", "anchors"), work, "doc_id long, content binary, pos int, size int, block binary")
+    return mapped(found.filter("text IS NOT NULL").select("doc_id", "content", "text", "anchors"), work, "doc_id long, content binary, pos int, block binary")
 
 
 def extents(some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -172,10 +172,24 @@ def staircase(i: np.ndarray, left: np.ndarray, right: np.ndarray, ref: np.ndarra
     return np.array(keep, np.int64)
 
 
-def block_windows(rows: DataFrame) -> DataFrame:
-    """(w1, w2, left) and the columns of ``rows`` but block, for each window of a block that holds its place: ``left`` words of it come before."""
-    names = [c for c in rows.columns if c != "block"]
-    order = np.concatenate([RIGHT + np.arange(LEFT)[::-1], np.arange(RIGHT)])  # as in the text
+#: The columns of a block in the order of the text.
+IN_TEXT = np.concatenate([RIGHT + np.arange(LEFT)[::-1], np.arange(RIGHT)])
+
+
+def hashes_of_rows(rows: np.ndarray, width: int, second: bool = False) -> np.ndarray:
+    """Hash of each ``width`` numbers in a row, for every row; a second one makes 128 bits."""
+    if second:
+        rows = mixed(rows ^ np.uint64(0x5851F42D4C957F2D))
+    out = np.zeros((len(rows), rows.shape[1] - width + 1), np.uint64)
+    for i in range(width):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + rows[:, i : i + out.shape[1]]
+    return mixed(out)
+
+
+def block_windows(rows: DataFrame, asked: str | None = None) -> DataFrame:
+    """(w1, w2, left) and the columns of ``rows`` but block, for each window of a block that holds its place: ``left`` words of it come
+    before. ``asked`` names a column of bits that says for which ``left``."""
+    names = [c for c in rows.columns if c not in ("block", asked)]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         for batch in batches:
@@ -184,23 +198,17 @@ def block_windows(rows: DataFrame) -> DataFrame:
                 some = numbers(part.column(len(names)))
                 left, right = extents(some)
                 start = np.arange(LEFT + 1)
-                row, at = np.nonzero((start >= LEFT - left[:, None]) & (start + WINDOW <= LEFT + right[:, None]))
-                text = some[:, order]
-                w1, w2 = (grams_of_rows(t)[row, at].view(np.int64) for t in (text, mixed(text ^ np.uint64(0x5851F42D4C957F2D))))
+                there = (start >= LEFT - left[:, None]) & (start + WINDOW <= LEFT + right[:, None])
+                if asked:
+                    there &= (part.column(len(names) + 1).to_numpy()[:, None] >> (LEFT - start)) & 1 > 0
+                row, at = np.nonzero(there)
+                text = some[:, IN_TEXT]
+                w1, w2 = (hashes_of_rows(text, WINDOW, second)[row, at].view(np.int64) for second in (False, True))
                 take = pa.array(row)
                 yield [w1, w2, LEFT - at, *(part.column(c).take(take) for c in range(len(names)))]
 
     ddl = "w1 long, w2 long, left int" + "".join(f", {n} {rows.schema[n].dataType.simpleString()}" for n in names)
-    return mapped(rows.select(*names, "block"), work, ddl)
-
-
-def grams_of_rows(rows: np.ndarray) -> np.ndarray:
-    """Hash of each WINDOW numbers in a row, for every row."""
-    n = rows.shape[1] - WINDOW + 1
-    out = np.zeros((len(rows), n), np.uint64)
-    for i in range(WINDOW):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + rows[:, i : i + n]
-    return mixed(out)
+    return mapped(rows.select(*names, "block", *([asked] if asked else [])), work, ddl)
 
 
 Stretch = tuple[int, int, int]
