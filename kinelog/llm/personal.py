@@ -1,16 +1,21 @@
 """Personal data: fixed patterns, and a linear-chain conditional random field over word shapes.
 
 The patterns find emails, IP addresses, card and phone numbers. The field labels words; it adds spans that no pattern
-has (secrets, phone numbers without a country code). It is trained by maximum likelihood on the small table
-``labelled()``. Only words with a digit or ``@`` may have a label other than O, so a text falls into short chains of
-such words, between which the label is known; chains of one length are decoded together by Viterbi in numpy.
+has: secrets, phone numbers without a country code, social security numbers (id), account numbers (iban) and names after a
+title or a field name. It is trained by maximum likelihood on the small table ``labelled()``. Only ``candidates`` may have a
+label other than O (words with a digit or ``@``, the letters inside a number, capitalised words after a title), so a text falls
+into short chains of such words, between which the label is known; chains of one length are decoded together by Viterbi in
+numpy.
 
 Offsets count code points, ends are exclusive. Defined results: a null text is the empty text and has no span; null
-ids are carried through; repeated rows are judged alike; extra columns are not looked at; an empty table gives no rows.
+ids are carried through; repeated rows are judged alike; a very long text is one task's work, with memory in proportion to
+it, and words count whole; of field spans that overlap a base span or an earlier one, none is added; extra columns are not
+looked at; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import random
 import re
@@ -24,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import carried, chunks, mapped, table
 
 #: Kinds in order, and what the patterns match.
-KINDS = ("email", "ip", "card", "phone", "secret")
+KINDS = ("email", "ip", "card", "phone", "secret", "id", "iban", "name")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # No match of these can begin inside a run of digits, which the look-behind says at once.
@@ -33,9 +38,15 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _HINT = re.compile(r"[0-9@]")
 _WORD = re.compile(r"\S+")
-
-LABELS = ("O", "B-email", "B-ip", "B-card", "I-card", "B-phone", "I-phone", "B-secret")
-CUES = frozenset("token key secret password passwd api apikey bearer auth card visa phone tel call fax mobile email mail ip host server commit version page order".split())
+_BANK = re.compile(r"[A-Z]{4}")
+
+LABELS = ("O", "B-email", "B-ip", "B-card", "I-card", "B-phone", "I-phone", "B-secret", "B-id", "B-iban", "I-iban", "B-name", "I-name")
+TITLES = frozenset("mr mrs ms miss dr prof herr frau monsieur madame señor señora name contact patient employee applicant".split())
+CUES = TITLES | frozenset(
+    "token key secret password passwd passwort pwd api apikey bearer auth credentials card visa phone tel telefon téléphone teléfono call ring fax mobile cell email mail ip host server commit version page order"
+    " ssn social iban account konto isbn invoice build checksum".split()
+)
+_TITLE = re.compile(r"(?i)\b(?:" + "|".join(sorted(TITLES)) + r")\b")
 ROUNDS, RATE, RIDGE = 300, 0.1, 1e-3
 
 SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
@@ -99,26 +110,50 @@ def joined(spans: list[Span]) -> str:
 def shape(word: str) -> str:
     """Upper case X, lower case x, digits d, the rest as it is; repeats once."""
     out = []
-    for c in word[:80]:
+    for c in word:
         s = "d" if c.isdigit() else "X" if c.isupper() else "x" if c.isalpha() else c
         if not out or out[-1] != s:
             out.append(s)
-    return "".join(out[:10])
+    return "".join(out)
 
 
 def core(word: str, start: int) -> tuple[int, int]:
     """The place of a word without quotes around it and marks after it; of key=value only the value."""
-    own = word.rstrip(".,;:!?\"'")
+    own = word.rstrip(".,;:!?\"'>")
     cut = max(own.rfind("="), own.rfind(":")) + 1
-    value = own[cut:].lstrip("\"'")
+    value = own[cut:].lstrip("\"'<")
     return start + len(own) - len(value), start + len(own)
 
 
+def plain(word: str) -> str:
+    return word.lower().strip(".,;:!?\"'()=")
+
+
 def around(word: str | None) -> str:
     if word is None:
         return "-"
-    plain = word.lower().strip(".,;:!?\"'()")
-    return plain if plain in CUES else shape(word)
+    own = plain(word)
+    return own if own in CUES else shape(word)
+
+
+def account(word: str) -> bool:
+    """Whether a word is an account number by its check digits."""
+    if not 15 <= len(word) <= 34 or not word.isascii() or not word.isalnum() or not word[:2].isalpha() or not word[2:4].isdigit():
+        return False
+    return int("".join(str(int(c, 36)) for c in word[4:] + word[:4])) % 97 == 1
+
+
+def candidates(words: list[str]) -> list[bool]:
+    """Which words of a line may be labelled."""
+    out: list[bool] = []
+    named = False  # the word before is a title, or a name after one
+    for i, w in enumerate(words):
+        number = bool(_HINT.search(w))
+        inside = not number and bool(_BANK.fullmatch(w)) and 0 < i < len(words) - 1 and bool(_HINT.search(words[i - 1])) and bool(_HINT.search(words[i + 1]))
+        called = named and not number and w[0].isupper()
+        out.append(number or inside or called)
+        named = plain(w) in TITLES or called and w[-1] not in ".,;:!?" or called and len(plain(w)) == 1
+    return out
 
 
 def features(words: list[str], i: int) -> list[str]:
@@ -128,7 +163,7 @@ def features(words: list[str], i: int) -> list[str]:
     digits = only_digits(word)
     letters = sum(c.isalpha() for c in word)
     is_hex = len(word) >= 16 and all(c in "0123456789abcdefABCDEF" for c in word)
-    checks = "card" if 12 <= len(digits) <= 19 and not letters and luhn(digits) else "hex" if is_hex and letters else "mixed" if len(word) >= 16 and letters and digits else "digits" if word == digits else "other"
+    checks = "iban" if account(word) else "card" if 12 <= len(digits) <= 19 and not letters and luhn(digits) else "hex" if is_hex and letters else "mixed" if len(word) >= 16 and letters and digits else "digits" if word == digits else "other"
     near = [words[j] if 0 <= j < len(words) else None for j in (i - 2, i - 1, i + 1)]
     key = words[i][:a].lower().strip("\"'=: ")
     return [
@@ -138,15 +173,15 @@ def features(words: list[str], i: int) -> list[str]:
 
 
 def chains(text: str) -> Iterator[tuple[list[str], list[tuple[int, int]], list[int]]]:
-    """Words of a line, their places, and the numbers of neighbouring words that have a digit or @."""
+    """Words of a line, their places, and the numbers of neighbouring words that may be labelled."""
     offset = 0
     for line in text.split("\n"):
-        if _HINT.search(line):
+        if _HINT.search(line) or _TITLE.search(line):
             found = list(_WORD.finditer(line))
             words = [m[0] for m in found]
             run: list[int] = []
-            for i, w in enumerate(words):
-                if _HINT.search(w):
+            for i, may in enumerate(candidates(words)):
+                if may:
                     run.append(i)
                 elif run:
                     yield words, [(offset + found[k].start(), offset + found[k].end()) for k in run], run
@@ -179,25 +214,50 @@ def labelled(copies: int = 12) -> list[tuple[str, list[Span]]]:
     def mixed(n: int) -> str:
         return "".join(rng.choice(letters + letters.upper() + "0123456789") for _ in range(n - 2)) + "7q"
 
+    def pick(*forms: str) -> str:
+        """One of the forms, # a digit."""
+        return "".join(rng.choice("0123456789") if c == "#" else c for c in rng.choice(forms))
+
+    def iban(groups: bool) -> str:
+        country, bank = rng.choice((("DE", ""), ("GB", "".join(rng.choice(letters) for _ in range(4)).upper()), ("FR", ""), ("ES", ""), ("NL", "ABNA"[: 4 * rng.randrange(2)])))
+        body = bank + digits(18 if not bank else 14)
+        check = 98 - int("".join(str(int(c, 36)) for c in body + country + "00")) % 97
+        whole = f"{country}{check:02d}{body}"
+        return " ".join(whole[k : k + 4] for k in range(0, len(whole), 4)) if groups else whole
+
+    def name() -> str:
+        part = lambda: word().capitalize()
+        return rng.choice((part, lambda: f"{part()} {part()}", lambda: f"{part()} {rng.choice(letters).upper()}. {part()}"))()
+
     makers = {
-        "email": lambda: f"{word()}.{digits(2)}@{word()}{digits(1)}.example.com",
+        "email": lambda: rng.choice((f"{word()}.{digits(2)}@{word()}{digits(1)}.example.com", f"{word()}@{word()}.org", f"{word()}_{word()}+{word()}@{word()}.co.uk")),
         "ip": lambda: ".".join(str(rng.randint(1, 255)) for _ in range(4)),
         "card": lambda: card(True),
         "cards": lambda: "{0} {1} {2} {3}".format(*re.findall("....", card16())),
-        "phone": lambda: f"+{digits(1)} ({digits(3)}) {digits(3)}-{digits(4)}",
-        "local": lambda: rng.choice((f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}")),
-        "secret": lambda: rng.choice((hexes(40), hexes(32), mixed(24), mixed(36))),
+        "phone": lambda: pick("+# (###) ###-####", "+## ### ######", "+##.###.#######", "+## ## #### ####"),
+        "local": lambda: pick("(###) ###-####", "###-###-####", "0## #### ####", "0# ## ## ## ##", "0##/#######", "### ####", "###.###.####", "0####-######", "0### #######"),
+        "bare": lambda: pick("(###) ###-####", "###-###-####", "(0##) ####-####"),
+        "secret": lambda: rng.choice((hexes(40), hexes(32), hexes(64), mixed(24), mixed(36), mixed(20) + "_" + mixed(16), f"sk-{mixed(30)}", f"ghp_{mixed(36)}")),
+        "ssn": lambda: pick("###-##-####"),
+        "iban": lambda: iban(False),
+        "ibans": lambda: iban(True),
+        "name": name,
         "badcard": lambda: card(False),
         "badip": lambda: f"{rng.randint(256, 999)}.{digits(2)}.{digits(3)}.{rng.randint(300, 999)}",
         "year": lambda: str(rng.randint(1800, 2030)),
+        "date": lambda: pick("20##-0#-1#", "1#/0#/19##", "1#.0#.20##", "0#-1#-20##"),
         "small": lambda: digits(rng.randint(1, 4)),
-        "money": lambda: f"${digits(2)},{digits(3)}.{digits(2)}",
-        "version": lambda: f"v{digits(1)}.{digits(1)}.{digits(2)}",
+        "money": lambda: pick("$##,###.##", "#,###,###", "€###.##", "###.##", "##%"),
+        "version": lambda: pick("v#.#.##", "#.#", "#.##.#-beta#", "##.##.#"),
         "time": lambda: f"{rng.randint(10, 23)}:{rng.randint(10, 59)}",
-        "sha": lambda: hexes(40),
-        "code": lambda: f"{word()}{digits(2)}",
-        "url": lambda: f"http://{word()}{digits(1)}.example.org/en/{digits(3)}?page={digits(1)}",
+        "isbn": lambda: pick("978-#-##-######-#", "97#-###-####-##-#"),
+        "range": lambda: pick("#-##", "##-##", "19##-20##", "###-###"),
+        "sha": lambda: rng.choice((hexes(40), hexes(64), hexes(10))),
+        "uuid": lambda: f"{hexes(8)}-{hexes(4)}-4{hexes(3)}-a{hexes(3)}-{hexes(12)}",
+        "code": lambda: rng.choice((f"{word()}{digits(2)}", f"{word().upper()}-{digits(4)}", f"{word().capitalize()}{digits(1)}{word()}")),
+        "url": lambda: rng.choice((f"http://{word()}{digits(1)}.example.org/en/{digits(3)}?page={digits(1)}", f"https://{word()}.net/{word()}/{digits(8)}")),
         "w": word,
+        "W": lambda: word().capitalize(),
     }
 
     def card16() -> str:
@@ -205,11 +265,16 @@ def labelled(copies: int = 12) -> list[tuple[str, list[Span]]]:
             pass
         return c
 
-    kinds = {"email": "email", "ip": "ip", "card": "card", "cards": "card", "phone": "phone", "local": "phone", "secret": "secret"}
+    kinds = {"email": "email", "ip": "ip", "card": "card", "cards": "card", "phone": "phone", "local": "phone", "bare": "phone", "secret": "secret", "ssn": "id", "iban": "iban", "ibans": "iban", "name": "name"}
     templates = (
-        "{w} {w} {email} {w} {w}.", "{w} {email}, {w}", "{w} {w} {ip} {w}.", "server {ip}", "{w} {card} {w} {w}", "card {cards}, {w}.", "{w} {w}, {phone} {w}.", "call {local} {w}", "phone: {local}.",
-        '{w} {w} token = "{secret}" {w}', "{w} api key {secret} {w}", 'password: "{secret}"', "secret={secret} {w}", 'auth token="{secret}", {w}', "{w} {badcard} {w} {w}.", "{w} {badip} {w}", "in {year} {w} {small} {w}",
-        "{w} {small} {w}, {w}", "order {badcard} {w}", "{w} {money} {w}", "version {version} {w}", "{w} at {time}.", "commit {sha} {w}", "{w} {code}, {w} {url}", "page {small} {w} {small}-{small}", "{small} {small} {small} {w}",
+        "{w} {w} {email} {w} {w}.", "{w} {email}, {w}", "<{email}>", "{w} {w} {ip} {w}.", "server {ip}", "{w} from {ip}: {w}", "{w} {card} {w} {w}", "{w}, {card} {card} {w}", "card {cards}, {w}.", "visa: {cards}",
+        "{w} {w}, {phone} {w}.", "{W} {w} {phone}", "call {local} {w}", "phone: {local}.", "tel {local}", "{w} fax {local}, {w}", "{w} mobile: {local}", "telefon {local} {w}", "{w} {bare} {w} {w}.", "{w} ring {local}.", "cell {local} {w}",
+        '{w} {w} token = "{secret}" {w}', "{w} api key {secret} {w}", 'password: "{secret}"', "secret={secret} {w}", 'auth token="{secret}", {w}', "{w} bearer {secret}", "credentials {secret} {w}", "{w}_key: {secret}", '"apikey": "{secret}",', "passwd {secret}",
+        "{w} {ssn} {w}", "ssn {ssn}.", "{w} social number {ssn}, {w}", "ssn: {ssn} {w}", "{w} {iban} {w}", "iban: {ibans}", "iban {ibans} {w}.", "account {iban}.", "{w} konto {ibans}, {w} {w}",
+        "{w} mr. {name}, {w} {w}", "Mrs. {name}. {W} {w}", "dr {name}, {w}", "Name: {name}", "contact: {name}, {w}", "{w} frau {name}, {w} {w}", "patient {name}.", "Prof. {name}, {w} {date}", "Herr {name}, {w}", "Mr. {name}, {W} {w}",
+        "{w} {badcard} {w} {w}.", "{w} {badip} {w}", "in {year} {w} {small} {w}", "{w} {small} {w}, {w}", "order {badcard} {w}", "{w} {badcard} {badcard} {w}", "{w}, {badcard} {w} {small} {badcard}", "{badcard} {small}", "invoice {badcard}", "{w} {money} {w}", "version {version} {w}", "build {version}, {w}", "{w} at {time}.", "{date} {time} {w}", "{w} {date}, {w}",
+        "commit {sha} {w}", "checksum {sha}", "{w} {sha} {w}", "{w} {uuid}", "isbn {isbn} {w}", "{w} {isbn}.", "{w} {range} {w}", "page {range}", "{w} {code}, {w} {url}", "{url} {w}", "page {small} {w} {small}-{small}", "{small} {small} {small} {w}", "{small} {small} {small} {small} {small}", "{w} {W} {small} {W}",
+        "token {w} {w} {small}", "key {small} {w}", "{w} phone {w} {w} {year}", "name {w} {w} {small}", "card {w} {small} {w}", "{w} account {small} {w}",
     )
     rows = []
     for template in templates:
@@ -372,9 +437,15 @@ def redacted(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[last:]])
 
 
+@functools.cache
+def trained() -> Field:
+    """The field of the labelled table: a few hundred features, fitted once a process."""
+    return Field(labelled())
+
+
 def find(docs: DataFrame, with_text: bool = False, rows: list[tuple[str, list[Span]]] | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """For each row of ``docs`` (doc_id, text) counts and digest of the base spans, all spans, if asked the redacted text, and columns to carry."""
-    shared = docs.sparkSession.sparkContext.broadcast(Field(labelled() if rows is None else rows))  # a few hundred features
+    shared = docs.sparkSession.sparkContext.broadcast(trained() if rows is None else Field(rows))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         for batch in chunks(batches):

@@ -102,8 +102,8 @@ def test_suffix_order_gives_the_common_prefixes():
     right[1, :20] = right[0, :20]
     some = np.concatenate([right[rng.integers(0, 2, 40)], left[rng.integers(0, 2, 40)]], 1)
     for row in some:  # words of its own from somewhere on, or the end of the text
-        row[rng.integers(20, 51) : repeats.RIGHT] = 0 if rng.random() < 0.3 else rng.integers(1, 2**64)
-        row[repeats.RIGHT + rng.integers(0, 35) :] = 0 if rng.random() < 0.3 else rng.integers(1, 2**64)
+        row[rng.integers(20, 51) : repeats.RIGHT] = 0 if rng.random() < 0.3 else rng.integers(1, 2**63)
+        row[repeats.RIGHT + rng.integers(0, 35) :] = 0 if rng.random() < 0.3 else rng.integers(1, 2**63)
 
     def agree(a, b):
         return next((k for k in range(len(a)) if a[k] != b[k] or not a[k]), len(a))
