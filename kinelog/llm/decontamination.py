@@ -5,8 +5,10 @@ tokens in a row) are tiled: running Karp-Rabin fingerprints find the longest mat
 either, it is marked, and so on down to LEAST tokens. The marked part of the item is its coverage; since tiles may lie
 anywhere, passages in another order are caught. A document is contaminated by an item covered at COVERAGE or more.
 
-The benchmark is broadcast in slices of at most SLICE tokens, each joined with the documents in a pass of its own,
-so what is broadcast has a bound whatever the size of the benchmark.
+A benchmark of at most SLICE tokens is broadcast and looked up where the documents are. The seeds of a larger one are joined
+with those of the documents: documents send only seeds that pass a filter of 2 ** FILTER_BITS bits, whatever the benchmark's
+size; seeds that very many documents have are dealt over SALT parts; each pair of a document and an item that share a seed
+is tiled by itself. Texts are tiled whole, with memory in proportion to a text and an item.
 
 Defined results: null texts and texts without tokens have no tile; items without tokens match nothing; an item of
 under LEAST tokens must be there whole; equal items are judged each; null ids are carried through; repeated rows are
@@ -24,14 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import carried, chunks, mapped, table
-from .shingles import gram_hashes, mixed
+from .common import carried, chunks, mapped, saved, table
+from .shingles import gram_hashes, mixed, word_hashes
 
 #: Fixed values.
 LEAST = 5
 COVERAGE = 0.6
-#: Tokens of the benchmark that are broadcast at a time.
+#: Tokens of a benchmark that is broadcast; the bits of the filter of a larger one, and the parts that its seeds are dealt over.
 SLICE = 1_000_000
+FILTER_BITS, SALT = 26, 16
 _TOKEN = re.compile(r"\w+")
 
 
@@ -154,45 +157,101 @@ def coverage(doc: np.ndarray, item: np.ndarray) -> int:
     return sum(t[2] for t in tile(near(doc, item, least), item, least))
 
 
-def _slices(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark in slices of bounded size, read through the driver one row at a time."""
-    part, size = [], 0
-    for row in benchmark.select("item_id", "text").toLocalIterator():
-        n = len(tokens(row[1]))
-        if part and size + n > SLICE:
-            yield part
-            part, size = [], 0
-        part.append((row[0], row[1]))
-        size += n
-    yield part
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_tokens, contaminated, items (those at COVERAGE or more, sorted), max_coverage for each row of ``docs`` (doc_id, text), and columns to carry."""
-    context = docs.sparkSession.sparkContext
-    found = docs.select("doc_id", "text", F.lit(0).cast("long").alias("n_tokens"), F.array().cast("array<long>").alias("items"), F.lit(0.0).alias("max_coverage"), *carry)
-    for part in _slices(benchmark):  # each slice is one more step of the same stage, without a shuffle
-        shared = context.broadcast(part)
-
-        def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[list]:
-            items = Items(shared.value)
-            for batch in chunks(batches):
-                out: list[list] = [[], [], []]
-                for text, over, best in zip(*(batch.column(c).to_pylist() for c in (1, 3, 4))):
-                    ids = items.numbers(text)
-                    for k in items.seeded(ids):
-                        item, own = items.items[k]
-                        n = coverage(ids, own)
-                        best = max(best, n / len(own))
-                        if n >= COVERAGE * len(own):
-                            over.append(item)
-                    for c, v in zip(out, (len(ids), sorted(over, key=lambda x: (x is None, x)), best)):
-                        c.append(v)
-                yield [batch.column(0), batch.column(1), *out, *batch.columns[5:]]
-
-        found = mapped(found, work, "doc_id long, text string, n_tokens long, items array<long>, max_coverage double" + carried(docs, carry))
+    sized = mapped(benchmark.select("text"), lambda batches: ([[sum(len(tokens(t)) for t in b.column(0).to_pylist())]] for b in batches), "n long")
+    small = (sized.agg(F.sum("n")).first()[0] or 0) <= SLICE
+    found = (looked_up if small else joined)(docs, benchmark, carry)
     return found.select("doc_id", "n_tokens", (F.size("items") > 0).alias("contaminated"), "items", "max_coverage", *carry)
 
 
+def in_order(items: list) -> list:
+    return sorted(items, key=lambda x: (x is None, x))
+
+
+def looked_up(docs: DataFrame, benchmark: DataFrame, carry: tuple[str, ...]) -> DataFrame:
+    """The documents against a benchmark whose size was checked, broadcast."""
+    shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in benchmark.select("item_id", "text").collect()])  # SLICE tokens at most
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+        items = Items(shared.value)
+        for batch in chunks(batches):
+            out: list[list] = [[], [], []]
+            for text in batch.column(1).to_pylist():
+                ids, over, best = items.numbers(text), [], 0.0
+                for k in items.seeded(ids):
+                    item, own = items.items[k]
+                    n = coverage(ids, own)
+                    best = max(best, n / len(own))
+                    if n >= COVERAGE * len(own):
+                        over.append(item)
+                for c, v in zip(out, (len(ids), in_order(over), best)):
+                    c.append(v)
+            yield [batch.column(0), *out, *batch.columns[2:]]
+
+    return mapped(docs.select("doc_id", "text", *carry), work, "doc_id long, n_tokens long, items array<long>, max_coverage double" + carried(docs, carry))
+
+
+def seeds_of(text: str | None, sizes: Iterator[int] | None = None) -> list[np.ndarray]:
+    """The different seeds of a text as 64-bit numbers: of an item's own size, or of the sizes given."""
+    own = word_hashes([[t.encode("utf-8", "replace") for t in tokens(text)]])[0]
+    return [np.unique(gram_hashes(own, k) ^ np.uint64(k)) for k in ([min(LEAST, len(own))] if sizes is None else sizes) if 0 < k <= len(own)]
+
+
+def joined(docs: DataFrame, benchmark: DataFrame, carry: tuple[str, ...]) -> DataFrame:
+    """The documents against a benchmark of any size: seeds meet in a join, then each pair is tiled."""
+    own = saved(docs.select("doc_id", "text", *carry).withColumn("row", F.monotonically_increasing_id()))
+    items = saved(benchmark.select("item_id", F.col("text").alias("item_text")).withColumn("item", F.monotonically_increasing_id()))
+
+    def item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+        for batch in chunks(batches):
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for h in seeds_of(text):
+                    yield [h.view(np.int64), np.full(len(h), item), np.full(len(h), min(LEAST, len(tokens(text))))]
+
+    seeds = saved(mapped(items.select("item", "item_text"), item_seeds, "seed long, item long, k int"))
+    sizes = [r[0] for r in seeds.select("k").distinct().collect()]  # LEAST rows at most
+    place = F.shiftrightunsigned("seed", 64 - FILTER_BITS)
+    bits = seeds.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))).alias("bits"))
+    table = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    for at, value in bits.collect():  # no more rows than the filter has words
+        table[at] = value
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+
+    def doc_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+        for batch in chunks(batches):
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for h in seeds_of(text, sizes):
+                    at = h >> np.uint64(64 - FILTER_BITS)
+                    h = h[(shared.value.view(np.uint64)[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0]
+                    if len(h):
+                        yield [h.view(np.int64), np.full(len(h), row), np.full(len(h), row % SALT)]
+
+    some = mapped(own.select("row", "text"), doc_seeds, "seed long, row long, salt int")
+    salted = seeds.select("seed", "item", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    pairs = some.join(salted, ["seed", "salt"]).select("row", "item").distinct()
+    texts = pairs.join(items, "item").join(own.select("row", "text"), "row").select("row", "text", "item_id", "item_text")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+        for batch in chunks(batches):
+            out: list[list] = [[], [], []]
+            for row, text, item, item_text in zip(*(c.to_pylist() for c in batch.columns)):
+                one = Items([(item, item_text)])
+                n, size = coverage(one.numbers(text), one.items[0][1]), len(one.items[0][1])
+                for c, v in zip(out, (row, n / size, n >= COVERAGE * size)):
+                    c.append(v)
+            yield [out[0], batch.column(2), *out[1:]]
+
+    tiled = mapped(texts, work, "row long, item_id long, share double, over boolean")
+    scores = tiled.groupBy("row").agg(F.collect_list(F.when(F.col("over"), F.struct(F.col("item_id").alias("id")))).alias("over"), F.max("share").alias("best"))
+    whole = own.join(scores, "row", "left").select("doc_id", "text", F.coalesce(F.col("over.id"), F.array().cast("array<long>")).alias("items"), F.coalesce("best", F.lit(0.0)).alias("best"), *carry)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+        for batch in chunks(batches):
+            yield [batch.column(0), [len(tokens(t)) for t in batch.column(1).to_pylist()], [in_order(x) for x in batch.column(2).to_pylist()], *batch.columns[3:]]
+
+    return mapped(whole, counted, "doc_id long, n_tokens long, items array<long>, max_coverage double" + carried(docs, carry))
+
+
 def op5_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
