@@ -5,12 +5,14 @@ inverse document frequency over all training documents. The weights are learned
 with elastic-net penalties, so most stay zero, and a temperature is then fitted on a part of the sample that training
 didn't see.
 
-The model is fitted on SAMPLE documents of each language (SAMPLE_ALL of all) at most, the least by a hash of doc_id; document frequencies
-cover all training documents, predictions all documents.
+The model is fitted on SAMPLE documents of each language (SAMPLE_ALL of all) at most, the least by a hash of doc_id; their n-grams are
+counted where they are, and the driver gets counts of at most BUCKETS n-grams a document. Document frequencies cover all
+training documents, predictions all documents.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; if there is nothing to learn from, every
-text is ``und``; null doc_ids count as held out and are predicted; repeated rows are predicted alike; extra columns
-are not looked at; an empty table gives no rows.
+text is ``und``; null doc_ids count as held out and are predicted; repeated rows are predicted alike; of languages
+with equal scores the first by name is taken; a very long text is one task's work, in memory in proportion to it; extra
+columns are not looked at; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import chunks, mapped, saved, table
@@ -82,18 +84,29 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
-def fit(x: np.ndarray, y: np.ndarray, n_classes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Weights (features and a constant, by class) by FTRL-proximal over small batches."""
-    d = x.shape[1]
-    z, n, w = (np.zeros((d + 1, n_classes)) for _ in range(3))
+Row = tuple[np.ndarray, np.ndarray]
+
+
+def sparse(x: np.ndarray) -> list[Row]:
+    """The places and values that aren't zero of each row."""
+    return [(at, row[at]) for row in x for at in [np.flatnonzero(row)]]
+
+
+def fit(x: np.ndarray | list[Row], y: np.ndarray, n_classes: int, n_features: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (features and a constant, by class) by FTRL-proximal over small batches of rows."""
+    if isinstance(x, np.ndarray):
+        x, n_features = sparse(x), x.shape[1]
+    z, n, w = (np.zeros((n_features + 1, n_classes)) for _ in range(3))
     rng = np.random.default_rng(0)
     for _ in range(EPOCHS):
         order = rng.permutation(len(y))
         for k in range(0, len(order), BATCH):
             part = order[k : k + BATCH]
-            rows = np.hstack([x[part], np.ones((len(part), 1), x.dtype)])
-            used = np.flatnonzero(rows.any(0))
-            rows = rows[:, used]
+            used = np.append(np.unique(np.concatenate([x[i][0] for i in part])), n_features)  # the constant is the last
+            rows = np.zeros((len(part), len(used)))
+            rows[:, -1] = 1
+            for r, i in enumerate(part):
+                rows[r, np.searchsorted(used, x[i][0])] = x[i][1]
             error = softmax(rows @ w[used])
             error[np.arange(len(part)), y[part]] -= 1
             g = rows.T @ error / len(part)
@@ -121,20 +134,19 @@ def temperature(logits: np.ndarray, y: np.ndarray) -> float:
 class Model:
     """What predictions need: languages, weights folded with the frequencies, constants, temperature."""
 
-    def __init__(self, sample: list[tuple[str, str]], frequencies: np.ndarray, n_docs: int) -> None:
+    def __init__(self, sample: list[tuple[Row, str]], frequencies: np.ndarray, n_docs: int) -> None:
         self.languages = sorted({lang for _, lang in sample})
         idf = np.log((1 + n_docs) / (1 + frequencies)) + 1
         number = {lang: k for k, lang in enumerate(self.languages)}
-        x, y = np.empty((len(sample), BUCKETS), np.float32), np.empty(len(sample), np.int64)
-        for i, (text, lang) in enumerate(sample):
-            c = counts(text)
-            x[i], y[i] = c / max(1, c.sum()) * idf, number[lang]
+        y = np.array([number[lang] for _, lang in sample], np.int64)
+        rows = [(at, n / max(1, n.sum()) * idf[at]) for (at, n), _ in sample]
         # Shares of a text are small numbers; one scale for all brings them to the order of the constant.
-        scale = 1 / max(np.sqrt((x**2).sum(1).mean()) if len(sample) else 1, 1e-9)
-        x *= scale
-        late = np.arange(len(sample)) % 5 == 4  # for the temperature
-        w, self.constant = fit(x[~late], y[~late], len(self.languages))
-        self.temperature = temperature(x[late] @ w + self.constant, y[late]) if late.any() else 1.0
+        scale = 1 / max(np.sqrt(np.mean([(v**2).sum() for _, v in rows])) if rows else 1, 1e-9)
+        rows = [(at, v * scale) for at, v in rows]
+        late = np.arange(len(rows)) % 5 == 4  # for the temperature
+        w, self.constant = fit([r for r, x in zip(rows, late) if not x], y[~late], len(self.languages), BUCKETS)
+        logits = np.array([v @ w[at] for (at, v), x in zip(rows, late) if x]) + self.constant if late.any() else None
+        self.temperature = temperature(logits, y[late]) if late.any() else 1.0
         self.weights = (w * (idf * scale)[:, None]).astype(np.float32)
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -157,20 +169,28 @@ def held_out() -> F.Column:
 def train(docs: DataFrame) -> Model:
     """Learns from the rows of ``docs`` (doc_id, text, lang) that aren't held out."""
     known = docs.select("doc_id", "text", "lang").filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r[0]: r[1] for r in known.groupBy("lang").agg(F.count("*")).collect()}  # a row for each language
+    sizes = saved(known.groupBy("lang").agg(F.count("*").alias("n")))  # a row for each language
+    n_langs, n_docs = sizes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    bound = max(1, min(SAMPLE, SAMPLE_ALL // max(1, n_langs)))
+    # The hash picks about twice the bound of each language before the sort, so that tasks keep few rows.
     order = F.xxhash64("doc_id")
-    bound = max(1, min(SAMPLE, SAMPLE_ALL // max(1, len(sizes))))
-    sample: list[tuple[str, str]] = []
-    for lang in sorted(sizes):
-        # The hash picks about twice the bound before the sort, so that tasks keep few rows.
-        share = min(1.0, 2 * bound / sizes[lang])
-        few = known.filter((F.col("lang") == lang) & ((F.pmod(order, F.lit(1 << 20)) < int(share * (1 << 20)) + 1)))
-        rows = few.select("text", order.alias("o"), "doc_id").orderBy("o", "doc_id").limit(bound)
-        sample += [(r.text, lang) for r in rows.select("text").collect()]
+    few = known.withColumn("o", order).join(F.broadcast(sizes), "lang").filter(F.pmod("o", F.lit(1 << 20)) < (F.least(F.lit(1.0), 2 * bound / F.col("n")) * (1 << 20)).cast("long") + 1)
+    best = Window.partitionBy("lang").orderBy("o", "doc_id")
+    picked = few.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= bound).select("lang", "k", "text")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+        for batch in chunks(batches, 2):
+            found = [counts(t) for t in batch.column(2).to_pylist()]
+            at = [np.flatnonzero(c) for c in found]
+            yield [batch.column(0), batch.column(1), [a.astype("<u2").tobytes() for a in at], [c[a].astype("<u4").tobytes() for c, a in zip(found, at)]]
+
+    # SAMPLE_ALL rows of BUCKETS pairs at most, however long the texts are.
+    rows = mapped(picked, counted, "lang string, k int, buckets binary, counts binary").collect()
+    sample = [((np.frombuffer(r.buckets, "<u2").astype(np.int64), np.frombuffer(r.counts, "<u4").astype(np.int64)), r.lang) for r in sorted(rows, key=lambda r: (r.lang, r.k))]
     frequencies = np.zeros(BUCKETS)
     for bucket, n in document_frequencies(known).collect():  # BUCKETS rows at most
         frequencies[bucket] = n
-    return Model(sample, frequencies, sum(sizes.values()))
+    return Model(sample, frequencies, n_docs)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
