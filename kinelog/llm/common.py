@@ -68,7 +68,7 @@ def discard(df: DataFrame) -> None:
 
 
 #: A key with more than one in so many of all rows is joined by broadcast. Fewer keys than this can be.
-HOT = 256
+HOT = 64
 
 
 def join_unique(many: DataFrame, few: DataFrame, *keys: str) -> DataFrame:

@@ -31,7 +31,7 @@ from .repeats import RIGHT, WINDOW, Stretch
 from .shingles import word_hashes, words
 
 #: Different blocks of one minimiser that are extended against each other inside a task.
-LARGE = 256
+LARGE = 32
 _BLOCK = ("g", "b1", "b2")
 
 

@@ -7,7 +7,8 @@ flow is then filled with whole blocks. Rows learn their new shard from the plan,
 
 Defined results: a null text counts 1 byte and has the crc32 of the empty text; a null doc_id or source is a
 value like any other; repeated rows go to one block and take slots of their own; an empty table gives an
-empty plan; extra columns are not looked at.
+empty plan; blocks of equal size are placed by shard and number; a very long text is one row of one block; extra columns
+are not looked at, and ``rewrite`` carries them through, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,8 +23,14 @@ from pyspark.sql.window import Window
 from .common import saved, table
 
 N_OLD, N_NEW = 12, 16
-#: Blocks of one old shard. The plan has at most N_OLD * BLOCKS rows.
-BLOCKS = 512
+#: Blocks of one old shard: the least and the most, and the bytes that one should have between these. The plan has at most
+#: MOST_BLOCKS rows for each old shard.
+BLOCKS, MOST_BLOCKS, BLOCK_BYTES = 512, 32768, 256 << 20
+
+
+def block_count(total: int, n_old: int) -> int:
+    """Blocks of an old shard for a number of bytes in all."""
+    return min(MOST_BLOCKS, max(BLOCKS, -(-total // (n_old * BLOCK_BYTES))))
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost: list[list[int]]) -> dict[tuple[int, int], int]:
@@ -89,14 +96,18 @@ def fill(blocks: list[tuple[int, int, int, int]], flow: dict[tuple[int, int], in
     return placed
 
 
-def with_blocks(docs: DataFrame, old_shard: Column, size: Column) -> DataFrame:
+def block_of(blocks: int) -> Column:
+    return F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(blocks)).cast("int")
+
+
+def with_blocks(docs: DataFrame, old_shard: Column, size: Column, blocks: int = BLOCKS) -> DataFrame:
     """doc_id, old shard, block and size of each row, and the crc32 of its text."""
     return docs.select(
         "doc_id",
         size.cast("long").alias("size"),
         F.crc32(F.coalesce(F.col("text"), F.lit(""))).alias("text_crc32"),
         old_shard.cast("int").alias("old_shard"),
-        F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(BLOCKS)).cast("int").alias("block"),
+        block_of(blocks).alias("block"),
     )
 
 
@@ -142,19 +153,19 @@ def rewrite(docs_path: str, spark: SparkSession, capacity: list[int], out_path:
     """
     docs = spark.read.parquet(docs_path)
     size = F.coalesce(F.octet_length("text"), F.lit(0)) + 1
-    rows = with_blocks(docs, F.col("shard"), size)
+    n_old, total = docs.agg(F.countDistinct("shard"), F.coalesce(F.sum(size), F.lit(0))).first()
+    blocks = block_count(total, max(1, n_old))
+    rows = with_blocks(docs, F.col("shard"), size, blocks)
     moves = saved(plan(rows, capacity))
     touched = [r[0] for r in moves.filter("old_shard <> new_shard").selectExpr("explode(array(old_shard, new_shard))").distinct().collect()]  # shards, not rows
-    block = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(BLOCKS)).cast("int")
+    # The rows travel in a column of their own, so that their names can't clash.
+    whole = F.struct(*(c for c in docs.columns if c != "shard")).alias("row")
     (
         docs.filter(F.col("shard").isin(touched))
-        .withColumns({"old_shard": F.col("shard").cast("int"), "block": block})
-        .drop("shard")
+        .select(F.col("shard").cast("int").alias("old_shard"), block_of(blocks).alias("block"), whole)
         .join(F.broadcast(moves.drop("first_slot")), ["old_shard", "block"])
-        .drop("old_shard")
-        .repartition("new_shard", F.pmod("block", F.lit(16)))
-        .drop("block")
-        .withColumnRenamed("new_shard", "shard")
+        .repartition("new_shard", F.pmod("block", F.lit(blocks // 32)))
+        .select("row.*", F.col("new_shard").alias("shard"))
         .write.partitionBy("shard")
         .parquet(out_path)
     )
@@ -168,8 +179,10 @@ def rewrite(docs_path: str, spark: SparkSession, capacity: list[int], out_path:
 def op1_flow_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents laid out in 12 shards by source (so that one is hot) are dealt to 16 shards of equal bytes."""
     docs = table(spark, sf_dir, "documents")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)) + 1
+    total = docs.agg(F.sum(size)).first()[0] or 0
     old = F.pmod(F.crc32(F.coalesce(F.col("source"), F.lit(""))), F.lit(N_OLD))
-    rows = with_blocks(docs, old, F.coalesce(F.octet_length("text"), F.lit(0)) + 1)
+    rows = with_blocks(docs, old, size, block_count(total, N_OLD))
     return reshard(saved(rows), N_NEW).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("new_shard").alias("shard"),
         F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "old_shard",

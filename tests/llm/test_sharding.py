@@ -74,3 +74,18 @@ def test_files_of_changed_shards_are_rewritten(spark, tmp_path):
     assert {r[0] for r in new.select("shard").distinct().collect()} == touched
     kept = docs.filter(F.col("shard").isin(*touched)).select("doc_id", "text")
     assert new.select("doc_id", "text").exceptAll(kept).count() == 0 and new.count() == kept.count()
+
+
+def test_rewriting_carries_columns_of_any_name(spark, tmp_path):
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.lit("x" * 9).alias("text"), (F.col("id") * 2).alias("block"), F.lit("o").alias("old_shard"), F.lit(1.5).alias("new_shard"), F.lit(True).alias("first_slot"), F.when(F.col("id") < 250, 0).otherwise(1).alias("shard"))
+    docs.write.partitionBy("shard").parquet(f"{tmp_path}/old")
+    S.rewrite(f"{tmp_path}/old", spark, [1500, 1500], f"{tmp_path}/new")
+    new = spark.read.parquet(f"{tmp_path}/new")
+    assert set(new.columns) == set(docs.columns)
+    names = [c for c in docs.columns if c != "shard"]
+    assert new.select(*names).exceptAll(docs.select(*names)).count() == 0 and new.count() == 300
+
+
+def test_blocks_follow_from_the_bytes():
+    assert S.block_count(0, 12) == S.block_count(10**12, 12) == 512
+    assert 25_000 < S.block_count(10**14, 12) <= S.MOST_BLOCKS == S.block_count(10**16, 12)
