@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.angles import frame_matrix, rotate
+from ..functions.angles import frame_matrix
 from ..schema import AGENT
 from ..spec import QuerySpec
 from .neighbors import radius_of, ranked, within
@@ -19,17 +19,21 @@ STATE = ("x", "y", "vx", "vy", "ax", "ay", "heading")
 
 
 def seen_from(state: Column, frame: Column) -> Column:
-    """A state (struct of STATE) from the frame of another: all elements less the frame's, then the pairs turned. The heading isn't wrapped."""
-    out = []
+    """A state (struct of STATE) from the frame of another: all elements less the frame's, then the pairs turned. The heading isn't wrapped.
+
+    The frame holds cosine and sine of its heading, so they are worked out once for all states seen from it.
+    """
+    out, c, s = [], frame["c"], frame["s"]
     for a, b in (("x", "y"), ("vx", "vy"), ("ax", "ay")):
-        u, v = rotate(state[a] - frame[a], state[b] - frame[b], -frame["heading"])
-        out += [u.alias(a), v.alias(b)]
+        u, v = state[a] - frame[a], state[b] - frame[b]
+        out += [(u * c + v * s).alias(a), (v * c - u * s).alias(b)]
     return F.struct(*([state["scene_ts"].alias("scene_ts")]), *out, (state["heading"] - frame["heading"]).alias("heading"))
 
 
 def frame_of(still: bool = False) -> Column:
     """The current state as a frame; of a stationary one the velocity and acceleration count as zero."""
-    return F.struct("x", "y", "heading", *(F.lit(0.0).alias(c) if still else F.col(c) for c in ("vx", "vy", "ax", "ay")))
+    moving = (F.lit(0.0).alias(c) if still else F.col(c) for c in ("vx", "vy", "ax", "ay"))
+    return F.struct("x", "y", "heading", *moving, F.cos("heading").alias("c"), F.sin("heading").alias("s"))
 
 
 def agent_elements(index: DataFrame, states: DataFrame, spec: QuerySpec) -> DataFrame:

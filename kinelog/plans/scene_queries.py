@@ -308,6 +308,17 @@ def simulation_stats(spark, d):
     return simulation.stats(s, sim, metrics.speed(), EDGES, 5, 40, "scene")
 
 
+_CENSUS = """SELECT a.scene, a.agent_type, count(DISTINCT s.agent_id) AS n_agents, count(*) AS n_rows, round(max(sqrt(s.vx * s.vx + s.vy * s.vy)), 6) AS top_speed
+FROM states s JOIN agents a ON s.scene = a.scene AND s.agent_id = a.agent_id WHERE s.scene_ts BETWEEN 2 AND 30 GROUP BY a.scene, a.agent_type"""
+
+
+@query(f"WITH {t.STATES}, {t.TYPES} SELECT scene, CAST(agent_type AS INTEGER) AS agent_type, n_agents, n_rows, top_speed FROM ({_CENSUS})")
+def sql_census(spark, d):
+    """The SQL surface: the same text runs here over the views and in the engine that it is compared with."""
+    t.create_views(spark, d)
+    return spark.sql(_CENSUS)
+
+
 # Maps.
 
 

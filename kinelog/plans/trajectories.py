@@ -44,6 +44,12 @@ def typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return states(spark, sf_dir).join(types(spark, sf_dir), ["scene", "agent_id"])
 
 
+def create_views(spark: SparkSession, sf_dir: str) -> None:
+    """Temporary views traj, states, types and agents for ``spark.sql``: the tables of this module by name."""
+    for name, make in (("traj", positions), ("states", states), ("types", types), ("agents", agents)):
+        make(spark, sf_dir).createOrReplaceTempView(name)
+
+
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean place of each agent in each hour that has an event: timesteps are missing."""
     hour = F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 3600)

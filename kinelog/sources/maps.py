@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.angles import enu
@@ -71,3 +71,40 @@ def rings(points: DataFrame) -> DataFrame:
     made = points.filter("elem_type IN (2, 4)").groupBy("map_id", "elem_id").agg(p.alias("p"))
     point = "struct<x:double,y:double,z:double,h:double>"
     return made.select("map_id", "elem_id", F.transform("p", lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"), q["z"].alias("z"), q["h"].alias("h"))).alias("polygon"), F.array().cast(f"array<array<{point}>>").alias("holes"))
+
+
+def edges_from_polygons(outlines: DataFrame, centers: DataFrame) -> DataFrame:
+    """Left and right edges of lanes out of their outlines: outlines and centers (map_id, elem_id, seq, x, y, z) -> the same with side.
+
+    A vertex lies on the side that the direction of the center line at its nearest point says; along the center line
+    gives the order, so both edges run as the lane does. Repeated points of the center line count once, and both
+    edges get as many points as the longer one.
+    """
+    keys = ["map_id", "elem_id"]
+    w = Window.partitionBy(*keys).orderBy("seq")
+    lines = centers.withColumns({"_dx": F.col("x") - F.lag("x").over(w), "_dy": F.col("y") - F.lag("y").over(w)})
+    lines = lines.filter("_dx IS NULL OR abs(_dx) + abs(_dy) >= 1e-10")
+    ahead = {c: F.coalesce(F.lead(v).over(w) - F.col(v), F.col(v) - F.lag(v).over(w)) for c, v in (("dx", "x"), ("dy", "y"))}
+    lines = lines.withColumns(ahead).select(*keys, F.col("seq").alias("at"), F.col("x").alias("cx"), F.col("y").alias("cy"), "dx", "dy")
+    u, v = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
+    pairs = outlines.join(lines, keys).withColumn("near", F.struct((u * u + v * v).alias("d"), "at", (F.col("dx") * v - F.col("dy") * u).alias("cross"), ((F.col("dx") * u + F.col("dy") * v) / F.hypot("dx", "dy")).alias("along")))
+    best = pairs.groupBy(*keys, "seq").agg(F.min("near").alias("n"), *(F.first(c).alias(c) for c in ("x", "y", "z")))
+    side = F.when(F.col("n.cross") < 0, "right").otherwise("left")
+    order = Window.partitionBy(*keys, "side").orderBy("n.at", "n.along", "seq")
+    sided = best.withColumn("side", side).withColumn("k", F.row_number().over(order) - 1).select(*keys, "side", F.col("k").alias("seq"), "x", "y", "z")
+    counts = sided.groupBy(*keys, "side").agg(F.count("*").alias("n"))
+    most = counts.groupBy(*keys).agg(F.max("n").alias("n"))
+    return even_points(sided, counts.drop("n").join(most, keys), *keys, "side")
+
+
+def assembled(points: DataFrame) -> DataFrame:
+    """Map elements in the canonical form out of a converted map's points (map_id, elem_id, elem_type, line, ring, seq, x, y, z), line one of
+    center, left_edge, right_edge, polygon (ring 0 its outline, further rings its holes). Headings follow from the points."""
+    lines = Window.partitionBy("map_id", "elem_id", "line", "ring").orderBy("seq")
+    ahead = F.atan2(F.lead("y").over(lines) - F.col("y"), F.lead("x").over(lines) - F.col("x"))
+    rows = points.withColumn("_h", ahead).withColumn("h", F.coalesce("_h", F.lag("_h").over(lines), F.lit(0.0)))
+    one = rows.groupBy("map_id", "elem_id", "elem_type", "line", "ring").agg(F.array_sort(F.collect_list(F.struct("seq", "x", "y", "z", "h"))).alias("p"))
+    one = one.withColumn("p", F.transform("p", lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"), q["z"].alias("z"), q["h"].alias("h"))))
+    first = lambda name: F.max_by("p", F.when((F.col("line") == name) & (F.col("ring") == 0), 1)).alias(name)
+    holes = F.array_sort(F.collect_list(F.when((F.col("line") == "polygon") & (F.col("ring") > 0), F.struct("ring", "p"))))
+    return one.groupBy("map_id", "elem_id", "elem_type").agg(*map(first, ("center", "left_edge", "right_edge", "polygon")), holes.alias("_h")).withColumn("holes", F.col("_h.p")).drop("_h")

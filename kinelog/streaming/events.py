@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,26 +30,42 @@ def sessions(events: DataFrame, gap: str, late: str | None = None, by: tuple[str
     return rows.groupBy(F.session_window("ts", gap).alias("w"), *by).agg(F.count("*").alias("n")).select("w.start", "w.end", *by, "n")
 
 
-def motion(events: DataFrame) -> DataFrame:
+def motion(events: DataFrame, forget: str | None = None) -> DataFrame:
     """Velocities along each key of a stream (agent_id, scene_ts, x, y), from the last state kept for it.
 
-    Rows come in order of arrival; one that isn't later than the last of its key is dropped.
+    The rows of a key in one trigger are taken together, in order; one that isn't later than the last state, or repeats a
+    timestep, is late and dropped, and n_late of the next row counts such rows. ``forget``: how long (in the time of
+    processing) the state of a silent key is kept, such as "1 hour".
     """
+    wait = int(pd.Timedelta(forget).total_seconds() * 1000) if forget else None
+
     def update(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get if state.exists else None
-        for part in parts:
-            out = []
-            for row in part.sort_values("scene_ts").itertuples():
-                if last is not None and row.scene_ts <= last[0]:
-                    continue
-                dt = row.scene_ts - last[0] if last is not None else 0
-                out.append((key[0], row.scene_ts, row.x, row.y, (row.x - last[1]) / dt if dt else 0.0, (row.y - last[2]) / dt if dt else 0.0))
-                last = (int(row.scene_ts), float(row.x), float(row.y))
-            if out:
-                yield pd.DataFrame(out, columns=["agent_id", "scene_ts", "x", "y", "vx", "vy"])
+        rows = pd.concat(list(parts)).sort_values("scene_ts", kind="stable")
+        n_late = last[3] if last else 0
+        fresh = rows.drop_duplicates("scene_ts")
+        if last is not None:
+            fresh = fresh[fresh.scene_ts > last[0]]
+        n_late += len(rows) - len(fresh)
+        if len(fresh):
+            ts, x, y = (np.append(first, fresh[c]) for c, first in zip(("scene_ts", "x", "y"), last or ([], [], [])))
+            dt = np.diff(ts)
+            vx, vy = np.diff(x) / dt, np.diff(y) / dt
+            if last is None:
+                vx, vy = np.append(0.0, vx), np.append(0.0, vy)
+            late = np.zeros(len(fresh), np.int64)
+            late[0] = n_late
+            yield pd.DataFrame({"agent_id": key[0], "scene_ts": fresh.scene_ts.to_numpy(), "x": fresh.x.to_numpy(), "y": fresh.y.to_numpy(), "vx": vx, "vy": vy, "n_late": late})
+            last, n_late = (int(fresh.scene_ts.iloc[-1]), float(fresh.x.iloc[-1]), float(fresh.y.iloc[-1])), 0
         if last is not None:
-            state.update(last)
+            state.update((*last[:3], n_late))
+        if wait:
+            state.setTimeoutDuration(wait)
 
     return events.groupBy("agent_id").applyInPandasWithState(
-        update, "agent_id long, scene_ts long, x double, y double, vx double, vy double", "scene_ts long, x double, y double", "append", "NoTimeout"
+        update, "agent_id long, scene_ts long, x double, y double, vx double, vy double, n_late long", "scene_ts long, x double, y double, n_late long", "append",
+        "ProcessingTimeTimeout" if forget else "NoTimeout",
     )

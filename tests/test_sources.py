@@ -186,3 +186,26 @@ def test_stored_tables(spark, tmp_path):
     assert [r.elem_id for r in store.read_map(spark, f"{tmp_path}/maps", "b").collect()] == [9]
     with pytest.raises(ValueError):
         store.read_map(spark, f"{tmp_path}/maps", "c")
+
+
+def test_edges_from_an_outline(spark):
+    kind = "map_id string, elem_id long, seq int, x double, y double, z double"
+    center = spark.createDataFrame([("m", 1, i, x, 0.0, 0.0) for i, x in enumerate((0.0, 0.0, 2.0, 4.0, 6.0))], kind)
+    # Against the clock from the lower left, three points below and five above.
+    ring = [(0.0, -1.0), (3.0, -1.0), (6.0, -1.0), (6.0, 1.0), (4.5, 1.0), (3.0, 1.0), (1.5, 1.0), (0.0, 1.0)]
+    for turn in range(len(ring)):
+        outline = spark.createDataFrame([("m", 1, i, *p, 0.0) for i, p in enumerate(ring[turn:] + ring[:turn])], kind)
+        got = {}
+        for r in maps.edges_from_polygons(outline, center).orderBy("side", "seq").collect():
+            got.setdefault(r.side, []).append((r.x, r.y))
+        assert got == {"left": [(x, 1.0) for x in (0.0, 1.5, 3.0, 4.5, 6.0)], "right": [(x, -1.0) for x in (0.0, 1.5, 3.0, 4.5, 6.0)]}
+        if turn == 3:
+            break
+
+
+def test_assembled_map_elements(spark):
+    rows = [("m", 1, 1, line, 0, i, float(i), y, 0.0) for line, y in (("center", 0.0), ("left_edge", 1.0)) for i in range(3)]
+    rows += [("m", 2, 2, "polygon", ring, i, *p, 0.0) for ring, scale in ((0, 10.0), (1, 1.0), (2, 2.0)) for i, p in enumerate(((0.0, 0.0), (scale, 0.0), (scale, scale)))]
+    got = {r.elem_id: r for r in maps.assembled(spark.createDataFrame(rows, "map_id string, elem_id long, elem_type int, line string, ring int, seq int, x double, y double, z double")).collect()}
+    assert [p.x for p in got[1].center] == [0.0, 1.0, 2.0] and got[1].center[2].h == 0.0 and got[1].left_edge[0].y == 1.0 and got[1].right_edge is None and got[1].holes == []
+    assert len(got[2].polygon) == 3 and [h[1].x for h in got[2].holes] == [1.0, 2.0] and got[2].center is None

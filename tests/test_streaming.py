@@ -40,5 +40,14 @@ def test_motion_keeps_the_last_state(spark, tmp_path):
     for k, rows in enumerate(([(1, 0, 0.0, 0.0), (1, 1, 2.0, 0.0), (2, 0, 5.0, 5.0)], [(1, 3, 8.0, 1.0), (1, 1, 99.0, 99.0)])):
         spark.createDataFrame(rows, kind).coalesce(1).write.parquet(f"{tmp_path}/in/part{k}")
     stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
-    got = sorted(map(tuple, drained(E.motion(stream), "motion", "append").collect()))
+    got = sorted(map(tuple, drained(E.motion(stream).drop("n_late"), "motion", "append").collect()))
     assert got == [(1, 0, 0.0, 0.0, 0.0, 0.0), (1, 1, 2.0, 0.0, 2.0, 0.0), (1, 3, 8.0, 1.0, 3.0, 0.5), (2, 0, 5.0, 5.0, 0.0, 0.0)]
+
+
+def test_motion_counts_late_rows_and_forgets(spark, tmp_path):
+    kind = "agent_id long, scene_ts long, x double, y double"
+    for k, rows in enumerate(([(1, 5, 0.0, 0.0), (1, 7, 4.0, 0.0), (1, 5, 9.0, 9.0)], [(1, 6, 1.0, 1.0), (1, 2, 1.0, 1.0)], [(1, 8, 7.0, 0.0)])):
+        spark.createDataFrame(rows, kind).coalesce(1).write.parquet(f"{tmp_path}/in/part{k}")
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    got = sorted(map(tuple, drained(E.motion(stream, "1 hour").select("scene_ts", "vx", "n_late"), "late", "append").collect()))
+    assert [g[0] for g in got] == [5, 7, 8] and got[-1][1:] == (3.0, 2) and sum(g[2] for g in got) == 3
