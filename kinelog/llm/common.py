@@ -77,10 +77,11 @@ def join_unique(many: DataFrame, few: DataFrame, *keys: str) -> DataFrame:
     Keys with more than one in HOT of these rows would meet in one task; they are fewer than HOT, so their rows of ``few`` are broadcast.
     """
     total = few.agg(F.sum("n")).first()[0] or 0
-    hot, rest = few.filter(F.col("n") * HOT > total).drop("n"), few.filter(F.col("n") * HOT <= total).drop("n")
-    names = list(keys)
-    joined = many.join(F.broadcast(hot), names)
-    return joined.unionByName(many.join(F.broadcast(hot.select(*names)), names, "left_anti").join(rest, names))
+    names, more = list(keys), [c for c in few.columns if c not in (*keys, "n")]
+    hot, rest = few.filter(F.col("n") * HOT > total), few.filter(F.col("n") * HOT <= total)
+    marked = many.join(F.broadcast(hot.select(*names, F.struct(F.lit(True).alias("hot"), *more).alias("_found"))), names, "left")
+    joined = marked.filter("_found IS NOT NULL").select(*names, *(c for c in many.columns if c not in names), *(F.col("_found")[c].alias(c) for c in more))
+    return joined.unionByName(marked.filter("_found IS NULL").drop("_found").join(rest.drop("n"), names))
 
 
 def chunks(batches: Iterator[pa.RecordBatch], text: int = 1, limit: int = CHUNK_CHARS) -> Iterator[pa.RecordBatch]:

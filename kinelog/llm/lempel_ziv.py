@@ -154,7 +154,9 @@ def candidates(blocks: DataFrame, large: int = LARGE) -> DataFrame:
     least = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "pos")).alias("r"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
     least = saved(least.filter("last > r.doc_id").select("w1", "w2", "n", F.col("r.doc_id").alias("ref"), F.col("r.pos").alias("ref_pos")))
     far = join_unique(windows.drop("pos"), least, "w1", "w2").filter("doc_id > ref")
-    return near.unionByName(far.select("entry", "left", (WINDOW - F.col("left")).alias("right"), "ref", "ref_pos"))
+    # Windows that one place of a reference has all hold the minimiser, so they are one match.
+    far = far.groupBy("entry", "ref", "ref_pos").agg(F.max("left").alias("left"), (WINDOW - F.min("left")).alias("right"))
+    return near.unionByName(far)
 
 
 def looked_up(found: DataFrame, large: int = LARGE) -> DataFrame:
