@@ -36,3 +36,16 @@ def as_format(states: DataFrame, fmt: str, keep: tuple[str, ...] = ("scene", "ag
     """The keys and the elements of a format such as ``x,y,xd,yd,s,c``, in that order."""
     columns = set(states.columns)
     return states.select(*keep, *(resolve(e, columns).alias(e) for e in fmt.split(",")))
+
+
+#: Named properties of a state and the elements that they are made of.
+PROPERTIES = {"position": "x,y", "position3d": "x,y,z", "velocity": "xd,yd", "acceleration": "xdd,ydd", "heading": "h", "heading_vector": "c,s"}
+
+
+def named(states: DataFrame, *names: str, keep: tuple[str, ...] = ("scene", "agent_id", "scene_ts")) -> DataFrame:
+    """The keys and, for each named property, an array of its elements."""
+    columns = set(states.columns)
+    unknown = [n for n in names if n not in PROPERTIES]
+    if unknown:
+        raise ValueError(f"no such property: {unknown}")
+    return states.select(*keep, *(F.array(*(resolve(e, columns) for e in PROPERTIES[n].split(","))).alias(n) for n in names))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.angles import frame_matrix
-from ..functions.formats import as_format
+from ..functions.formats import as_format, named
 from ..operators import elements, index, lookup, maps, metrics, scenes, simulation
 from ..scratch import new_path
-from ..sources import sinks, store
+from ..sources import metadata, sinks, store
 from ..spec import QuerySpec
 from . import trajectories as t
 from .queries import _MAP, _RADIUS_SQL, EDGES, ELEMENT, KEYS, RADII, RADIUS, back, bins_sql, built, dist, lights, map_places, map_points, query, r
@@ -222,6 +222,25 @@ def points_transformed(spark, d):
     return s.select(*KEYS, r(u).alias("u"), r(v).alias("v"), r(lookup.rotation(F.col("heading"))[1][0]).alias("turn"), r(there[0][0] * seen[0] + there[0][1] * seen[1] + there[0][2]).alias("back_x"))
 
 
+@query(f"WITH {t.STATES} SELECT scene, agent_id, scene_ts, x AS px, y AS py, 1.5::DOUBLE AS pz, round(cos(heading), 6) AS hc, round(ax, 6) AS aax FROM states")
+def named_properties(spark, d):
+    s = named(t.states(spark, d).withColumn("z", F.lit(1.5)), "position3d", "heading_vector", "acceleration")
+    place = F.col("position3d")
+    return s.select(*KEYS, place[0].alias("px"), place[1].alias("py"), place[2].alias("pz"), r(F.col("heading_vector")[0]).alias("hc"), r(F.col("acceleration")[0]).alias("aax"))
+
+
+@query("""SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'test_condition' WHEN 1 THEN 'train' ELSE 'val' END AS split, CASE p_partkey % 2 WHEN 0 THEN 'usa' ELSE 'bulgaria' END AS country,
+CASE p_partkey % 2 WHEN 0 THEN 'USA_Roundabout_FT' ELSE 'TestScenario_SR' END AS place, 'DR' AS first_part FROM part""")
+def names_parsed(spark, d):
+    k = F.col("p_partkey")
+    split = F.when(k % 3 == 0, "test_condition").when(k % 3 == 1, "train").otherwise("val")
+    place = F.when(k % 2 == 0, "DR_USA_Roundabout_FT").otherwise("DR_TestScenario_SR")
+    rows = t.table(spark, d, "part").select(k.alias("id"), F.concat_ws("_", place, split, k.cast("string")).alias("name"))
+    name = F.col("name")
+    country, where = metadata.junction_place(name)
+    return rows.select("id", metadata.junction_split(name).alias("split"), country.alias("country"), where.alias("place"), metadata.packed(name)[0].alias("first_part"))
+
+
 # Stored tables.
 
 

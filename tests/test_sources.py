@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinelog.operators import maps as map_operators
-from kinelog.sources import maps, registry, sinks, store, tracks
+from kinelog.sources import maps, metadata, registry, sinks, store, tracks
 from kinelog.sources.common import STATES
 
 
@@ -209,3 +209,25 @@ def test_assembled_map_elements(spark):
     got = {r.elem_id: r for r in maps.assembled(spark.createDataFrame(rows, "map_id string, elem_id long, elem_type int, line string, ring int, seq int, x double, y double, z double")).collect()}
     assert [p.x for p in got[1].center] == [0.0, 1.0, 2.0] and got[1].center[2].h == 0.0 and got[1].left_edge[0].y == 1.0 and got[1].right_edge is None and got[1].holes == []
     assert len(got[2].polygon) == 3 and [h[1].x for h in got[2].holes] == [1.0, 2.0] and got[2].center is None
+
+
+def test_metadata_and_splits(spark):
+    m = metadata.of("nusc_mini", parts=[["mini_train", "mini_val"], ["boston", "singapore"]], splits=metadata.inverted({"mini_train": ["a", "b"], "mini_val": ["c"]}))
+    assert (m.dt, m.has_maps, m.apart) == (0.5, True, False) and m.tags()[0] == ["nusc_mini", "mini_train", "boston"] and len(m.tags()) == 4
+    assert [tuple(r) for r in m.split_table(spark).orderBy("name").collect()] == [("a", "mini_train"), ("b", "mini_train"), ("c", "mini_val")]
+    assert metadata.with_validation({"train": ["a", "b", "c"], "val": ["d"]}, 2) == {"train": ["c"], "train_val": ["a", "b"], "val": ["d"]}
+    halls = metadata.inverted(metadata.one_left_out(["eth", "hotel", "zara"], ["eth"]))
+    assert halls == {"eth_train": "train", "eth_val": "val", "hotel_train": "train_loo", "zara_train": "train_loo", "hotel_val": "val_loo", "zara_val": "val_loo", "eth": "test_loo"}
+    assert metadata.of("eupeds_eth", more_tags=[["train_loo"]]).tags() == [["eupeds_eth"], ["eupeds_eth", "train_loo"]]
+    with pytest.raises(ValueError):
+        metadata.of("nothing")
+
+
+def test_reading_by_name(spark, tmp_path):
+    (tmp_path / "hall.txt").write_text("\n".join(f"{10 * t}.0\t{a}.0\t{t * 0.4}\t{a}.0" for a in (1, 2) for t in range(5)))
+    assert registry.tables_of("eupeds_eth") == ["spark", "path"] and registry.tables_of("nusc_mini") == ["sample", "annotation", "ego", "types", "dt"]
+    assert registry.read("eupeds_eth", spark=spark, path=f"{tmp_path}/hall.txt").states.count() == 10
+    with pytest.raises(ValueError, match="missing"):
+        registry.read("eupeds_eth", spark=spark)
+    with pytest.raises(ValueError, match="unknown"):
+        registry.read("eupeds_eth", spark=spark, path="x", wrong=1)
