@@ -118,10 +118,39 @@ def decode(deltas: DataFrame) -> DataFrame:
 
 
 def with_headings(points: DataFrame) -> DataFrame:
-    """Headings by the direction to the next point; the last point has that of the one before."""
+    """Headings along each element: the first point has that of the segment after it, the last that of the one before, all others the
+    circular mean of both. A single point has 0."""
     w = Window.partitionBy("map_id", "elem_id").orderBy("seq")
-    ahead = F.atan2(F.lead("y").over(w) - F.col("y"), F.lead("x").over(w) - F.col("x"))
-    return points.withColumn("h", ahead).withColumn("h", F.coalesce("h", F.lag("h").over(w), F.lit(0.0)))
+    after = F.atan2(F.lead("y").over(w) - F.col("y"), F.lead("x").over(w) - F.col("x"))
+    rows = points.withColumn("_after", after).withColumn("_before", F.lag("_after").over(w))
+    mean = F.atan2(F.sin("_before") + F.sin("_after"), F.cos("_before") + F.cos("_after"))
+    return rows.withColumn("h", F.coalesce(mean, F.col("_after"), F.col("_before"), F.lit(0.0))).drop("_after", "_before")
+
+
+def ends_of(points: DataFrame) -> DataFrame:
+    """(map_id, elem_id, first, last): the places where each line begins and ends."""
+    place = F.struct("x", "y")
+    return points.groupBy("map_id", "elem_id").agg(F.min_by(place, "seq").alias("first"), F.max_by(place, "seq").alias("last"))
+
+
+def runs_along(lines: DataFrame, refs: DataFrame) -> DataFrame:
+    """(map_id, elem_id, same_way): whether each line begins nearer to where its reference line begins than it ends."""
+    pairs = ends_of(lines).join(ends_of(refs).select("map_id", "elem_id", F.col("first").alias("r")), ["map_id", "elem_id"])
+    far = lambda p: F.hypot(F.col(p)["x"] - F.col("r.x"), F.col(p)["y"] - F.col("r.y"))
+    return pairs.select("map_id", "elem_id", (far("first") <= far("last")).alias("same_way"))
+
+
+def ends_cross(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(map_id, elem_id, cross): whether the segment between the ends of two edges meets the one between their beginnings."""
+    pairs = ends_of(left).select("map_id", "elem_id", F.col("first").alias("d"), F.col("last").alias("a"))
+    pairs = pairs.join(ends_of(right).select("map_id", "elem_id", F.col("first").alias("c"), F.col("last").alias("b")), ["map_id", "elem_id"])
+
+    def turns_left(p: str, q: str, s: str) -> Column:
+        p, q, s = F.col(p), F.col(q), F.col(s)
+        return (s["y"] - p["y"]) * (q["x"] - p["x"]) > (q["y"] - p["y"]) * (s["x"] - p["x"])
+
+    cross = (turns_left("a", "c", "d") != turns_left("b", "c", "d")) & (turns_left("a", "b", "c") != turns_left("a", "b", "d"))
+    return pairs.select("map_id", "elem_id", cross.alias("cross"))
 
 
 def densify(points: DataFrame, max_distance: float) -> DataFrame:

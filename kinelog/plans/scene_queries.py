@@ -366,6 +366,22 @@ def even_lines(spark, d):
     return out.select("map_id", "elem_id", F.col("seq").cast("long").alias("seq"), F.round(F.col("x") + 1e-9, 5).alias("x"), F.round(F.col("y") + 1e-9, 5).alias("y"))
 
 
+@query(f"""WITH {t.TRAJ}, a AS (SELECT *, atan2(lead(y) OVER w - y, lead(x) OVER w - x) AS after FROM traj WINDOW w AS {t.BY}), b AS (SELECT *, lag(after) OVER w AS before FROM a WINDOW w AS {t.BY}),
+h AS (SELECT *, coalesce(atan2(sin(before) + sin(after), cos(before) + cos(after)), after, before, 0.0) AS h FROM b)
+SELECT scene AS map_id, agent_id AS elem_id, scene_ts AS seq, round(cos(h), 5) + 0.0 AS c, round(abs(sin(h)), 5) + 0.0 AS s FROM h""")
+def line_headings(spark, d):
+    p = maps.with_headings(map_points(spark, d).drop("h"))
+    return p.select("map_id", "elem_id", "seq", F.round(F.cos("h"), 5).alias("c"), F.round(F.abs(F.sin("h")), 5).alias("s"))
+
+
+@query(f"""WITH {t.TRAJ}, e AS (SELECT scene, agent_id, arg_min(x, scene_ts) AS fx, arg_min(y, scene_ts) AS fy, arg_max(x, scene_ts) AS lx, arg_max(y, scene_ts) AS ly FROM traj GROUP BY scene, agent_id)
+SELECT scene AS map_id, agent_id AS elem_id, sqrt(100 * 100 + (fy - 60) * (fy - 60)) <= sqrt((lx - fx + 100) * (lx - fx + 100) + (ly - 60) * (ly - 60)) AS same_way FROM e""")
+def line_directions(spark, d):
+    p = map_points(spark, d)
+    first = maps.ends_of(p).select("map_id", "elem_id", F.lit(0).alias("seq"), (F.col("first.x") - 100).alias("x"), F.lit(60.0).alias("y"))
+    return maps.runs_along(p, first)
+
+
 @query(f"WITH {t.TRAJ} SELECT scene AS map_id, agent_id AS elem_id, scene_ts AS seq, x FROM (SELECT *, count(*) OVER (PARTITION BY scene, agent_id) AS n FROM traj) WHERE scene_ts = CAST(floor(n / 2) AS BIGINT)")
 def line_midpoints(spark, d):
     return maps.midpoints(map_points(spark, d)).select("map_id", "elem_id", "seq", "x")

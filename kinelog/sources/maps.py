@@ -101,8 +101,10 @@ def assembled(points: DataFrame) -> DataFrame:
     """Map elements in the canonical form out of a converted map's points (map_id, elem_id, elem_type, line, ring, seq, x, y, z), line one of
     center, left_edge, right_edge, polygon (ring 0 its outline, further rings its holes). Headings follow from the points."""
     lines = Window.partitionBy("map_id", "elem_id", "line", "ring").orderBy("seq")
-    ahead = F.atan2(F.lead("y").over(lines) - F.col("y"), F.lead("x").over(lines) - F.col("x"))
-    rows = points.withColumn("_h", ahead).withColumn("h", F.coalesce("_h", F.lag("_h").over(lines), F.lit(0.0)))
+    after = F.atan2(F.lead("y").over(lines) - F.col("y"), F.lead("x").over(lines) - F.col("x"))
+    rows = points.withColumn("_after", after).withColumn("_before", F.lag("_after").over(lines))
+    mean = F.atan2(F.sin("_before") + F.sin("_after"), F.cos("_before") + F.cos("_after"))
+    rows = rows.withColumn("h", F.coalesce(mean, F.col("_after"), F.col("_before"), F.lit(0.0)))
     one = rows.groupBy("map_id", "elem_id", "elem_type", "line", "ring").agg(F.array_sort(F.collect_list(F.struct("seq", "x", "y", "z", "h"))).alias("p"))
     one = one.withColumn("p", F.transform("p", lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"), q["z"].alias("z"), q["h"].alias("h"))))
     first = lambda name: F.max_by("p", F.when((F.col("line") == name) & (F.col("ring") == 0), 1)).alias(name)

@@ -335,3 +335,13 @@ def test_simulation_carries_extents_and_height(spark):
     assert raised and all(r.z == 7.0 for r in raised)
     added = simulation.add_agents(after, moves.withColumn("agent_id", F.col("agent_id") + 100)).filter("agent_id >= 100")
     assert added.count() == moves.count() and added.filter("length IS NOT NULL").count() == 0
+
+
+def test_ends_of_edges(spark):
+    kind = "map_id string, elem_id long, seq int, x double, y double"
+    line = lambda e, y, way: [("m", e, i, float(x), y) for i, x in enumerate((0, 3, 6)[::way])]
+    left, right = spark.createDataFrame(line(1, 1.0, 1) + line(2, 1.0, 1), kind), spark.createDataFrame(line(1, -1.0, 1) + line(2, -1.0, -1), kind)
+    assert collect(maps.ends_cross(left, right), "elem_id", "cross") == [(1, False), (2, True)]
+    assert collect(maps.runs_along(right, left), "elem_id", "same_way") == [(1, True), (2, False)]
+    h = [r.h for r in maps.with_headings(spark.createDataFrame([("m", 1, 0, 0.0, 0.0), ("m", 1, 1, 1.0, 0.0), ("m", 1, 2, 1.0, 1.0), ("m", 2, 0, 5.0, 5.0)], kind)).orderBy("elem_id", "seq").collect()]
+    assert h == pytest.approx([0.0, math.pi / 4, math.pi / 2, 0.0])
