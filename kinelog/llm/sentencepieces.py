@@ -9,7 +9,9 @@ A merge of several places at once equals the library's one-by-one order unless a
 a piece of equal or better rank. Such pieces are found when the model is read; of them a round merges only the
 leftmost place in each word.
 
-A null text is encoded as the empty text. Texts of any length work; repeated rows and ids are encoded row by row.
+A null text is encoded as the empty text. Texts of any length work, one text at a time and in memory in proportion to it;
+repeated rows and ids are encoded row by row; a null doc_id is carried through; pairs of equal rank merge from left to right; extra
+columns are not looked at; an empty table gives no rows.
 """
 
 from __future__ import annotations
