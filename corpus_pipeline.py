@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinelog.llm import decontamination, jaccard, personal, quality, sentencepieces
-from kinelog.llm.common import saved, scratch, table
+from kinelog.llm.common import discard, saved, scratch, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -60,9 +60,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = given = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         with scratch() as tables:
-            docs = saved(stage(spark, docs, sf_dir))
-            tables.remove(docs)
+            done = saved(stage(spark, docs, sf_dir))
+            tables.remove(done)
+        if docs is not given:
+            discard(docs)
+        docs = done
     return docs

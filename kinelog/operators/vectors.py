@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import written
+
 #: Queries that are broadcast at a time.
 BLOCK = 4096
 
@@ -16,10 +18,13 @@ BLOCK = 4096
 def nearest(rows: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, key, distance, rank): the k nearest rows of each query but itself, by distance and key.
 
-    Each task keeps its own k best of each query, so what is shuffled is k rows for each query and task.
+    Each task keeps its own k best of each query, so what is shuffled is k rows for each query and task. Queries come in blocks; of
+    more than one, each is answered and written down before the next, so that one block is held at a time. Rows and queries without
+    key or vector take no part, and a repeated query is asked once.
     """
     found, last = None, None
-    ordered = queries.select(key, vector).orderBy(key)
+    rows = rows.filter(F.col(key).isNotNull() & F.col(vector).isNotNull())
+    ordered = queries.filter(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(key, vector).dropDuplicates([key]).orderBy(key)
     while True:
         some = ordered if last is None else ordered.filter(F.col(key) > last)
         block = some.limit(BLOCK).collect()
@@ -45,6 +50,11 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", ve
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(np.concatenate([o for _, o in best])), pa.array(np.concatenate([d for d, _ in best]))], names=["query_id", key, "distance"])
 
         part = rows.select(key, vector).mapInArrow(work, f"query_id long, {key} long, distance double")
+        if found is None and len(block) < BLOCK:
+            found = part
+            break
+        part = written(part)
+        sent.unpersist()
         found = part if found is None else found.unionByName(part)
         if len(block) < BLOCK:
             break

@@ -228,6 +228,9 @@ def test_vectors_in_blocks(spark, monkeypatch):
         order = [i for i in sorted(range(60), key=lambda i: (d[i], i)) if i != q][:4]
         want += [(q, k + 1, i) for k, i in enumerate(order)]
     assert got == sorted(want)
+    odd = rows.unionByName(spark.createDataFrame([(None, [0.0, 0.0, 0.0]), (99, None)], rows.schema))
+    again = rows.filter("vec_id % 3 = 0")
+    assert collect(vectors.nearest(odd, again.unionByName(again).unionByName(odd.filter("vec_id IS NULL OR vec_id = 99")), 4), "query_id", "rank", "vec_id") == got
 
 
 def test_empty_tables(spark):
