@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard, language, lempel_ziv, personal, quality, sentencepieces, sharding, suffixes, urls
+from . import decontamination, jaccard, language, lempel_ziv, licences, periods, personal, quality, search, sentencepieces, sharding, suffixes, urls
 
 _QUERIES = {
     "op1_flow_reshard": sharding.op1_flow_reshard,
@@ -15,10 +15,15 @@ _QUERIES = {
     "op8_line_quality": quality.op8_line_quality,
     "op9_relative_lempel_ziv": lempel_ziv.op9_relative_lempel_ziv,
     "op10_random_field": personal.op10_random_field,
+    "op11_suffix_automaton": periods.op11_suffix_automaton,
+    "op12_rare_word_index": licences.op12_rare_word_index,
+    "op13_block_max_search": search.op13_block_max_search,
 }
 _ORACLES = {
     "op4_redirect_equivalence": urls.ORACLE,
     "op8_line_quality": quality.ORACLE,
+    "op12_rare_word_index": licences.ORACLE,
+    "op13_block_max_search": search.ORACLE,
 }
 
 
