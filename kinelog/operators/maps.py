@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.angles import wrap
 from ..schema import MAP_ELEMENTS
 from ..scratch import written
+from . import segments
 
 
 def points_of(elements: DataFrame, line: str = "center") -> DataFrame:
@@ -141,16 +142,11 @@ def runs_along(lines: DataFrame, refs: DataFrame) -> DataFrame:
 
 
 def ends_cross(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(map_id, elem_id, cross): whether the segment between the ends of two edges meets the one between their beginnings."""
-    pairs = ends_of(left).select("map_id", "elem_id", F.col("first").alias("d"), F.col("last").alias("a"))
-    pairs = pairs.join(ends_of(right).select("map_id", "elem_id", F.col("first").alias("c"), F.col("last").alias("b")), ["map_id", "elem_id"])
-
-    def turns_left(p: str, q: str, s: str) -> Column:
-        p, q, s = F.col(p), F.col(q), F.col(s)
-        return (s["y"] - p["y"]) * (q["x"] - p["x"]) > (q["y"] - p["y"]) * (s["x"] - p["x"])
-
-    cross = (turns_left("a", "c", "d") != turns_left("b", "c", "d")) & (turns_left("a", "b", "c") != turns_left("a", "b", "d"))
-    return pairs.select("map_id", "elem_id", cross.alias("cross"))
+    """(map_id, elem_id, cross): whether the segment that joins the last points of two edges meets the one that joins their first points, by ``segments.meet``."""
+    ends = ends_of(left).select("map_id", "elem_id", F.col("first").alias("l0"), F.col("last").alias("l1"))
+    ends = ends.join(ends_of(right).select("map_id", "elem_id", F.col("first").alias("r0"), F.col("last").alias("r1")), ["map_id", "elem_id"])
+    between = lambda p, q: tuple(F.col(f"{n}.{c}") for n in (p, q) for c in ("x", "y"))
+    return ends.select("map_id", "elem_id", segments.meet(between("l0", "r0"), between("l1", "r1")).alias("cross"))
 
 
 def densify(points: DataFrame, max_distance: float) -> DataFrame:
