@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.angles import wrap
 from ..schema import MAP_ELEMENTS
 from ..scratch import written
-from . import segments
+from . import nearest, segments
 
 
 def points_of(elements: DataFrame, line: str = "center") -> DataFrame:
@@ -49,16 +49,12 @@ def found_place(*columns: str) -> Column:
     return ok
 
 
-def nearest_lane(places: DataFrame, points: DataFrame, first_radius: float, rounds: int = 30) -> DataFrame:
-    """(place_id, elem_id, distance) of the nearest point's element, the least elem_id on ties.
+def nearest_lane(places: DataFrame, points: DataFrame, cell: float | None = None, within: float | None = None) -> DataFrame:
+    """(place_id, elem_id, distance) of the nearest point's element, the least elem_id on ties; ``within``: only if it is nearer than that.
 
-    Places without a point in reach are searched again with twice the radius, until all have one. Places without
-    coordinates, or of a map without points, stay out.
+    Places without coordinates, or of a map without points, stay out. See ``nearest`` for the search; ``cell`` is the size of its cells, by default from the points' density.
     """
-    points = points.filter(found_place("x", "y", "z"))
-    maps = points.select("map_id").distinct()
-    rest = written(places.filter(found_place("x", "y", "z"))).join(maps, "map_id", "left_semi")
-    return by_doubling(rest, lambda some, radius: near_points(some, points, radius), first_radius, rounds)
+    return nearest.nearest(places, points, cell, within)
 
 
 def by_doubling(rest: DataFrame, search, first_radius: float, rounds: int) -> DataFrame:
@@ -317,7 +313,7 @@ def areas_within(places: DataFrame, areas: DataFrame, radius: float, cell: float
 
 
 def nearest_area(places: DataFrame, areas: DataFrame, first_radius: float, rounds: int = 30) -> DataFrame:
-    """(place_id, elem_id, distance) of the nearest area, by doubled radii as in ``nearest_lane``."""
+    """(place_id, elem_id, distance) of the nearest area, by doubled radii."""
     rest = written(places.filter(found_place("x", "y"))).join(areas.select("map_id").distinct(), "map_id", "left_semi")
     return by_doubling(rest, lambda some, radius: areas_within(some, areas, radius, radius), first_radius, rounds)
 

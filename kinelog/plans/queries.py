@@ -426,9 +426,9 @@ def map_points(spark, d):
     return p.select(F.col("scene").alias("map_id"), F.col("agent_id").alias("elem_id"), F.col("scene_ts").alias("seq"), "x", "y", F.lit(0.0).alias("z"), F.col("heading").alias("h"))
 
 
-def map_places(spark, d):
+def map_places(spark, d, x="x + 1.25D"):
     p = t.states(spark, d)
-    return p.select((F.col("agent_id") * 4294967296 + F.col("scene_ts")).alias("place_id"), F.col("scene").alias("map_id"), (F.col("x") + 1.25).alias("x"), (F.col("y") - 0.75).alias("y"), F.lit(0.0).alias("z"), F.col("heading").alias("h"))
+    return p.select((F.col("agent_id") * 4294967296 + F.col("scene_ts")).alias("place_id"), F.col("scene").alias("map_id"), F.expr(x).alias("x"), (F.col("y") - 0.75).alias("y"), F.lit(0.0).alias("z"), F.col("heading").alias("h"))
 
 
 @query(_MAP + " SELECT DISTINCT place_id, elem_id FROM pairs WHERE distance <= 1.5")
@@ -438,7 +438,15 @@ def lanes_within(spark, d):
 
 @query(_MAP + " SELECT place_id, m.elem_id, round(m.distance, 6) AS distance FROM (SELECT place_id, min({'distance': distance, 'elem_id': elem_id}) AS m FROM pairs GROUP BY place_id)")
 def nearest_lane(spark, d):
-    return maps.nearest_lane(map_places(spark, d), map_points(spark, d), 8.0).select("place_id", "elem_id", r("distance").alias("distance"))
+    return maps.nearest_lane(map_places(spark, d), map_points(spark, d)).select("place_id", "elem_id", r("distance").alias("distance"))
+
+
+@query(_MAP.replace("x + 1.25 AS x", "x * 1.5 AS x") + """ SELECT place_id, m.elem_id, round(m.distance, 6) AS distance
+FROM (SELECT place_id, min({'distance': distance, 'elem_id': elem_id}) AS m FROM pairs GROUP BY place_id) WHERE m.distance < 20""")
+def nearest_lane_within(spark, d):
+    """Signs stand half as far out again as the map; each belongs to the nearest lane if that is nearer than 20."""
+    signs = map_places(spark, d, "x * 1.5D")
+    return maps.nearest_lane(signs, map_points(spark, d), within=20.0).select("place_id", "elem_id", r("distance").alias("distance"))
 
 
 _TURN = "abs((h - ph + pi()) - floor((h - ph + pi()) / (2 * pi())) * 2 * pi() - pi())"
@@ -505,7 +513,7 @@ def lanes_within_all(spark, d):
 
 @query(_MAP_ALL + " SELECT place_id, m.elem_id, round(m.distance, 6) AS distance FROM (SELECT place_id, min({'distance': distance, 'elem_id': elem_id}) AS m FROM pairs GROUP BY place_id)")
 def nearest_lane_all(spark, d):
-    return maps.nearest_lane(all_places(spark, d), all_points(spark, d), 8.0).select("place_id", "elem_id", r("distance").alias("distance"))
+    return maps.nearest_lane(all_places(spark, d), all_points(spark, d)).select("place_id", "elem_id", r("distance").alias("distance"))
 
 
 @query(_MAP_ALL + """, c AS (SELECT place_id, elem_id, min(distance) AS cost FROM pairs WHERE distance <= 2.0 GROUP BY ALL)

@@ -132,7 +132,8 @@ def test_many_copies_make_no_pairs(spark):
     assert [tuple(r) for r in S.kept_edges(rows).collect()] == [("m", 0)]
 
 
-def test_hulls_equal_a_plain_search(spark):
+def test_hulls_equal_a_plain_search(spark, monkeypatch):
+    monkeypatch.setattr(S, "PART", 60)
     rng = random.Random(2)
     sets = {k: [(rng.randrange(12), rng.randrange(12)) for _ in range(n)] for k, n in enumerate((1, 2, 3, 5, 20, 200, 400))}
     sets[7], sets[8] = [(i, 2 * i) for i in range(9)] * 2, [(3, 3)] * 5
@@ -163,3 +164,23 @@ def test_edges_of_junctions(spark):
     hull = S.hulls(ls, ("map_id",))
     assert {r.elem_id for r in S.inside_hull(e, hull).collect()} == {10, 12, 13, 14}
     assert S.inside_hull(spark.createDataFrame(line(20, (0, 0), (30, 0)) + line(21, (0, 0), (30, 20)) + line(22, (5, 5), (40, 5)), POINTS), hull).select("elem_id").collect() == [(21,)]
+
+
+@pytest.mark.parametrize(("cell", "within"), [(None, None), (0.5, None), (50.0, None), (None, 3.0), (0.1, 40.0)])
+def test_nearest_equals_all_pairs(spark, cell, within):
+    rng = random.Random(6)
+    spot = lambda s: (round(rng.uniform(-s, s), 1), round(rng.uniform(-s, s), 1), float(rng.randrange(2)))
+    points = [(rng.choice("mn"), rng.randrange(30), *spot(40)) for _ in range(250)] + [("m", 77, 5000.0, -9000.0, 0.0), ("m", 78, None, 0.0, 0.0), ("lone", 1, 0.0, 0.0, 0.0), (None, 5, 0.0, 0.0, 0.0)]
+    places = [(k, rng.choice(["m", "n", "lone", "none"]), *spot(60)) for k in range(150)] + [(900, "m", 4000.0, -8000.0, 0.0), (901, "m", 1e6, 1e6, 0.0), (902, "lone", -1e5, 3.0, 1.0), (903, "m", math.nan, 0.0, 0.0), (904, None, 0.0, 0.0, 0.0)]
+    want = []
+    for k, m, *at in places:
+        near = [(math.dist(at, p[2:]), p[1]) for p in points if m is not None and p[0] == m and None not in p and not math.isnan(at[0])]
+        if near and (within is None or min(near)[0] < within):
+            want.append((k, min(near)[1], round(min(near)[0], 6)))
+    df = maps.nearest_lane(spark.createDataFrame(places, "place_id long, map_id string, x double, y double, z double"), spark.createDataFrame(points, "map_id string, elem_id long, x double, y double, z double"), cell, within)
+    assert sorted((r.place_id, r.elem_id, round(r.distance, 6)) for r in df.collect()) == want
+
+
+def test_nearest_on_empty_tables(spark):
+    places, points = spark.createDataFrame([(1, "m", 0.0, 0.0, 0.0)], "place_id long, map_id string, x double, y double, z double"), spark.createDataFrame([("m", 1, 0.0, 0.0, 0.0)], "map_id string, elem_id long, x double, y double, z double")
+    assert maps.nearest_lane(places, points.limit(0)).count() == 0 and maps.nearest_lane(places.limit(0), points).count() == 0 and maps.nearest_lane(places, points).count() == 1
