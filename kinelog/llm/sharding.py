@@ -1,12 +1,13 @@
 """Resharding by minimum-cost flow.
 
-Rows lie in old shards. Each old shard is cut into a fixed number of blocks by a hash of doc_id. What the
+Rows lie in old shards. Each old shard is cut into a fixed number of blocks by a hash of doc_id and text. Rows that are alike in all of these and
+together exceed a block's mean size are dealt over the blocks by their place in the files. What the
 driver sees is a table of blocks (bounded by shards times blocks, never by rows). A minimum-cost flow from
 old shard sizes to new capacities says how many bytes go from where to where, moving the fewest bytes; the
 flow is then filled with whole blocks. Rows learn their new shard from the plan, a table of that same bound.
 
 Defined results: a null text counts 1 byte and has the crc32 of the empty text; a null doc_id or source is a
-value like any other; repeated rows go to one block and take slots of their own; an empty table gives an
+value like any other; repeated rows take slots of their own, and a few of them share a block while many are dealt out; an empty table gives an
 empty plan; blocks of equal size are placed by shard and number; a very long text is one row of one block; extra columns
 are not looked at, and ``rewrite`` carries them through, whatever their names.
 """
@@ -96,19 +97,33 @@ def fill(blocks: list[tuple[int, int, int, int]], flow: dict[tuple[int, int], in
     return placed
 
 
-def block_of(blocks: int) -> Column:
-    return F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(blocks)).cast("int")
+#: What rows must share to be alike.
+ALIKE = ("doc_id", "text_crc32", "size", "old_shard")
+
+
+def many_alike(rows: DataFrame, blocks: int) -> DataFrame:
+    """(ALIKE) of the rows (ALIKE) whose repeats exceed an old shard's mean block: at most as many as there are blocks."""
+    total, n_old = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.countDistinct("old_shard")).first()
+    alike = rows.groupBy(*ALIKE).agg(F.count("*").alias("n"))
+    return F.broadcast(alike.filter((F.col("n") > 1) & (F.col("n") * F.col("size") * max(1, n_old) * blocks > total)).select(*(F.col(c).alias(f"_{c}") for c in ALIKE)))
+
+
+def in_blocks(rows: DataFrame, place: Column, blocks: int) -> DataFrame:
+    """``rows`` (ALIKE and more) with their block. ``place`` tells rows that are alike from each other; it must not change when a task runs again."""
+    many = many_alike(rows.select(*ALIKE), blocks)
+    marked = rows.withColumn("_place", place).join(many, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ALIKE], "left")
+    salt = F.when(F.col("_size").isNotNull(), F.col("_place")).otherwise(F.lit(0))
+    return marked.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(1), "text_crc32", "size", salt), F.lit(blocks)).cast("int")).drop("_place", *(f"_{c}" for c in ALIKE))
+
+
+def described(old_shard: Column, size: Column) -> list[Column]:
+    """doc_id, size, crc32 of the text and old shard of each row."""
+    return [F.col("doc_id"), size.cast("long").alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit(""))).alias("text_crc32"), old_shard.cast("int").alias("old_shard")]
 
 
 def with_blocks(docs: DataFrame, old_shard: Column, size: Column, blocks: int = BLOCKS) -> DataFrame:
-    """doc_id, old shard, block and size of each row, and the crc32 of its text."""
-    return docs.select(
-        "doc_id",
-        size.cast("long").alias("size"),
-        F.crc32(F.coalesce(F.col("text"), F.lit(""))).alias("text_crc32"),
-        old_shard.cast("int").alias("old_shard"),
-        block_of(blocks).alias("block"),
-    )
+    """doc_id, size, crc32 of the text, old shard and block of each row, written down, so that a row stays in its block."""
+    return saved(in_blocks(docs.select(*described(old_shard, size)), F.monotonically_increasing_id(), blocks))
 
 
 def plan(rows: DataFrame, capacity: list[int] | int) -> DataFrame:
@@ -155,14 +170,16 @@ def rewrite(docs_path: str, spark: SparkSession, capacity: list[int], out_path:
     size = F.coalesce(F.octet_length("text"), F.lit(0)) + 1
     n_old, total = docs.agg(F.countDistinct("shard"), F.coalesce(F.sum(size), F.lit(0))).first()
     blocks = block_count(total, max(1, n_old))
-    rows = with_blocks(docs, F.col("shard"), size, blocks)
+    # The rows travel in a column of their own, so that their names can't clash. A row's place is its file and its number in it.
+    whole = F.struct(*(c for c in docs.columns if c != "shard")).alias("row")
+    place = F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("place")
+    wide = docs.select(*described(F.col("shard"), size), place, whole)
+    rows = in_blocks(wide.drop("row"), F.col("place"), blocks)
     moves = saved(plan(rows, capacity))
     touched = [r[0] for r in moves.filter("old_shard <> new_shard").selectExpr("explode(array(old_shard, new_shard))").distinct().collect()]  # shards, not rows
-    # The rows travel in a column of their own, so that their names can't clash.
-    whole = F.struct(*(c for c in docs.columns if c != "shard")).alias("row")
     (
-        docs.filter(F.col("shard").isin(touched))
-        .select(F.col("shard").cast("int").alias("old_shard"), block_of(blocks).alias("block"), whole)
+        in_blocks(wide, F.col("place"), blocks).filter(F.col("old_shard").isin(touched))
+        .select("old_shard", "block", "row")
         .join(F.broadcast(moves.drop("first_slot")), ["old_shard", "block"])
         .repartition("new_shard", F.pmod("block", F.lit(blocks // 32)))
         .select("row.*", F.col("new_shard").alias("shard"))
@@ -183,7 +200,7 @@ def op1_flow_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = docs.agg(F.sum(size)).first()[0] or 0
     old = F.pmod(F.crc32(F.coalesce(F.col("source"), F.lit(""))), F.lit(N_OLD))
     rows = with_blocks(docs, old, size, block_count(total, N_OLD))
-    return reshard(saved(rows), N_NEW).select(
+    return reshard(rows, N_NEW).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("new_shard").alias("shard"),
         F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "old_shard",
     )

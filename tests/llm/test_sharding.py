@@ -89,3 +89,21 @@ def test_rewriting_carries_columns_of_any_name(spark, tmp_path):
 def test_blocks_follow_from_the_bytes():
     assert S.block_count(0, 12) == S.block_count(10**12, 12) == 512
     assert 25_000 < S.block_count(10**14, 12) <= S.MOST_BLOCKS == S.block_count(10**16, 12)
+
+
+@pytest.mark.parametrize("kind", ["all null", "one id", "one text", "one row"])
+def test_shards_are_even_whatever_repeats(spark, kind, tmp_path):
+    ids = {"all null": "CAST(NULL AS LONG)", "one id": "IF(id % 2 = 0, 7, id)", "one text": "id", "one row": "IF(id % 2 = 0, 7, id)"}[kind]
+    text = {"one text": "repeat('x', 80)", "one row": "IF(id % 2 = 0, repeat('x', 80), CONCAT(repeat('y', 78), id))"}.get(kind, "CONCAT(repeat('y', 78), id)")
+    docs = spark.range(20_000).selectExpr(f"{ids} AS doc_id", f"{text} AS text")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)) + 1
+    rows = S.with_blocks(docs, F.lit(0), size)
+    shards = S.reshard(rows, 16).groupBy("new_shard").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), F.max("slot").alias("last")).collect()
+    mean = sum(r.bytes for r in shards) / 16
+    assert len(shards) == 16 and max(r.bytes for r in shards) < 1.05 * mean and all(r.last == r.n - 1 for r in shards)
+    docs.withColumn("shard", F.lit(0)).write.partitionBy("shard").parquet(f"{tmp_path}/old")
+    total = int(16 * mean)
+    S.rewrite(f"{tmp_path}/old", spark, [total // 4 + 1] * 4, f"{tmp_path}/new")
+    new = spark.read.parquet(f"{tmp_path}/new")
+    assert new.select("doc_id", "text").exceptAll(docs).count() == 0 and new.count() == 20_000
+    assert max(r.bytes for r in new.groupBy("shard").agg(F.sum(size).alias("bytes")).collect()) < 1.05 * total / 4
