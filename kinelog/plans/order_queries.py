@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import ordered
+from ..operators import chains, ordered
 from . import trajectories as t
 from .queries import query, r
 
@@ -73,3 +74,11 @@ def lane_chunks(spark, d):
     lanes = items.select(F.col("l_orderkey").alias("lane"), F.lit(4).cast("long").alias("begin"), F.lit(40).cast("long").alias("end"), F.lit("R").alias("label")).distinct()
     pieces = ordered.interval_pieces(borders.unionByName(lanes), ("lane",), FLAGS)
     return ordered.short_pieces_joined(pieces, ("lane",)).select("lane", "begin", "end", F.array_join("labels", "+").alias("labels"))
+
+
+@query("""WITH e AS (SELECT event_id, first_value(event_id) OVER w AS head, row_number() OVER w - 1 AS rank FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT event_id, head, rank FROM e""")
+def list_ranked(spark, d):
+    """Each event names the next one of its user; its place in that list is found from these names alone."""
+    e = t.table(spark, d, "events")
+    linked = e.select("event_id", F.lead("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("next"))
+    return chains.ranked(linked, "event_id")

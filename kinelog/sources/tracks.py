@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.angles import yaw
+from ..operators.chains import ranked
 from .common import AGENT, Scenes, canonical, diff, drop_single_detections, interpolated, mapped_type, velocities
 
 #: Types and extents (length, width, height in metres) by label.
@@ -17,7 +18,10 @@ JUNCTION_OBJECTS = {
     "tricycle": (1, 3.5, 1.5, 1.5), "pedestrian": (2, 0.7, 0.7, 1.7), "mv": (1, 4.5, 2.0, 1.5), "nmv": (3, 1.8, 0.6, 1.5),
 }
 LIGHT_CODES = {"green": 1, "red": 2}
-EGO_EXTENT = (5.176, 2.297, 1.777)
+#: The extents (length, width, height) of each source's own car.
+LOG_CAR = (5.176, 2.297, 1.777)
+SAMPLE_CAR = (4.084, 1.730, 1.562)
+INTERVAL_CAR = (4.869, 1.852, 1.476)
 
 
 def _extent(label, table: dict[str, tuple]):
@@ -149,7 +153,7 @@ def log_states(scenes: DataFrame, lidar_pc: DataFrame, ego_pose: DataFrame, lida
     pose = ego_pose.withColumnRenamed("token", "ego_pose_token")
     ego = frames.join(pose, "ego_pose_token", "left").select(
         "scene", F.lit("ego").alias("agent_id"), "scene_ts", "x", "y", "z", "vx", "vy", F.col("acceleration_x").alias("ax"), F.col("acceleration_y").alias("ay"),
-        yaw(F.col("qw"), F.col("qx"), F.col("qy"), F.col("qz")).alias("heading"), F.lit(1).alias("agent_type"), *(F.lit(v).alias(c) for c, v in zip(("length", "width", "height"), EGO_EXTENT)),
+        yaw(F.col("qw"), F.col("qx"), F.col("qy"), F.col("qz")).alias("heading"), F.lit(1).alias("agent_type"), *(F.lit(v).alias(c) for c, v in zip(("length", "width", "height"), LOG_CAR)),
     )
     kinds = track.join(category.select(F.col("token").alias("category_token"), "name"), "category_token", "left").select(F.col("token").alias("track_token"), "name", "length", "width", "height")
     boxes = lidar_box.join(frames.drop("ego_pose_token"), "lidar_pc_token").join(kinds, "track_token").filter(F.col("name").isin("vehicle", "bicycle", "pedestrian"))
@@ -167,21 +171,24 @@ def log_lights(scenes: DataFrame, lidar_pc: DataFrame, lights: DataFrame) -> Dat
 
 def annotated_samples(sample: DataFrame, annotation: DataFrame, ego: DataFrame, types: dict[str, int], dt: float) -> Scenes:
     """Linked samples (token, scene, timestamp), annotations (sample_token, instance_token, category_name, x, y, z, qw, qx, qy, qz, length, width, height)
-    and ego poses (sample_token, x, y, z, qw, qx, qy, qz). Order by time replaces following the links; gaps are filled linearly.
+    and ego poses (sample_token, x, y, z, qw, qx, qy, qz). Samples with a column ``next`` are numbered by following it from each scene's first one, others by time; gaps are filled linearly.
 
     Categories are matched by prefix; others and the ego's own category are left out.
     """
     from ..operators.derive import fill_gaps, unwrap
 
-    w = Window.partitionBy("scene").orderBy("timestamp")
-    frames = sample.withColumn("scene_ts", (F.row_number().over(w) - 1).cast("long")).select("scene", "scene_ts", F.col("token").alias("sample_token"))
+    if "next" in sample.columns:
+        numbered = sample.join(ranked(sample), "token").withColumn("scene_ts", F.col("rank"))
+    else:
+        numbered = sample.withColumn("scene_ts", (F.row_number().over(Window.partitionBy("scene").orderBy("timestamp")) - 1).cast("long"))
+    frames = numbered.filter("scene_ts IS NOT NULL").select("scene", "scene_ts", F.col("token").alias("sample_token"))
     kind = F.lit(None).cast("int")
     for prefix, t in types.items():
         kind = F.when(F.col("category_name").startswith(prefix), t).otherwise(kind)
     heading = yaw(F.col("qw"), F.col("qx"), F.col("qy"), F.col("qz")).alias("heading")
     found = annotation.filter("category_name <> 'vehicle.ego'").withColumn("agent_type", kind).filter("agent_type IS NOT NULL").join(frames, "sample_token")
     agents = drop_single_detections(found.select("scene", F.col("instance_token").alias("agent_id"), "scene_ts", "x", "y", "z", heading, "agent_type", "length", "width", "height"))
-    own = ego.join(frames, "sample_token").select("scene", F.lit("ego").alias("agent_id"), "scene_ts", "x", "y", "z", heading, F.lit(1).alias("agent_type"), *(F.lit(v).alias(c) for c, v in zip(("length", "width", "height"), EGO_EXTENT)))
+    own = ego.join(frames, "sample_token").select("scene", F.lit("ego").alias("agent_id"), "scene_ts", "x", "y", "z", heading, F.lit(1).alias("agent_type"), *(F.lit(v).alias(c) for c, v in zip(("length", "width", "height"), SAMPLE_CAR)))
     every = unwrap(agents.unionByName(own), out="heading_unwrapped")
     constant = every.groupBy(*AGENT).agg(*(F.min_by(c, "scene_ts").alias(c) for c in ("agent_type", "length", "width", "height")))
     filled = fill_gaps(every, "x", "y", "z", "heading_unwrapped").drop("filled").join(constant, list(AGENT))
@@ -200,7 +207,7 @@ def frame_intervals(scenes: DataFrame, frames: DataFrame, agents: DataFrame, typ
 
     w = Window.partitionBy("scene").orderBy("frame")
     own = scenes.select("scene", F.explode(F.sequence("first_frame", F.col("end_frame") - 1)).alias("frame")).withColumn("scene_ts", (F.row_number().over(w) - 1).cast("long")).join(frames, "frame")
-    ego = velocities(own.select("scene", F.lit("ego").alias("agent_id"), "scene_ts", "x", "y", "z", "heading", F.lit(1).alias("agent_type"), *(F.lit(v).alias(c) for c, v in zip(("length", "width", "height"), EGO_EXTENT))), dt)
+    ego = velocities(own.select("scene", F.lit("ego").alias("agent_id"), "scene_ts", "x", "y", "z", "heading", F.lit(1).alias("agent_type"), *(F.lit(v).alias(c) for c, v in zip(("length", "width", "height"), INTERVAL_CAR))), dt)
     some = own.filter("end_agent > first_agent").select("scene", "scene_ts", "z", F.explode(F.sequence("first_agent", F.col("end_agent") - 1)).alias("row"))
     seen = some.join(agents, "row").withColumns({"agent_id": F.col("track_id").cast("string"), "label": F.array_position("probabilities", F.array_max("probabilities")).cast("int")})
     label = mode_by_agent(seen, "label")

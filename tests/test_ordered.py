@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from kinelog.operators import chains
 from kinelog.operators import ordered as O
 
 
@@ -85,3 +86,27 @@ def test_short_pieces_go_to_their_neighbours(spark):
     rows = [(1, 0, 5, ["a"]), (1, 5, 6, ["b"]), (1, 6, 7, ["c"]), (1, 7, 20, ["d"]), (1, 25, 26, ["d"]), (2, 0, 1, ["a"]), (2, 1, 4, ["b"]), (2, 4, 8, ["b"]), (3, 0, 1, ["a"]), (3, 1, 2, ["b"])]
     got = O.short_pieces_joined(spark.createDataFrame(rows, "k int, begin int, end int, labels array<string>"), ("k",)).collect()
     assert sorted((r.k, r.begin, r.end, r.labels) for r in got) == [(1, 0, 7, ["a"]), (1, 7, 20, ["d"]), (1, 25, 26, ["d"]), (2, 0, 8, ["b"]), (3, 0, 2, ["a"])]
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 64, 300])
+def test_lists_equal_following_the_links(spark, size):
+    rng = random.Random(size)
+    names = [f"n{i}" for i in range(size)]
+    rng.shuffle(names)
+    cuts = set(rng.sample(range(size), size // 10))
+    rows = [(a, None if i in cuts else b) for i, (a, b) in enumerate(zip(names, [*names[1:], None]))]
+    want, head, rank = {}, None, 0
+    for name, after in rows:
+        head, rank = (name, 0) if head is None else (head, rank + 1)
+        want[name] = (head, rank)
+        head = head if after else None
+    got = chains.ranked(spark.createDataFrame(rng.sample(rows, size), "token string, next string").repartition(3))
+    assert {r.token: (r.head, r["rank"]) for r in got.collect()} == want
+
+
+def test_odd_lists(spark):
+    rows = [("a", "b"), ("b", "c"), ("c", "a"), ("s", "s"), ("x", ""), ("y", "gone"), ("p", "r"), ("q", "r"), ("r", None), ("r", None), (None, "x"), ("u", "v"), ("v", "w"), ("w", "u2")]
+    got = {r.token: (r.head, r["rank"]) for r in chains.ranked(spark.createDataFrame(rows, "token string, next string")).collect()}
+    ring = (None, None)
+    assert got == {"a": ring, "b": ring, "c": ring, "s": ring, "x": ("x", 0), "y": ("y", 0), "p": ("p", 0), "q": ("q", 0), "r": ("p", 1), "u": ("u", 0), "v": ("u", 1), "w": ("u", 2)}
+    assert chains.ranked(spark.createDataFrame([], "token string, next string")).count() == 0

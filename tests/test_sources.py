@@ -94,6 +94,12 @@ def test_annotated_samples(spark):
     rows = {(r.agent_id, r.scene_ts): r for r in tracks.annotated_samples(sample, ann, ego, {"vehicle": 1, "human": 2}, 0.5).states.collect()}
     assert set(rows) == {(a, t) for a in ("a", "ego") for t in range(4)}
     assert rows["a", 2].x == 2.0 and rows["a", 2].vx == pytest.approx(2.0) and rows["ego", 0].vx == pytest.approx(4.0) and rows["a", 2].heading == pytest.approx(0.2)
+    own = rows["ego", 0]
+    assert (own.length, own.width, own.height) == (4.084, 1.730, 1.562)
+    # Links tell the order where times tie, are missing or wrong; samples of a ring have no place.
+    linked = frame([(f"t{i}", "s", None if i == 2 else 0, f"t{i + 1}" if i < 3 else None) for i in range(4)] + [("r", "s", 9, "r")], "token string, scene string, timestamp long, next string")
+    again = {(r.agent_id, r.scene_ts): r for r in tracks.annotated_samples(linked, ann, ego, {"vehicle": 1, "human": 2}, 0.5).states.collect()}
+    assert again == rows
 
 
 def test_frame_intervals(spark):
@@ -103,6 +109,8 @@ def test_frame_intervals(spark):
     agents = frame([(0, 1, 0.0, 0.0, 1.0, 0.0, 0.0, 4.0, 2.0, 1.5, [0.1, 0.9]), (1, 2, 0.0, 0.0, 1.0, 0.0, 0.0, 4.0, 2.0, 1.5, [0.9, 0.1]), (2, 1, 0.1, 0.0, 2.0, 0.0, 0.0, 4.0, 2.0, 1.5, [0.2, 0.8])], "row long, track_id long, x double, y double, vx double, vy double, yaw double, length double, width double, height double, probabilities array<double>")
     rows = {(r.agent_id, r.scene_ts): r for r in tracks.frame_intervals(scenes, frames.withColumnsRenamed({"x": "x", "y": "y"}), agents.drop("z"), [1, 2]).states.collect()}
     assert set(rows) == {("ego", 0), ("ego", 1), ("1", 0), ("1", 1)} and rows["1", 0].agent_type == 2 and rows["1", 0].z == 5.0 and rows["1", 1].ax == pytest.approx(10.0)
+    own = rows["ego", 1]
+    assert (own.length, own.width, own.height) == (4.869, 1.852, 1.476)
 
 
 def test_lanelets(spark, tmp_path):
