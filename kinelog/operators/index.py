@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import AGENT
+from ..scratch import written
 from ..spec import QuerySpec
+from .ordered import asof
 
 
 def tag_matches(tags: Column, wanted: str) -> Column:
@@ -86,12 +88,12 @@ def ordinals(found: DataFrame, spec: QuerySpec) -> DataFrame:
 
 
 def lookup(found: DataFrame, wanted: list[int]) -> DataFrame:
-    """The (scene, agent_id, scene_ts) of given ordinals, from what ``ordinals`` returns."""
-    asked = F.explode(F.array(*(F.lit(int(i)).cast("long") for i in wanted))).alias("ordinal")
-    reach = F.col("first_ordinal") + F.col("hi_ts") - F.col("lo_ts")
-    return found.select("*", asked).filter((F.col("ordinal") >= F.col("first_ordinal")) & (F.col("ordinal") <= reach)).select(
-        *AGENT, (F.col("lo_ts") + F.col("ordinal") - F.col("first_ordinal")).alias("scene_ts"), "ordinal"
-    )
+    """The (scene, agent_id, scene_ts) of given ordinals, from what ``ordinals`` returns: of each, the last agent that begins up to it."""
+    asked = found.sparkSession.createDataFrame([(0, int(i)) for i in wanted], "_all int, ordinal long")
+    agents = written(found.withColumn("_all", F.lit(0)))
+    hit = asof(asked, agents, ("_all",), "ordinal", (*AGENT, "lo_ts", "hi_ts", "first_ordinal"), right_at="first_ordinal", into="_a")
+    at = F.col("_a.lo_ts") + F.col("ordinal") - F.col("_a.first_ordinal")
+    return hit.filter(at <= F.col("_a.hi_ts")).select(*(F.col(f"_a.{c}") for c in AGENT), at.alias("scene_ts"), "ordinal")
 
 
 def time_batches(index: DataFrame, k: int = 0) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import chains, ordered
+from ..operators import chains, ordered, sketches
 from . import trajectories as t
 from .queries import query, r
 
@@ -82,3 +82,15 @@ def list_ranked(spark, d):
     e = t.table(spark, d, "events")
     linked = e.select("event_id", F.lead("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("next"))
     return chains.ranked(linked, "event_id")
+
+
+@query("""SELECT l_returnflag, CAST(l_linenumber AS INTEGER) AS l_linenumber, CAST(2 - grouping(l_returnflag) - grouping(l_linenumber) AS INTEGER) AS level, count(*) AS n, count(DISTINCT l_partkey) AS exact, true AS near
+FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linenumber)""")
+def sketched_distincts(spark, d):
+    """Different parts by return flag and line number out of stored sketches, near to the exact counts (within three percent, over four times the standard error)."""
+    by, rows = ("l_returnflag", "l_linenumber"), t.table(spark, d, "lineitem")
+    found = sketches.rolled_up(sketches.distinct_sketches(rows, by, "l_partkey"), by)
+    exact = rows.rollup(*by).agg(F.countDistinct("l_partkey").alias("exact"))
+    same = [found[c].eqNullSafe(exact[c]) for c in by]
+    near = F.abs(F.col("n_distinct") - F.col("exact")) <= 0.03 * F.col("exact")
+    return found.join(exact, same).select(found["l_returnflag"], found["l_linenumber"].cast("int").alias("l_linenumber"), "level", "n", "exact", near.alias("near"))

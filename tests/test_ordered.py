@@ -6,6 +6,7 @@ import pytest
 
 from kinelog.operators import chains
 from kinelog.operators import ordered as O
+from kinelog.operators import sketches
 
 
 @pytest.fixture(params=[2, 64])
@@ -110,3 +111,16 @@ def test_odd_lists(spark):
     ring = (None, None)
     assert got == {"a": ring, "b": ring, "c": ring, "s": ring, "x": ("x", 0), "y": ("y", 0), "p": ("p", 0), "q": ("q", 0), "r": ("p", 1), "u": ("u", 0), "v": ("u", 1), "w": ("u", 2)}
     assert chains.ranked(spark.createDataFrame([], "token string, next string")).count() == 0
+
+
+def test_sketches_merge_without_the_rows(spark, tmp_path):
+    rows = spark.range(60_000).selectExpr("id % 3 AS a", "id % 7 AS b", "IF(id % 10 = 0, NULL, id % 20000) AS v")
+    sketches.distinct_sketches(rows, ("a", "b"), "v").write.parquet(f"{tmp_path}/s")
+    stored = spark.read.parquet(f"{tmp_path}/s")
+    got = {(r.a, r.b, r.level): (r.n, r.n_distinct) for r in sketches.rolled_up(stored, ("a", "b")).collect()}
+    assert len(got) == 1 + 3 + 21 and got[None, None, 0][0] == 60_000
+    for (a, b, level), (n, distinct) in got.items():
+        own = rows.filter(("true" if a is None else f"a = {a}") + ("" if b is None else f" AND b = {b}"))
+        exact = own.filter("v IS NOT NULL").select("v").distinct().count()
+        assert level == (a is not None) + (b is not None) and n == own.count() and abs(distinct - exact) <= 0.03 * exact
+    assert sketches.rolled_up(stored.limit(0), ("a",)).filter("level > 0").count() == 0
