@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from ..scratch import discard, written
 
-#: Points in a cell that has any, about; levels above the cells at most; levels up that the second search looks.
-TARGET, LEVELS, WIDER = 2, 60, 2
+#: Points in a cell that has any, about; levels above the cells at most; levels up that the second search looks; levels between
+#: those at which far places look for any cell.
+TARGET, LEVELS, WIDER, STEP = 2, 60, 2, 3
 AXES = ("x", "y", "z")
 
 
@@ -93,10 +94,10 @@ def nearest(places: DataFrame, points: DataFrame, cell: float | None = None, wit
 def far(rest: DataFrame, index: DataFrame, cell: float, within: float | None) -> DataFrame:
     """``least`` of places with no point nearer than ``cell``."""
     cells = written(index.groupBy("map_id", "cx", "cy").agg(*(f(f"p{c}").alias(f"{c}{k}") for c in AXES for f, k in ((F.min, 0), (F.max, 1)))))
-    # A place enters two levels above the first whose nine cells around it hold any point: nine cells there hold all that is as near as that.
+    # A place enters two levels above the first looked at whose nine cells around it hold any point: nine cells there hold all that is as near as that.
     entries, waiting, k = [], rest, 0
     while k < LEVELS and not waiting.isEmpty():
-        k += 1
+        k += STEP
         up = level_of(cells, k).select("map_id", "cx", "cy")
         hit = around(with_cell(waiting, cell * 2**k)).join(up, ["map_id", "cx", "cy"], "left_semi").select("place_id").distinct()
         entries.append(written(waiting.join(hit, "place_id", "left_semi").withColumn("level", F.lit(k + 2))))
