@@ -71,7 +71,7 @@ def asof(left: DataFrame, right: DataFrame, by: Sequence[str], at: str, values:
 def cubic_sections(places: DataFrame, sections: DataFrame, by: Sequence[str], s: str = "s") -> DataFrame:
     """``places`` with ``value``: the cubic a + b t + c t^2 + d t^3 of the last section (``by``, s, a, b, c, d) that begins at or before each place, t from there.
 
-    Places before the first section of their key go by that one; without a section, a place has 0. Of sections that begin alike the one with
+    Places before the first section of their key go by that one; without a section, a place has 0; a null place has null if its key has sections. Of sections that begin alike the one with
     the greatest coefficients counts, in the order a, b, c, d.
     """
     names = ("s", "a", "b", "c", "d")
