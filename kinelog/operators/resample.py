@@ -56,3 +56,10 @@ def resample_agents(found: DataFrame, factor: int) -> DataFrame:
         return found.withColumns({"first_ts": F.col("first_ts") * factor, "last_ts": F.col("last_ts") * factor})
     n = -factor
     return found.withColumns({"first_ts": F.ceil(F.col("first_ts") / n), "last_ts": F.floor(F.col("last_ts") / n)}).filter("first_ts <= last_ts")
+
+
+def resample_scenes(scenes: DataFrame, factor: int) -> DataFrame:
+    """Scenes (length_timesteps, dt and more) after upsampling by ``factor``, or downsampling by its negative. The first timestep stays, so a scene of n has n - 1 steps between."""
+    steps = F.col("length_timesteps") - 1
+    length, dt = (steps * factor, F.col("dt") / factor) if factor > 0 else (F.floor(steps / -factor), F.col("dt") * -factor)
+    return scenes.withColumns({"length_timesteps": (length + 1).cast("long"), "dt": dt})

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import angles, formats
 from ..operators import derive, elements, index, maps, metrics, neighbors, resample, simulation, vectors, windows
+from ..scratch import new_path
 from ..spec import QuerySpec
 from ..streaming import events as event_windows
 from . import trajectories as t
@@ -355,6 +356,12 @@ def resampled_agents(spark, d):
     return resample.resample_agents(t.agents(spark, d), -3).select("scene", "agent_id", "first_ts", "last_ts")
 
 
+@query(f"WITH {t.TRAJ} SELECT scene, max(scene_ts) // 3 + 1 AS length_timesteps, 3.0::DOUBLE AS dt FROM traj GROUP BY scene")
+def resampled_scenes(spark, d):
+    scenes = t.positions(spark, d).groupBy("scene").agg((F.max("scene_ts") + 1).alias("length_timesteps"), F.lit(1.0).alias("dt"))
+    return resample.resample_scenes(scenes, -3)
+
+
 # Metrics and simulation.
 
 _SIM = "sim AS (SELECT scene, agent_id, scene_ts, x + scene_ts * 0.25 AS x, y - 1.5 AS y FROM traj WHERE scene_ts % 5 <> 4)"
@@ -606,3 +613,14 @@ SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS start_s, count(*) AS n
 def session_windows(spark, d):
     e = t.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return event_windows.sessions(e, "4 hours").select("user_id", F.unix_timestamp("start").alias("start_s"), "n")
+
+
+@query("""WITH e AS (SELECT *, epoch_us(ts) AS us FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL), m AS (SELECT max(us) // 1000 * 1000 - 3600000000 AS mark FROM e),
+f AS (SELECT e.*, coalesce(lag(event_type) OVER w = 'purchase', false) OR coalesce(us - lag(us) OVER w > 14400000000, true) AS fresh FROM e, m WHERE us <= mark WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)),
+k AS (SELECT *, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS k FROM f),
+g AS (SELECT user_id, min(us) AS start_us, max(us) AS end_us, count(*) AS n, sum(coalesce(value, 0.0)) AS total, bool_or(coalesce(event_type = 'purchase', false)) AS closed FROM k GROUP BY user_id, k)
+SELECT user_id, start_us, end_us, n, round(total, 6) AS total, CASE WHEN closed THEN 'closed' ELSE 'expired' END AS outcome FROM g, m WHERE closed OR mark - end_us > 14400000000""")
+def episodes_streamed(spark, d):
+    """What users do up to a purchase or a pause of four hours, out of a stream of the whole table."""
+    stream = event_windows.source(spark, f"{d}/events.parque[t]")  # a stream reads a single file by a pattern only
+    return event_windows.run(event_windows.episodes(stream, "purchase", "4 hours", "1 hour"), new_path(spark)).withColumn("total", r("total"))

@@ -8,7 +8,7 @@ from ..functions.angles import frame_matrix
 from ..functions.formats import as_format, named
 from ..operators import elements, index, lookup, maps, metrics, scenes, simulation
 from ..scratch import new_path
-from ..sources import metadata, sinks, store
+from ..sources import metadata, sinks, spatial, store
 from ..spec import QuerySpec
 from . import trajectories as t
 from .queries import _MAP, _RADIUS_SQL, EDGES, ELEMENT, KEYS, RADII, RADIUS, back, bins_sql, built, dist, lights, map_places, map_points, query, r
@@ -274,6 +274,14 @@ def map_roundtrip(spark, d):
     return store.read_map(spark, path, 1, ("road_lane",)).select("elem_id", F.size("center").cast("long").alias("n"), (total > 0).alias("right_side"))
 
 
+@query(_MAP + " SELECT place_id, elem_id, count(*) AS n, round(min(distance), 6) AS distance FROM pairs WHERE distance <= 0.4 GROUP BY ALL")
+def stored_near(spark, d):
+    path = new_path(spark)
+    spatial.save_points(map_points(spark, d), path, file_points=2000)
+    pairs = spatial.stored_within(spark, path, map_places(spark, d), 0.4)
+    return pairs.groupBy("place_id", "elem_id").agg(F.count("*").alias("n"), r(F.min("distance")).alias("distance"))
+
+
 @query(_I + " SELECT scene, agent_id, scene_ts FROM i")
 def index_stored(spark, d):
     path, asked = new_path(spark), {"history": 1, "future": 1, "types": [1, 2]}

@@ -69,3 +69,59 @@ def motion(events: DataFrame, forget: str | None = None) -> DataFrame:
         update, "agent_id long, scene_ts long, x double, y double, vx double, vy double, n_late long", "scene_ts long, x double, y double, n_late long", "append",
         "ProcessingTimeTimeout" if forget else "NoTimeout",
     )
+
+
+def episodes(events: DataFrame, closing: str, gap: str, late: str) -> DataFrame:
+    """Runs of a user's events that end with an event of the type ``closing`` or, by a timer on event time, once more than ``gap`` has passed without one.
+
+    Gives user_id, start_us, end_us (microseconds), n, total (of value; nulls count as none) and outcome: closed or expired. An event more than ``gap`` after the last begins a new episode.
+    Rows that come out of order wait in the state until the watermark (``late`` behind the newest event) has passed them and are then taken in order of ts and event_id,
+    so that the result doesn't depend on how they arrive; later ones are dropped by the watermark. What a user's state holds is the open episode's sums and the rows of the last ``late``, and of one trigger (a stream of old files should take a few at a time).
+    Rows without a ts or user are left out. Episodes open at the end of the stream are not given.
+    """
+    pause = int(pd.Timedelta(gap).total_seconds() * 1_000_000)
+
+    def update(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        start, end, n, total, *held = state.get if state.exists else (None, None, 0, 0.0, [], [], [], [])
+        for part in parts:
+            held = [[*a, *b] for a, b in zip(held, (part.us.tolist(), part.event_id.tolist(), part.closes.tolist(), part.value.tolist()))]
+        now = state.getCurrentWatermarkMs() * 1000
+        rows, out = sorted(zip(*held), key=lambda row: row[:2]), []
+        passed = sum(us <= now for us, *_ in rows)
+        for us, _, closes, value in rows[:passed]:
+            if n and us - end > pause:
+                out.append((key[0], start, end, n, total, "expired"))
+                n = 0
+            if not n:
+                start, total = us, 0.0
+            end, n, total = us, n + 1, total + value
+            if closes:
+                out.append((key[0], start, end, n, total, "closed"))
+                n = 0
+        if n and now - end > pause:
+            out.append((key[0], start, end, n, total, "expired"))
+            n = 0
+        if out:
+            yield pd.DataFrame(out, columns=["user_id", "start_us", "end_us", "n", "total", "outcome"])
+        waiting = rows[passed:]
+        if not n and not waiting:
+            state.remove()
+            return
+        state.update((start if n else None, end if n else None, n, total, *([row[k] for row in waiting] for k in range(4))))
+        # A timer goes off once the watermark is later than it.
+        due = ([waiting[0][0] - 1] if waiting else []) + ([end + pause] if n else [])
+        state.setTimeoutTimestamp(max(min(due) // 1000, now // 1000, 1))
+
+    rows = events.filter("ts IS NOT NULL AND user_id IS NOT NULL").withWatermark("ts", late)
+    rows = rows.select("user_id", "ts", F.unix_micros("ts").alias("us"), F.coalesce("event_id", F.lit(-1)).alias("event_id"), F.coalesce(F.col("event_type") == closing, F.lit(False)).alias("closes"), F.coalesce("value", F.lit(0.0)).alias("value"))
+    return rows.groupBy("user_id").applyInPandasWithState(
+        update, "user_id long, start_us long, end_us long, n long, total double, outcome string",
+        "start long, end long, n long, total double, us array<long>, event_id array<long>, closes array<boolean>, value array<double>", "append", "EventTimeTimeout",
+    )
+
+
+def run(stream: DataFrame, path: str) -> DataFrame:
+    """All that a stream gives for what is there now, written under ``path`` and read again; its progress is kept beside it."""
+    query = stream.writeStream.format("parquet").option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start(f"{path}/rows")
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
