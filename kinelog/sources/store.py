@@ -40,8 +40,10 @@ def read_scenes(spark: SparkSession, path: str, env: str, wanted: list[str], des
     return of_source(spark.read.parquet(path), env, wanted, descriptions, by_prefix)
 
 
-def save_maps(elements: DataFrame, path: str) -> None:
-    """Map elements of any number of maps at once, each its own partition."""
+def save_maps(elements: DataFrame, path: str, locations: list[str] | None = None) -> None:
+    """Map elements of any number of maps at once, each its own partition; of all maps, or those of some locations alone."""
+    if locations is not None:
+        elements = elements.filter(F.col("map_id").isin(*locations))
     _save(elements, path, "map_id", order=("elem_type", "elem_id"))
 
 

@@ -169,6 +169,21 @@ def log_lights(scenes: DataFrame, lidar_pc: DataFrame, lights: DataFrame) -> Dat
     return frames.select("scene", "scene_ts", F.col("token").alias("lidar_pc_token")).join(lights, "lidar_pc_token").select("scene", F.col("lane_connector_id").cast("string").alias("lane_id"), "scene_ts", mapped_type(F.lower("status"), LIGHT_CODES).alias("status"))
 
 
+#: States of a signal's lane in the nested tracks: going, and stopping or to stop, with arrow or without, flashing included. Fixed values.
+GOING, STOPPING = (3, 6), (1, 2, 4, 5, 7, 8)
+
+
+def nested_lights(scenes: DataFrame) -> DataFrame:
+    """(scene, lane_id, scene_ts, status) of ``scenes`` (scene, dynamic_states: an array by timestep of structs with lane_states, an array of lane and state).
+
+    Caution counts as red, unknown and null states as unknown. Of several states of a lane in one timestep the last one counts; lanes that are null are left out.
+    """
+    step = scenes.select("scene", F.posexplode("dynamic_states").alias("scene_ts", "d")).select("scene", F.col("scene_ts").cast("long").alias("scene_ts"), F.posexplode("d.lane_states").alias("k", "s"))
+    known = F.when(F.col("s.state").isin(*GOING), LIGHT_CODES["green"]).when(F.col("s.state").isin(*STOPPING), LIGHT_CODES["red"]).otherwise(0)
+    rows = step.filter("s.lane IS NOT NULL").select("scene", F.col("s.lane").cast("string").alias("lane_id"), "scene_ts", "k", known.alias("status"))
+    return rows.groupBy("scene", "lane_id", "scene_ts").agg(F.max_by("status", "k").alias("status"))
+
+
 def annotated_samples(sample: DataFrame, annotation: DataFrame, ego: DataFrame, types: dict[str, int], dt: float) -> Scenes:
     """Linked samples (token, scene, timestamp), annotations (sample_token, instance_token, category_name, x, y, z, qw, qx, qy, qz, length, width, height)
     and ego poses (sample_token, x, y, z, qw, qx, qy, qz). Samples with a column ``next`` are numbered by following it from each scene's first one, others by time; gaps are filled linearly.

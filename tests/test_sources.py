@@ -239,3 +239,25 @@ def test_reading_by_name(spark, tmp_path):
         registry.read("eupeds_eth", spark=spark)
     with pytest.raises(ValueError, match="unknown"):
         registry.read("eupeds_eth", spark=spark, path="x", wrong=1)
+
+
+def test_lights_of_nested_tracks(spark):
+    kind = "scene string, dynamic_states array<struct<lane_states: array<struct<lane: long, state: int>>>>"
+    steps = [([(7, 6), (8, 4), (8, 3)],), (None,), ([(7, 5), (9, None), (None, 6), (10, 0), (11, 8)],), ([],)]
+    got = tracks.nested_lights(spark.createDataFrame([("a", steps), ("b", None), ("c", [])], kind))
+    assert sorted(map(tuple, got.select("scene", "lane_id", "scene_ts", "status").collect())) == [("a", "10", 2, 0), ("a", "11", 2, 2), ("a", "7", 0, 1), ("a", "7", 2, 2), ("a", "8", 0, 1), ("a", "9", 2, 0)]
+
+
+def test_maps_of_some_locations_alone(spark, tmp_path):
+    store.save_maps(spark.createDataFrame([("a", 1, 1), ("b", 1, 2), ("c", 1, 3)], "map_id string, elem_type int, elem_id long"), str(tmp_path), ["a", "c", "none"])
+    assert sorted(r.map_id for r in spark.read.parquet(str(tmp_path)).collect()) == ["a", "c"]
+
+
+def test_boxes_of_a_long_table(spark):
+    from kinelog.operators import scenes
+
+    long = spark.createDataFrame([(0, 1, 5, 2.0, 3.0, 0.0), (0, 1, 9, 0.0, 0.0, 0.0)], "scene long, agent_id long, of_agent long, x double, y double, heading double")
+    agents = spark.createDataFrame([(0, 5, 1, 4.0, 2.0)], "scene long, agent_id long, agent_type int, length double, width double")
+    got = {r.of_agent: r for r in scenes.boxes(long, agents).collect()}
+    assert [tuple(c) for c in got[5].corners] == [(4.0, 4.0), (0.0, 4.0), (0.0, 2.0), (4.0, 2.0)] and got[5].agent_type == 1
+    assert len(got) == 2 and got[9].agent_type is None
