@@ -8,7 +8,7 @@ A line ends well with a mark that ends sentences in any script; lines with lette
 mark are spared that rule. Boilerplate is learned: a line is common if it recurs in RECURS different texts and in one of SHARE. Each text
 has its share of lines, so there are at most SHARE times the mean number of lines of common ones, however many
 documents there are, and they are broadcast. In a text whose words are common lines for more than
-``MAX_COMMON_PERCENT`` they are no boilerplate: it is a copy, which other operators handle. A few English phrases count too.
+``MAX_COMMON_PERCENT`` they are no boilerplate: it is a copy, which other operators handle.
 
 Nulls and texts without a word: all counts 0, ``base_failed`` true, ``kept`` false, clean text null for
 a null text and empty otherwise. A null doc_id is carried through. Repeated rows are judged alike and count as one text.
@@ -41,18 +41,6 @@ MIN_BARS = 2
 #: A line of that many words is prose, whatever it ends with.
 LONG_LINE = 30
 MIN_SHOUTED = 3
-BOILERPLATE = (
-    "all rights reserved",
-    "click here",
-    "cookie policy",
-    "enable javascript",
-    "lorem ipsum",
-    "privacy policy",
-    "sign in to",
-    "subscribe to our",
-    "terms of service",
-    "terms of use",
-)
 SYMBOLS = "#*$%&|<>"
 #: Marks that end a sentence in any script (a property of Unicode), and what may follow them or stand for them.
 SENTENCE_ENDS = "".join(regex.findall(r"\p{Sentence_Terminal}", "".join(chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000)))
@@ -64,7 +52,6 @@ UNMARKED = r"[\p{Thai}\p{Lao}]"
 RECURS, SHARE = 50, 1000
 MAX_COMMON_PERCENT = 20
 
-_BOILERPLATE = re.compile("|".join(map(re.escape, BOILERPLATE)))
 _SYMBOL = re.compile(f"[{re.escape(SYMBOLS)}]")
 _UNMARKED = regex.compile(UNMARKED)
 _LOWER, _UPPER = regex.compile(r"\p{Ll}"), regex.compile(r"\p{Lu}")
@@ -82,9 +69,7 @@ def bad_line(line: str, n_words: int) -> bool:
         return True
     if line.count("|") >= MIN_BARS or len(_SYMBOL.findall(line)) >= n_words:
         return True
-    if n_words >= MIN_SHOUTED and not _LOWER.search(line) and _UPPER.search(line):
-        return True
-    return bool(_BOILERPLATE.search(line.lower()))
+    return bool(n_words >= MIN_SHOUTED and not _LOWER.search(line) and _UPPER.search(line))
 
 
 def repeated_words(ids: np.ndarray) -> int:
@@ -110,13 +95,13 @@ def line_key(line: str) -> bytes:
     return hashlib.md5(line.encode("utf-8", "surrogatepass")).digest()
 
 
-def common_lines(docs: DataFrame) -> frozenset[bytes]:
-    """Keys of the lines that recur in many different texts: at most SHARE times the mean number of lines of a text."""
+def common_lines(docs: DataFrame, recurs: int = RECURS, share: int = SHARE) -> frozenset[bytes]:
+    """Keys of the lines that recur in many different texts: at most ``share`` times the mean number of lines of a text."""
     texts = docs.filter("text IS NOT NULL").select(F.md5("text").alias("whole"), "text")
     lines = texts.select("whole", F.explode(F.split("text", "\n")).alias("line")).filter(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
-    often = lines.select("whole", F.unhex(F.md5("line")).alias("line")).distinct().groupBy("line").agg(F.count("*").alias("n")).filter(F.col("n") >= RECURS)
+    often = lines.select("whole", F.unhex(F.md5("line")).alias("line")).distinct().groupBy("line").agg(F.count("*").alias("n")).filter(F.col("n") >= recurs)
     n_texts = texts.select("whole").distinct().count()
-    return frozenset(bytes(r[0]) for r in often.filter(F.col("n") * SHARE >= n_texts).select("line").collect())
+    return frozenset(bytes(r[0]) for r in often.filter(F.col("n") * share >= n_texts).select("line").collect())
 
 
 def judge(text: str, ids: dict[bytes, int], common: frozenset[bytes] = frozenset()) -> tuple:
@@ -154,9 +139,9 @@ def judge(text: str, ids: dict[bytes, int], common: frozenset[bytes] = frozenset
     return (n, len(text) - spaces, symbols, dup, repeat, failed, kept, lines, bad, lost), "\n".join(clean)
 
 
-def clean_lines(docs: DataFrame, with_text: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+def clean_lines(docs: DataFrame, with_text: bool = True, carry: tuple[str, ...] = (), recurs: int = RECURS, share: int = SHARE) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): the figures, the verdict, if asked the clean text, and columns to carry."""
-    shared = docs.sparkSession.sparkContext.broadcast(common_lines(docs))
+    shared = docs.sparkSession.sparkContext.broadcast(common_lines(docs, recurs, share))
     ddl = SCHEMA + (", clean_text string" if with_text else "") + carried(docs, carry)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
@@ -178,8 +163,10 @@ def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _W = r"'[^\x20\x09-\x0D]+'"
 _ENDS_SQL = "[" + "".join(map(re.escape, sorted(END_MARKS))).replace("'", "''") + "]"
-_BOIL_SQL = "'" + "|".join(BOILERPLATE) + "'"
-ORACLE = rf"""
+
+
+def sql(recurs: int = RECURS, share: int = SHARE) -> str:
+    return rf"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {_W}) AS w FROM documents
 ), tri AS (
@@ -196,7 +183,7 @@ WITH d AS (
 ), common AS (
   SELECT line FROM (SELECT DISTINCT text, unnest(string_split(text, chr(10))) AS line FROM texts)
   WHERE regexp_matches(line, {_W}) GROUP BY line
-  HAVING count(*) >= {RECURS} AND count(*) * {SHARE} >= (SELECT count(*) FROM texts)
+  HAVING count(*) >= {recurs} AND count(*) * {share} >= (SELECT count(*) FROM texts)
 ), marked AS (
   SELECT doc_id, l.line, k, c.line IS NOT NULL
     AND 100 * coalesce(sum(k) FILTER (WHERE c.line IS NOT NULL) OVER (PARTITION BY doc_id), 0) <= {MAX_COMMON_PERCENT} * sum(k) OVER (PARTITION BY doc_id) AS shared
@@ -206,8 +193,7 @@ WITH d AS (
     OR (k < {LONG_LINE} AND NOT regexp_matches(line, '{_ENDS_SQL}[\x20\x09-\x0D]*$') AND NOT regexp_matches(line, '{UNMARKED}'))
     OR length(line) - length(replace(line, '|', '')) >= {MIN_BARS}
     OR length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g')) >= k
-    OR (k >= {MIN_SHOUTED} AND NOT regexp_matches(line, '\p{{Ll}}') AND regexp_matches(line, '\p{{Lu}}'))
-    OR regexp_matches(lower(line), {_BOIL_SQL}) AS bad
+    OR (k >= {MIN_SHOUTED} AND NOT regexp_matches(line, '\p{{Ll}}') AND regexp_matches(line, '\p{{Lu}}')) AS bad
   FROM marked
 ), per AS (
   SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines,
@@ -229,3 +215,6 @@ SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} *
     AND 100 * n_lost_words <= {MAX_LOST_PERCENT} * n_words AS kept
 FROM figures
 """
+
+
+ORACLE = sql()
