@@ -39,12 +39,14 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _HINT = re.compile(r"[0-9@]")
 _WORD = re.compile(r"\S+")
 _BANK = re.compile(r"[A-Z]{4}")
+#: What a key's maker puts before it: letters, then a mark, then a long random word.
+_PREFIX = re.compile(r"[A-Za-z]{2,6}(?:[-_][a-z]{2,6})?[-_](?=[A-Za-z0-9_-]{16,}$)")
 
 LABELS = ("O", "B-email", "B-ip", "B-card", "I-card", "B-phone", "I-phone", "B-secret", "B-id", "B-iban", "I-iban", "B-name", "I-name")
-TITLES = frozenset("mr mrs ms miss dr prof herr frau monsieur madame señor señora name contact patient employee applicant".split())
+TITLES = frozenset("mr mrs ms miss dr prof herr frau monsieur madame señor señora name contact patient employee applicant sincerely regards".split())
 CUES = TITLES | frozenset(
     "token key secret password passwd passwort pwd api apikey bearer auth credentials card visa phone tel telefon téléphone teléfono call ring fax mobile cell email mail ip host server commit version page order"
-    " ssn social iban account konto isbn invoice build checksum".split()
+    " ssn social iban account konto isbn invoice build checksum on whatsapp text sms dial reach model part sku serial release md5 sha1 sha256 hash digest".split()
 )
 _TITLE = re.compile(r"(?i)\b(?:" + "|".join(sorted(TITLES)) + r")\b")
 ROUNDS, RATE, RIDGE = 300, 0.1, 1e-3
@@ -150,7 +152,7 @@ def candidates(words: list[str]) -> list[bool]:
     for i, w in enumerate(words):
         number = bool(_HINT.search(w))
         inside = not number and bool(_BANK.fullmatch(w)) and 0 < i < len(words) - 1 and bool(_HINT.search(words[i - 1])) and bool(_HINT.search(words[i + 1]))
-        called = named and not number and w[0].isupper()
+        called = named and not number and w[0].isupper() and plain(w) not in TITLES
         out.append(number or inside or called)
         named = plain(w) in TITLES or called and w[-1] not in ".,;:!?" or called and len(plain(w)) == 1
     return out
@@ -166,9 +168,10 @@ def features(words: list[str], i: int) -> list[str]:
     checks = "iban" if account(word) else "card" if 12 <= len(digits) <= 19 and not letters and luhn(digits) else "hex" if is_hex and letters else "mixed" if len(word) >= 16 and letters and digits else "digits" if word == digits else "other"
     near = [words[j] if 0 <= j < len(words) else None for j in (i - 2, i - 1, i + 1)]
     key = words[i][:a].lower().strip("\"'=: ")
+    key = next((part for part in re.split("[_-]", key) if part in CUES), key)
     return [
         "one", f"shape {shape(word)}", f"digits {min(len(digits), 20)}", f"size {min(len(word), 48) // 4}", f"check {checks}", f"key {key if key in CUES else bool(key)}",
-        f"before2 {around(near[0])}", f"before {around(near[1])}", f"after {around(near[2])}", f"{checks} before2 {around(near[0])}", f"{checks} before {around(near[1])}",
+        f"prefix {bool(_PREFIX.match(word)) and checks}", f"title {shape(near[1]) if near[1] and plain(near[1]) in TITLES else '-'}", f"before2 {around(near[0])}", f"before {around(near[1])}", f"after {around(near[2])}", f"{checks} before2 {around(near[0])}", f"{checks} before {around(near[1])}",
     ]
 
 
@@ -256,6 +259,10 @@ def labelled(copies: int = 12) -> list[tuple[str, list[Span]]]:
         "uuid": lambda: f"{hexes(8)}-{hexes(4)}-4{hexes(3)}-a{hexes(3)}-{hexes(12)}",
         "code": lambda: rng.choice((f"{word()}{digits(2)}", f"{word().upper()}-{digits(4)}", f"{word().capitalize()}{digits(1)}{word()}")),
         "url": lambda: rng.choice((f"http://{word()}{digits(1)}.example.org/en/{digits(3)}?page={digits(1)}", f"https://{word()}.net/{word()}/{digits(8)}")),
+        "release": lambda: rng.choice((f"{word()}-{pick('#.#.#', '#.##.#', '#.#.#.#')}", f"{word()}-{pick('#.#.#')}.tar", pick("#.#.#-rc#", "v#.#.#.#-rc#", "#.##.#.dev#"), f"{word()}{pick('#.#')}")),
+        "part": lambda: rng.choice((pick("###-##-####", "###-####", "##-####-##", "####-###", "###-###-####"), f"{word().upper()}-{digits(3)}-{digits(4)}")),
+        "keyed": lambda: f"{rng.choice(('sk', 'pk', 'ghp', 'gho', 'xoxb', 'sk_live', 'pat', 'glpat'))}{rng.choice('-_')}{mixed(rng.choice((20, 30, 36)))}",
+        "ident": lambda: "_".join(word() for _ in range(rng.randint(3, 5))) + rng.choice(("", digits(1))) + rng.choice(("", f"_{word()}")),
         "w": word,
         "W": lambda: word().capitalize(),
     }
@@ -265,13 +272,19 @@ def labelled(copies: int = 12) -> list[tuple[str, list[Span]]]:
             pass
         return c
 
-    kinds = {"email": "email", "ip": "ip", "card": "card", "cards": "card", "phone": "phone", "local": "phone", "bare": "phone", "secret": "secret", "ssn": "id", "iban": "iban", "ibans": "iban", "name": "name"}
+    kinds = {"email": "email", "ip": "ip", "card": "card", "cards": "card", "phone": "phone", "local": "phone", "bare": "phone", "secret": "secret", "ssn": "id", "iban": "iban", "ibans": "iban", "name": "name", "keyed": "secret"}
     templates = (
         "{w} {w} {email} {w} {w}.", "{w} {email}, {w}", "<{email}>", "{w} {w} {ip} {w}.", "server {ip}", "{w} from {ip}: {w}", "{w} {card} {w} {w}", "{w}, {card} {card} {w}", "card {cards}, {w}.", "visa: {cards}",
         "{w} {w}, {phone} {w}.", "{W} {w} {phone}", "call {local} {w}", "phone: {local}.", "tel {local}", "{w} fax {local}, {w}", "{w} mobile: {local}", "telefon {local} {w}", "{w} {bare} {w} {w}.", "{w} ring {local}.", "cell {local} {w}",
         '{w} {w} token = "{secret}" {w}', "{w} api key {secret} {w}", 'password: "{secret}"', "secret={secret} {w}", 'auth token="{secret}", {w}', "{w} bearer {secret}", "credentials {secret} {w}", "{w}_key: {secret}", '"apikey": "{secret}",', "passwd {secret}",
         "{w} {ssn} {w}", "ssn {ssn}.", "{w} social number {ssn}, {w}", "ssn: {ssn} {w}", "{w} {iban} {w}", "iban: {ibans}", "iban {ibans} {w}.", "account {iban}.", "{w} konto {ibans}, {w} {w}",
         "{w} mr. {name}, {w} {w}", "Mrs. {name}. {W} {w}", "dr {name}, {w}", "Name: {name}", "contact: {name}, {w}", "{w} frau {name}, {w} {w}", "patient {name}.", "Prof. {name}, {w} {date}", "Herr {name}, {w}", "Mr. {name}, {W} {w}",
+        "sincerely, {name}", "kind regards, {name}", "Regards, {name}", "{w} {w} on {local}", "reach {w} on {local} {w}", "WhatsApp {local}", "whatsapp: {local}", "{w} sms {local}.", "text {w} on {local}", "{w} dial {local}",
+        "{w} {keyed} {w}", "Frau {name} {w} {small}", "Mrs {name} {w}", "Herr {name}.", "konto {iban} {w}", "{w} konto {iban}.", "secret: {secret} {w}", "{w} secret {secret}.", "{w}_token={secret}", "{w}_secret: {secret}", "{w} {W} to {keyed}", "set {w} {keyed}.", "{keyed}", "{w}={keyed}",
+        "Contact {W} {w}", "{W} Contact {W} {small}", "Patient {W} {year}", "Patient {W} {w} {w}", "Name {W} {small}", "Name {W} {W}", "Employee {W} {w}", "Applicant {W} {small}", "Employee {W} {W} {w}",
+        "model {part} {w}", "{w} part {part}, {w}", "part no. {part}", "sku {part}", "serial {part} {w}", "{w} model {part}.", "{w} {w} {release} {w}", "into {release}", "release {release}", "{w} {release}, {w} {release}.",
+        "{w} {ident}{small} {w}", "{w} {ident}_{small}", "{w} {ident}, {w}", "{w} on {small} {small} {small}", "{w} on {small} {small}.", "reach {small} {w}",
+        "md5 {sha}", "sha256 {sha} {w}", "{w} sha1: {sha}", "hash {sha} {w}", "digest {sha}", "md5: {sha}", "{w} on {date}", "{w} on {small} {w}", "text {small} {w}",
         "{w} {badcard} {w} {w}.", "{w} {badip} {w}", "in {year} {w} {small} {w}", "{w} {small} {w}, {w}", "order {badcard} {w}", "{w} {badcard} {badcard} {w}", "{w}, {badcard} {w} {small} {badcard}", "{badcard} {small}", "invoice {badcard}", "{w} {money} {w}", "version {version} {w}", "build {version}, {w}", "{w} at {time}.", "{date} {time} {w}", "{w} {date}, {w}",
         "commit {sha} {w}", "checksum {sha}", "{w} {sha} {w}", "{w} {uuid}", "isbn {isbn} {w}", "{w} {isbn}.", "{w} {range} {w}", "page {range}", "{w} {code}, {w} {url}", "{url} {w}", "page {small} {w} {small}-{small}", "{small} {small} {small} {w}", "{small} {small} {small} {small} {small}", "{w} {W} {small} {W}",
         "token {w} {w} {small}", "key {small} {w}", "{w} phone {w} {w} {year}", "name {w} {w} {small}", "card {w} {small} {w}", "{w} account {small} {w}",

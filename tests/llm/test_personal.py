@@ -189,3 +189,19 @@ def test_recall_and_precision_by_kind_on_an_independent_set(field):
 def test_long_words_count_whole(field):
     assert P.shape("ab1" * 60) == "xd" * 60 and P.shape("a" * 300 + "7") == "xd"
     assert P.account("GB29NWBK60161331926819") and not P.account("GB28NWBK60161331926819")
+
+
+#: Sentences a review found wrong; the labelled table was widened after they were seen, so they show no independent figure.
+CLEAN_AFTER_CUES = (
+    "Contact Us page", "Patient Care 2020", "Dr Pepper is sweet", "Name Value 3", "merged into release-1.2.3", "md5 9e107d9d372bb6826bd81d3542a419d6", "model 555-0199 sold", "part 123-45-6789",
+    "The match on 12 34 56", "see foo_bar_baz1_long_identifier_name here", "upgrade numpy-1.26.4 today", "Python 3.12.1 and lib-2.0.1.tar",
+)
+FOUND_WITHOUT_OLD_CUES = {"WhatsApp |07700 900123": "phone", "Set GITHUB_PAT to |ghp_A1b2C3d4E5f6G7h8I9j0K1l2M3n4O5p67q": "secret", "sincerely, |Jane Doe": "name"}
+
+
+def test_negatives_of_cue_words_and_more_cues(field):
+    for text, (_, every) in zip(CLEAN_AFTER_CUES, P.all_spans(list(CLEAN_AFTER_CUES), field)):
+        assert not every, text
+    for marked, kind in FOUND_WITHOUT_OLD_CUES.items():
+        text, start = marked.replace("|", ""), marked.index("|")
+        assert P.all_spans([text], field)[0][1] == [(kind, start, len(text))], text
