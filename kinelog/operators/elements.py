@@ -18,8 +18,13 @@ from .windows import with_windows
 STATE = ("x", "y", "vx", "vy", "ax", "ay", "heading")
 
 
-def seen_from(state: Column, frame: Column) -> Column:
-    """A state (struct of STATE) from the frame of another: all elements less the frame's, then the pairs turned. The heading isn't wrapped.
+def state_columns(spec: QuerySpec) -> tuple[str, ...]:
+    return (*STATE, "z") if spec.with_z else STATE
+
+
+def seen_from(state: Column, frame: Column, with_z: bool = False) -> Column:
+    """A state (struct of STATE) from the frame of another: all elements less the frame's, then the pairs turned. The heading isn't wrapped,
+    heights stay those above the ground.
 
     The frame holds cosine and sine of its heading, so they are worked out once for all states seen from it.
     """
@@ -27,7 +32,7 @@ def seen_from(state: Column, frame: Column) -> Column:
     for a, b in (("x", "y"), ("vx", "vy"), ("ax", "ay")):
         u, v = state[a] - frame[a], state[b] - frame[b]
         out += [(u * c + v * s).alias(a), (v * c - u * s).alias(b)]
-    return F.struct(*([state["scene_ts"].alias("scene_ts")]), *out, (state["heading"] - frame["heading"]).alias("heading"))
+    return F.struct(*([state["scene_ts"].alias("scene_ts")]), *out, (state["heading"] - frame["heading"]).alias("heading"), *([state["z"].alias("z")] if with_z else []))
 
 
 def frame_of(still: bool = False) -> Column:
@@ -41,13 +46,14 @@ def agent_elements(index: DataFrame, states: DataFrame, spec: QuerySpec) -> Data
 
     ``states``: the canonical columns and agent_type. Answers without a neighbour stay.
     """
-    full = with_windows(states.select(*AGENT, "scene_ts", "agent_type", *STATE), spec, *STATE)
+    columns, still = state_columns(spec), not spec.relative_derivatives
+    full = with_windows(states.select(*AGENT, "scene_ts", "agent_type", *columns), spec, *columns)
     targets = full.join(index, [*AGENT, "scene_ts"], "left_semi")
     limit = max([r for r in (spec.default_radius, *spec.radii.values()) if r is not None], default=None)
-    turn = lambda array: F.transform(array, lambda s: seen_from(s, F.col("frame")))
-    own = targets.withColumn("frame", frame_of()).select(
+    turn = lambda array: F.transform(array, lambda s: seen_from(s, F.col("frame"), spec.with_z))
+    own = targets.withColumn("frame", frame_of(still)).select(
         *AGENT, "scene_ts", "agent_type", "frame",
-        seen_from(F.struct("scene_ts", *STATE), F.col("frame")).alias("current"), turn(F.col("history")).alias("history"), turn(F.col("future")).alias("future"),
+        seen_from(F.struct("scene_ts", *columns), F.col("frame"), spec.with_z).alias("current"), turn(F.col("history")).alias("history"), turn(F.col("future")).alias("future"),
         frame_matrix(F.col("x"), F.col("y"), F.col("heading")).alias("frame_from_world"),
     )
     if limit is None:
@@ -59,7 +65,7 @@ def agent_elements(index: DataFrame, states: DataFrame, spec: QuerySpec) -> Data
     if spec.max_neighbors is not None:
         pairs = pairs.filter(F.col("rank") <= spec.max_neighbors)
     theirs = full.select("scene", F.col("agent_id").alias("n_agent_id"), "scene_ts", F.col("history").alias("n_history"), F.col("future").alias("n_future"))
-    frames = targets.select("scene", F.col("agent_id").alias("t_agent_id"), "scene_ts", frame_of().alias("frame"))
+    frames = targets.select("scene", F.col("agent_id").alias("t_agent_id"), "scene_ts", frame_of(still).alias("frame"))
     joined = pairs.join(theirs, ["scene", "n_agent_id", "scene_ts"]).join(frames, ["scene", "t_agent_id", "scene_ts"])
     neighbor = F.struct("rank", F.col("n_agent_id").alias("agent_id"), F.col("n_agent_type").alias("agent_type"), "distance", turn(F.col("n_history")).alias("history"), turn(F.col("n_future")).alias("future"))
     gathered = joined.groupBy("scene", F.col("t_agent_id").alias("agent_id"), "scene_ts").agg(F.array_sort(F.collect_list(neighbor)).alias("neighbors"))

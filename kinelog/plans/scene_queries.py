@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ..functions.angles import frame_matrix
@@ -98,6 +100,19 @@ def element_states(spark, d):
     return e.select(*KEYS, F.col("s.scene_ts").alias("ts"), *(r(F.col(f"s.{c}")).alias(c) for c in ("x", "y", "vx", "vy", "heading")))
 
 
+_TVX, _TVY = back("h.vx", "h.vy", "s.heading")
+_TAX, _TAY = back("h.ax", "h.ay", "s.heading")
+
+
+@query(_I + f""" SELECT s.scene, s.agent_id, s.scene_ts, h.scene_ts AS ts, round({_HX}, 6) AS x, round({_TVX}, 6) AS vx, round({_TVY}, 6) AS vy, round({_TAX}, 6) AS ax, round({_TAY}, 6) AS ay, round(h.y / 2, 6) AS z
+FROM i JOIN states s USING (scene, agent_id, scene_ts) JOIN states h ON h.scene = s.scene AND h.agent_id = s.agent_id AND h.scene_ts BETWEEN s.scene_ts - 3 AND s.scene_ts + 3""")
+def element_turned(spark, d):
+    spec = replace(ELEMENT, relative_derivatives=False, with_z=True)
+    e = elements.agent_elements(index.agent_index(t.agents(spark, d), spec), t.typed(spark, d).withColumn("z", F.col("y") / 2), spec)
+    e = e.select(*KEYS, F.explode(F.concat("history", "future")).alias("s"))
+    return e.select(*KEYS, F.col("s.scene_ts").alias("ts"), *(r(F.col(f"s.{c}")).alias(c) for c in ("x", "vx", "vy", "ax", "ay", "z")))
+
+
 @query(_I + f""", p AS (SELECT s.scene, s.agent_id, s.scene_ts, s.x, s.y, s.heading, n.agent_id AS neighbor, {dist('n', 's')} AS distance FROM states s JOIN i USING (scene, agent_id, scene_ts) JOIN states n ON n.scene = s.scene AND n.scene_ts = s.scene_ts AND n.agent_id <> s.agent_id),
 s AS (SELECT *, row_number() OVER (PARTITION BY scene, agent_id, scene_ts ORDER BY distance, neighbor) AS rank FROM p WHERE distance <= {RADIUS})
 SELECT s.scene, s.agent_id, s.scene_ts, s.neighbor, s.rank, h.scene_ts AS ts, round({_HX}, 6) AS x, round({_HY}, 6) AS y FROM s JOIN states h ON h.scene = s.scene AND h.agent_id = s.neighbor AND h.scene_ts BETWEEN s.scene_ts - 3 AND s.scene_ts + 3 WHERE rank <= 5""")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.angles import enu
 from ..operators.maps import even_points, with_headings
+from ..operators.segments import hulls
 
 
 def lanelet_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
@@ -43,6 +44,19 @@ def lanelet_centers(points: DataFrame) -> DataFrame:
     return with_headings(even.groupBy("map_id", "elem_id", "seq").agg(*(F.avg(c).alias(c) for c in ("x", "y", "z"))))
 
 
+def lanelet_crosswalks(tables: dict[str, DataFrame], map_id: str, origin: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
+    """Crosswalks as closed areas, the hull of both borders: map_id, elem_id (the name, or the number without one), elem_type, seq, x, y, z, h, for ``rings``.
+
+    Borders may run either way. One with a border missing, or without breadth, has no area; of several of one name the greatest number counts.
+    """
+    points = lanelet_points(tables, map_id, origin).filter("subtype = 'crosswalk'")
+    both = points.groupBy("elem_id").agg(F.count_distinct("side").alias("sides")).filter("sides = 2")
+    areas = hulls(points.join(both, "elem_id", "left_semi"), ("map_id", "elem_id")).filter(F.size("ring") > 2)
+    named = areas.join(tables["lanelets"].select(F.col("id").alias("elem_id"), "name"), "elem_id").groupBy("map_id", F.coalesce("name", F.col("elem_id").cast("string")).alias("_name")).agg(F.max_by("ring", "elem_id").alias("ring"))
+    corners = named.select("map_id", F.col("_name").alias("elem_id"), F.lit(3).alias("elem_type"), F.posexplode(F.concat("ring", F.slice("ring", 1, 1))).alias("seq", "p"))
+    return with_headings(corners.select("map_id", "elem_id", "elem_type", "seq", "p.x", "p.y", F.lit(0.0).alias("z")))
+
+
 def lanelet_borders(tables: dict[str, DataFrame]) -> DataFrame:
     """(elem_id, border_id), for adjacency by a shared border."""
     return tables["lanelets"].filter("subtype <> 'crosswalk'").select(F.col("id").alias("elem_id"), F.explode(F.array_compact(F.array("left_way", "right_way"))).alias("border_id"))
@@ -68,7 +82,7 @@ def outlines(spark: SparkSession, path: str, map_id: str) -> DataFrame:
 def rings(points: DataFrame) -> DataFrame:
     """Areas (map_id, elem_id, polygon, holes) from points of rings."""
     p = F.array_sort(F.collect_list(F.struct("seq", "x", "y", "z", "h")))
-    made = points.filter("elem_type IN (2, 4)").groupBy("map_id", "elem_id").agg(p.alias("p"))
+    made = points.filter("elem_type IN (2, 3, 4)").groupBy("map_id", "elem_id").agg(p.alias("p"))
     point = "struct<x:double,y:double,z:double,h:double>"
     return made.select("map_id", "elem_id", F.transform("p", lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"), q["z"].alias("z"), q["h"].alias("h"))).alias("polygon"), F.array().cast(f"array<array<{point}>>").alias("holes"))
 

@@ -38,6 +38,9 @@ class QuerySpec:
     pad: str = "outside"
     ego_only: bool = False
     with_ego_future: bool = False
+    #: Whether the frame's velocity and acceleration are taken off what is seen from it, or those are only turned; whether heights go along.
+    relative_derivatives: bool = True
+    with_z: bool = False
 
     def __post_init__(self) -> None:
         if self.centric not in ("agent", "scene"):

@@ -348,3 +348,20 @@ def test_ends_of_edges(spark):
     assert collect(maps.runs_along(right, left), "elem_id", "same_way") == [(1, True), (2, False)]
     h = [r.h for r in maps.with_headings(spark.createDataFrame([("m", 1, 0, 0.0, 0.0), ("m", 1, 1, 1.0, 0.0), ("m", 1, 2, 1.0, 1.0), ("m", 2, 0, 5.0, 5.0)], kind)).orderBy("elem_id", "seq").collect()]
     assert h == pytest.approx([0.0, math.pi / 4, math.pi / 2, 0.0])
+
+
+@pytest.mark.parametrize("relative", [True, False])
+def test_derivatives_of_neighbors_in_still_and_moving_frames(spark, relative):
+    rows = [("s", a, ts, 3.0 * ts, float(k), 5.0 + k, 3.0, k + 1.0, 0.5, -0.5, math.pi / 2) for k, a in enumerate("ab") for ts in range(3)]
+    states = spark.createDataFrame(rows, "scene string, agent_id string, scene_ts long, x double, y double, z double, vx double, vy double, ax double, ay double, heading double").withColumn("agent_type", F.lit(1))
+    spec = QuerySpec(dt=1.0, history=(0.0, 1.0), future=(0.0, 1.0), default_radius=5.0, relative_derivatives=relative, with_z=True)
+    at = states.filter("scene_ts = 1").select("scene", "scene_ts", "agent_id")
+    own = {r.agent_id: r for r in elements.agent_elements(at, states, spec).collect()}
+    [other] = own["a"].neighbors
+    seen = other.history[-1]
+    vx, vy, ax, ay = (0.0, 1.0, 0.0, 0.0) if relative else (3.0, 2.0, 0.5, -0.5)  # turned by a quarter: (x, y) is seen as (y, -x)
+    assert (seen.vx, seen.vy, seen.ax, seen.ay) == pytest.approx((vy, -vx, ay, -ax))
+    assert (seen.x, seen.y, seen.z) == pytest.approx((1.0, 0.0, 6.0)) and own["a"].current.z == 5.0
+    [scene] = scenes.scene_elements(at.select("scene", "scene_ts").distinct(), states, spec).collect()
+    [again] = [a for a in scene.agents if a.agent_id == "b"]
+    assert (again.history[-1].vx, again.history[-1].vy, again.history[-1].z) == pytest.approx((vy, -vx, 6.0))

@@ -129,6 +129,26 @@ def test_lanelets(spark, tmp_path):
     assert sorted(map(tuple, near.collect())) == [(100, 101), (101, 100)]
 
 
+def test_crosswalks_of_lanelets(spark):
+    at = {1: (0, 0), 2: (0, 2), 3: (1, 2), 4: (1, 0), 5: (0, 1), 6: (1, 1), 7: (0, 3)}
+    ways = {10: (1, 5, 2), 11: (3, 6, 4), 12: (1, 2, 7), 13: ()}  # 11 runs the other way, 12 lies in line with 10
+    tables = {
+        "nodes": spark.createDataFrame([(n, a * 1e-4, b * 1e-4) for n, (a, b) in at.items()], "id long, lat double, lon double"),
+        "way_nodes": spark.createDataFrame([(w, k, n) for w, ns in ways.items() for k, n in enumerate(ns)], "way long, seq int, node long"),
+        "lanelets": spark.createDataFrame([
+            (1, 10, 11, "crosswalk", "zebra"), (2, 11, 10, "crosswalk", None), (3, 10, None, "crosswalk", "half"), (4, 10, 12, "crosswalk", "flat"), (5, 10, 13, "crosswalk", "bare"), (6, 10, 11, "road", "road"),
+        ], "id long, left_way long, right_way long, subtype string, name string"),
+    }
+    points = maps.lanelet_crosswalks(tables, "m")
+    rows = maps.rings(points).collect()
+    assert sorted(r.elem_id for r in rows) == ["2", "zebra"]
+    for r in rows:
+        corners = [(round(p.x / 11.13), round(p.y / 11.06)) for p in r.polygon]
+        assert corners == [(0, 0), (2, 0), (2, 1), (0, 1), (0, 0)] and r.holes == []
+    assert {r.elem_type for r in points.collect()} == {3}
+    assert maps.lanelet_crosswalks({**tables, "lanelets": tables["lanelets"].limit(0)}, "m").count() == 0
+
+
 def test_outlines(spark, tmp_path):
     (tmp_path / "m.json").write_text(json.dumps({"drivable_area": [[[0, 0], [4, 0], [4, 4]]], "pedestrian_area": [], "road_divider": [[[0, 0], [0, 2]]], "lane_divider": []}))
     p = maps.outlines(spark, f"{tmp_path}/m.json", "m")
