@@ -73,6 +73,20 @@ def test_reordered_passages_equal_brute_force(spark, monkeypatch, size):
     got = D.contaminated(spark.createDataFrame([(*r, "x") for r in docs], "doc_id long, text string, items string"), b).collect()
     assert {r.doc_id: (r.n_tokens, r["items"], r.max_coverage) for r in got} == brute(docs, benchmark)
     assert all(r.contaminated == bool(r["items"]) for r in got)
+    verdicts = D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), b, shares=False).collect()
+    assert {r.doc_id: (r.n_tokens, r["items"], r.max_coverage) for r in verdicts} == {r.doc_id: (r.n_tokens, r["items"], None) for r in got}
+
+
+def test_bytes_bound_the_broadcast_and_hot_seeds_are_dealt(spark, monkeypatch):
+    benchmark = [(1, "a b c d e f"), (2, "x" * 5000 + " b c d e f"), (3, "!" * 9000)]
+    b = spark.createDataFrame(benchmark, "item_id long, text string")
+    assert sorted(r.item_id for r in D.with_tokens(b).collect()) == [1, 2]
+    docs = spark.createDataFrame([(i, "a b c d e f" if i % 2 else f"b c d e {i}") for i in range(300)], "doc_id long, text string")
+    want = sorted(map(tuple, D.contaminated(docs, b).select("doc_id", "contaminated", "max_coverage").collect()))
+    monkeypatch.setattr(D, "BYTES", 1000)
+    monkeypatch.setattr(D, "looked_up", None)
+    got = sorted(map(tuple, D.contaminated(docs, b).select("doc_id", "contaminated", "max_coverage").collect()))
+    assert got == want == [(i, i % 2 == 1, 1.0 if i % 2 else 0.0) for i in range(300)]
 
 
 def test_repeats_and_empty_tables(spark):
