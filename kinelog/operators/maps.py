@@ -6,8 +6,6 @@ around a place; nothing compares every place with every point. Geometry that Spa
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -15,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.angles import wrap
 from ..schema import MAP_ELEMENTS
-from ..scratch import written
+from ..scratch import discard, written
 from . import nearest, segments
 
 
@@ -58,14 +56,16 @@ def nearest_lane(places: DataFrame, points: DataFrame, cell: float | None = None
 
 
 def by_doubling(rest: DataFrame, search, first_radius: float, rounds: int) -> DataFrame:
-    """The nearest hit of each place; what has none is written down and searched again with twice the radius."""
+    """The nearest hit of each place (``rest``, written); what has none is written down and searched again with twice the radius. Tables of open places are deleted on the way."""
     found, radius = None, first_radius
     for _ in range(rounds):
         best = search(rest, radius).groupBy("place_id").agg(F.min(F.struct("distance", "elem_id")).alias("b"))
         best = written(best.select("place_id", "b.elem_id", "b.distance"))
         found = best if found is None else found.unionByName(best)
-        rest = written(rest.join(best, "place_id", "left_anti"))
+        before, rest = rest, written(rest.join(best, "place_id", "left_anti"))
+        discard(before)
         if rest.isEmpty():
+            discard(rest)
             return found
         radius *= 2
     raise ValueError(f"places farther than {radius} from everything")
@@ -269,20 +269,12 @@ def project(places: DataFrame, points: DataFrame) -> DataFrame:
 # Polygons.
 
 
-def ring_distance(x: float, y: float, rings: list[np.ndarray]) -> float:
-    """Distance of a place from a polygon given as outline and holes, 0 inside it."""
-    inside, best = False, np.inf
-    for ring in rings:
-        a, b = ring, np.roll(ring, -1, axis=0)
-        crosses = (a[:, 1] > y) != (b[:, 1] > y)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            at = a[:, 0] + (y - a[:, 1]) / (b[:, 1] - a[:, 1]) * (b[:, 0] - a[:, 0])
-        inside ^= bool((crosses & (x < at)).sum() % 2)
-        u, p = b - a, np.array([x, y]) - a
-        square = (u * u).sum(1)
-        t = np.clip(np.divide((p * u).sum(1), square, out=np.zeros(len(a)), where=square > 0), 0, 1)
-        best = min(best, np.sqrt((((p - t[:, None] * u)) ** 2).sum(1)).min())
-    return 0.0 if inside else float(best)
+def edges_of(areas: DataFrame) -> DataFrame:
+    """(map_id, elem_id, edges, ax, ay, bx, by): the edges of the outlines and holes of areas, each ring closed, and how many the area has."""
+    every = areas.withColumn("_rings", F.concat(F.array("polygon"), F.coalesce("holes", F.array().cast(areas.schema["holes"].dataType))))
+    rings = every.select("map_id", "elem_id", F.size(F.flatten("_rings")).alias("edges"), F.explode("_rings").alias("ring"))
+    after = lambda p, i: F.struct(p["x"].alias("ax"), p["y"].alias("ay"), F.get("ring", (i + 1) % F.size("ring"))["x"].alias("bx"), F.get("ring", (i + 1) % F.size("ring"))["y"].alias("by"))
+    return rings.select("map_id", "elem_id", "edges", F.inline(F.transform("ring", after)))
 
 
 def with_bounds(areas: DataFrame) -> DataFrame:
@@ -292,29 +284,28 @@ def with_bounds(areas: DataFrame) -> DataFrame:
 
 
 def areas_within(places: DataFrame, areas: DataFrame, radius: float, cell: float) -> DataFrame:
-    """(place_id, elem_id, distance) of the areas at most ``radius`` from each place. Boxes are put into cells, then measured."""
+    """(place_id, elem_id, distance) of the areas at most ``radius`` from each place, 0 inside one. Boxes are put into cells, then the edges of those that come near are measured.
+
+    Places and areas repeated count once; places without coordinates and areas without an outline stay out.
+    """
     boxes = with_bounds(areas)
     span = lambda a, b: F.sequence(F.floor((F.col(a) - radius) / cell), F.floor((F.col(b) + radius) / cell))
     keys = boxes.select("map_id", "elem_id", "x0", "x1", "y0", "y1", F.explode(span("x0", "x1")).alias("cx")).withColumn("cy", F.explode(span("y0", "y1")))
-    spots = places.select("place_id", "map_id", "x", "y", F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy"))
+    spots = places.filter(found_place("x", "y")).select("place_id", "map_id", "x", "y", F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy"))
     close = spots.join(keys, ["map_id", "cx", "cy"]).filter(F.col("x").between(F.col("x0") - radius, F.col("x1") + radius) & F.col("y").between(F.col("y0") - radius, F.col("y1") + radius))
-    pairs = close.select("place_id", "map_id", "elem_id", "x", "y").join(boxes.select("map_id", "elem_id", "polygon", "holes"), ["map_id", "elem_id"])
-
-    def measure(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            found = []
-            for x, y, outline, holes in zip(part.x, part.y, part.polygon, part.holes):
-                rings = [np.array([[p["x"], p["y"]] for p in ring], float) for ring in [outline, *(holes if holes is not None else ())]]
-                found.append(ring_distance(x, y, rings))
-            yield pd.DataFrame({"place_id": part.place_id, "elem_id": part.elem_id, "distance": found})
-
-    kinds = f"place_id {places.schema['place_id'].dataType.simpleString()}, elem_id {areas.schema['elem_id'].dataType.simpleString()}, distance double"
-    return pairs.select("place_id", "elem_id", "x", "y", "polygon", "holes").mapInPandas(measure, kinds).filter(F.col("distance") <= radius)
+    # A place is inside if a ray to the right crosses an odd number of edges. Rows that are there several times count each edge as often, so crossings are divided by that.
+    far_x, far_y, ux, uy = F.col("x") - F.col("ax"), F.col("y") - F.col("ay"), F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    square = ux * ux + uy * uy
+    along = F.when(square > 0, F.least(F.greatest((far_x * ux + far_y * uy) / square, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
+    crosses = ((F.col("ay") > F.col("y")) != (F.col("by") > F.col("y"))) & (F.col("x") < F.col("ax") + F.try_divide(far_y, uy) * ux)
+    measured = close.select("place_id", "map_id", "elem_id", "x", "y").join(edges_of(areas), ["map_id", "elem_id"]).select("place_id", "map_id", "elem_id", "x", "y", "edges", F.hypot(far_x - along * ux, far_y - along * uy).alias("d"), crosses.alias("over"))
+    found = measured.groupBy("place_id", "map_id", "elem_id", "x", "y").agg(F.min("d").alias("d"), (F.count_if("over") * F.max("edges") / F.count("*") % 2 == 1).alias("inside"))
+    return found.select("place_id", "elem_id", F.when(F.col("inside"), 0.0).otherwise(F.col("d")).alias("distance")).filter(F.col("distance") <= radius)
 
 
 def nearest_area(places: DataFrame, areas: DataFrame, first_radius: float, rounds: int = 30) -> DataFrame:
     """(place_id, elem_id, distance) of the nearest area, by doubled radii."""
-    rest = written(places.filter(found_place("x", "y"))).join(areas.select("map_id").distinct(), "map_id", "left_semi")
+    rest = written(places.filter(found_place("x", "y")).join(areas.filter(F.size("polygon") > 0).select("map_id").distinct(), "map_id", "left_semi"))
     return by_doubling(rest, lambda some, radius: areas_within(some, areas, radius, radius), first_radius, rounds)
 
 

@@ -191,6 +191,45 @@ def test_polygons(spark):
     got = {(r.place_id, r.elem_id): r.distance for r in maps.areas_within(places, areas, 7.0, 5.0).collect()}
     assert got == {(1, "a"): 0.0, (2, "a"): pytest.approx(1.0), (3, "a"): pytest.approx(3.0), (3, "b"): pytest.approx(7.0)}
     assert collect(maps.nearest_area(places, areas, 100.0), "place_id", "elem_id", "distance") == [(1, "a", 0.0), (2, "a", 1.0), (3, "a", 3.0), (4, "b", 175.0)]
+    twice = maps.areas_within(places.union(places), areas.union(areas), 7.0, 5.0).collect()
+    assert {(r.place_id, r.elem_id): r.distance for r in twice} == got and len(twice) == len(got)
+
+
+def test_areas_equal_measuring_each_pair(spark):
+    rng = random.Random(5)
+    point = "struct<x:double,y:double,z:double,h:double>"
+
+    def star(x, y, size):
+        return [(x + size * rng.uniform(0.3, 1) * math.cos(t), y + size * rng.uniform(0.3, 1) * math.sin(t), 0.0, 0.0) for t in sorted(rng.uniform(0, 2 * math.pi) for _ in range(rng.randint(1, 9)))]
+
+    def shrunk(ring):  # a hole lies within its outline's bounds
+        mean = [sum(p[c] for p in ring) / len(ring) for c in (0, 1)]
+        return [(mean[0] + 0.3 * (p[0] - mean[0]), mean[1] + 0.3 * (p[1] - mean[1]), 0.0, 0.0) for p in ring]
+
+    outlines = {k: star(rng.uniform(0, 40), rng.uniform(0, 40), 8) for k in range(12)}
+    made = {k: (p, [shrunk(p)] if k % 2 else None) for k, p in outlines.items()}
+    areas = spark.createDataFrame([("m", k, p, h) for k, (p, h) in made.items()] + [("m", 90, [], []), ("m", 91, None, None)], f"map_id string, elem_id long, polygon array<{point}>, holes array<array<{point}>>")
+    spots = {i: (rng.uniform(-5, 45), rng.uniform(-5, 45)) for i in range(150)}
+    rows = [(i, "m", x, y) for i, (x, y) in spots.items()] + [(900, "m", None, 1.0), (901, "m", math.nan, 1.0), (902, "other", 1.0, 1.0)]
+    places = spark.createDataFrame(rows, "place_id long, map_id string, x double, y double")
+    want = {}
+    for i, (x, y) in spots.items():
+        for k, (outline, holes) in made.items():
+            edges = [(ring[j], ring[(j + 1) % len(ring)]) for ring in [outline, *(holes or [])] for j in range(len(ring))]
+            odd = sum((a[1] > y) != (b[1] > y) and x < a[0] + (y - a[1]) / (b[1] - a[1]) * (b[0] - a[0]) for a, b in edges) % 2
+            d = 0.0 if odd else min(to_edge(x, y, a, b) for a, b in edges)
+            if d <= 6:
+                want[i, k] = d
+    got = {(r.place_id, r.elem_id): r.distance for r in maps.areas_within(places, areas, 6.0, 6.0).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+    assert maps.areas_within(places, areas.limit(0), 6.0, 6.0).count() == 0 == maps.areas_within(places.limit(0), areas, 6.0, 6.0).count()
+
+
+def to_edge(x, y, a, b):
+    ux, uy = b[0] - a[0], b[1] - a[1]
+    square = ux * ux + uy * uy
+    t = max(0.0, min(1.0, ((x - a[0]) * ux + (y - a[1]) * uy) / square)) if square else 0.0
+    return math.hypot(x - a[0] - t * ux, y - a[1] - t * uy)
 
 
 def test_lines(spark):
