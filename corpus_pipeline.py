@@ -26,7 +26,7 @@ def with_text(found: DataFrame, text: str) -> DataFrame:
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that fail the quality rules go, and documents that are rejected."""
-    found = quality.clean_lines(docs.select(*COLUMNS), carry=("lang", "source"))
+    found = quality.clean_lines(docs.select(*COLUMNS), carry=("lang", "source"), phrases=quality.BOILERPLATE)
     return with_text(found.filter("kept"), "clean_text")
 
 

@@ -21,7 +21,7 @@ _QUERIES = {
 }
 _ORACLES = {
     "op4_redirect_equivalence": urls.ORACLE,
-    "op8_line_quality": quality.ORACLE,
+    "op8_line_quality": quality.QUERY_SQL,
     "op12_rare_word_index": licences.ORACLE,
     "op13_block_max_search": search.ORACLE,
 }

@@ -4,6 +4,8 @@ from itertools import count
 import duckdb
 import pyarrow as pa
 
+import corpus_pipeline
+from kinelog import llm
 from kinelog.llm import quality as Q
 
 PROSE = "Aber dies ist ein ganz anderer Satz. " * 2
@@ -83,3 +85,30 @@ def test_learned_boilerplate_and_scripts_equal_the_sql(spark):
 def test_rows_repeated_under_other_ids_are_one_text(spark):
     rows = [(k, "One line that recurs.\nAnd one more of it.") for k in range(60)]
     assert not Q.common_lines(spark.createDataFrame(rows, "doc_id long, text string"), 2, 1000)
+
+
+def listed():
+    """One text for each phrase in a line that no other rule fails, then lines that hold one in another way or none whole. With each the bad lines."""
+    own = "\n".join(" ".join(f"w{i}and{j}" for j in range(9)) + "." for i in range(8)) + "\n"
+    rows = [(f"We say {p.title()} to all.", 1) for p in Q.BOILERPLATE]
+    rows += [("You may SİGN İN TO it, or clicK here.", 1), ("Xclick hereX.", 1), ("Click\nhere.", 1), ("Please click  here.", 0), ("A " * 40 + "privacy policy", 1), ("Terms of use.\nTERMS OF USE.\nTerms of uſe.", 2)]
+    return [(k, own + t, n) for k, (t, n) in enumerate(rows)] + [(900, None, 0), (901, "", 0), (902, "Click here.", 1)]
+
+
+def test_query_equals_its_sql_and_removes_lines_with_phrases(spark, tmp_path):
+    rows = listed()
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    found = con.execute(llm.oracle_sql()["op8_line_quality"])
+    names = [d[0] for d in found.description]
+    got = llm.queries()["op8_line_quality"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.select(*names).collect())) == sorted(found.fetchall())
+    assert {r.doc_id: r.n_bad_lines for r in got.collect()} == {d: n for d, _, n in rows}
+
+
+def test_pipeline_removes_lines_with_phrases(spark):
+    rows = [(d, t, None, None, 0) for d, t, n in listed() if d < len(Q.BOILERPLATE)]
+    kept = corpus_pipeline.clean(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "").collect()
+    assert len(kept) == len(rows) and not any("We say" in r.text for r in kept)
