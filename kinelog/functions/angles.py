@@ -2,15 +2,47 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schema import DRAWN, DRAWN_ELSE
 
+#: Up to here whole turns are counted by ``floor``, which gives a long.
+LARGEST = 1e15
+
 
 def wrap(angle: Column) -> Column:
-    """Into [-pi, pi). ``pmod``, since ``%`` keeps the sign."""
-    return F.pmod(angle + F.pi(), 2 * F.pi()) - F.pi()
+    """Into [-pi, pi), by the terms that SQL spells out: a last bit below -pi comes out as pi there, which ``pmod`` takes to -pi."""
+    turned = angle + F.pi()
+    return F.when(F.abs(angle) < LARGEST, turned - 2 * F.pi() * F.floor(turned / (2 * F.pi())) - F.pi()).otherwise(F.pmod(turned, 2 * F.pi()) - F.pi())
+
+
+def in_libm(f, *arguments: Column) -> Column:
+    """``f`` of doubles in Python, whose ``math`` is the C library that DuckDB calls; the JVM's sine, cosine and arc tangent differ from it in the last bit.
+
+    For the few rows where that bit decides; rows with a null argument are null and aren't computed.
+    """
+    def apply(*columns: pd.Series) -> pd.Series:
+        rows = pd.concat(columns, axis=1, keys=range(len(columns)))
+        there = rows[rows.notna().all(axis=1)]
+        return pd.Series([f(*row) for row in there.itertuples(index=False, name=None)], there.index, float).reindex(rows.index)
+
+    return F.pandas_udf(apply, "double")(*arguments)
+
+
+def wrapped_turn(ax: float, ay: float, bx: float, by: float) -> float:
+    """``wrap`` of the angle from one vector to another."""
+    turned = math.atan2(by, bx) - math.atan2(ay, ax) + math.pi
+    return turned - 2 * math.pi * math.floor(turned / (2 * math.pi)) - math.pi
+
+
+def mean_direction(ax: float, ay: float, bx: float, by: float) -> float:
+    """The circular mean of the directions of two vectors."""
+    a, b = math.atan2(ay, ax), math.atan2(by, bx)
+    return math.atan2(math.sin(a) + math.sin(b), math.cos(a) + math.cos(b))
 
 
 def length(x: Column, y: Column) -> Column:

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.angles import length, wrap
+from ..functions.angles import in_libm, length, wrap, wrapped_turn
 from ..schema import AGENT
 
+#: So near to half a turn a change counts as turning right back.
+BACK = 1e-6
+
 
 def by_agent(*more: str) -> Window:
     return Window.partitionBy(*AGENT, *more).orderBy("scene_ts")
@@ -54,17 +57,23 @@ def presence(found: DataFrame) -> DataFrame:
     return found.select(*AGENT, F.explode(F.sequence("first_ts", "last_ts")).alias("scene_ts"))
 
 
-def unwrapped(column: str = "heading") -> tuple[Column, Column]:
-    """(step, running): the wrapped change since the row before, and how to sum it up over a window column named ``_step``."""
-    w = by_agent()
-    step = F.coalesce(wrap(F.col(column) - F.lag(column).over(w)), F.lit(0.0))
-    return step, F.first(column).over(w) + F.sum("_step").over(w.rowsBetween(Window.unboundedPreceding, 0))
-
+def unwrap(states: DataFrame, column: str = "heading", out: str = "heading_unwrapped", along: tuple[str, str] | None = None) -> DataFrame:
+    """Jumps by whole turns removed along each agent.
 
-def unwrap(states: DataFrame, column: str = "heading", out: str = "heading_unwrapped") -> DataFrame:
-    """Jumps by whole turns removed along each agent."""
-    step, running = unwrapped(column)
-    return states.withColumn("_step", step).withColumn(out, running).drop("_step")
+    ``along``: the vector that the column is the direction of, if it is. Where an agent turns right back, the last bit of the arc tangent decides to
+    which side; it is that of the C library then.
+    """
+    w = by_agent()
+    change = F.col(column) - F.lag(column).over(w)
+    step = wrap(change)
+    if along:
+        back = F.abs(F.abs(change) - F.pi()) < BACK
+        ends = [c for rows in (lambda n: F.lag(n).over(w), F.col) for c in map(rows, along)]
+        states = states.withColumns({"_change": step} | {f"_{k}": F.when(back, c) for k, c in enumerate(ends)})
+        step = F.coalesce(in_libm(wrapped_turn, *(F.col(f"_{k}") for k in range(4))), F.col("_change"))
+    rows = states.withColumn("_step", F.coalesce(step, F.lit(0.0)))
+    total = F.first(column).over(w) + F.sum("_step").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn(out, total).drop("_step", "_change", *(f"_{k}" for k in range(4)))
 
 
 def correct_slow_yaw(states: DataFrame, threshold: float) -> DataFrame:

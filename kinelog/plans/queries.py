@@ -153,7 +153,7 @@ _WRAPPED = f"({_STEP} + pi() - 2 * pi() * floor(({_STEP} + pi()) / (2 * pi())) -
 @query(f"""WITH {t.STATES}, s AS (SELECT *, coalesce({_WRAPPED}, 0.0) AS step FROM states WINDOW w AS {t.BY})
 SELECT scene, agent_id, scene_ts, round(first_value(heading) OVER w + sum(step) OVER (w ROWS UNBOUNDED PRECEDING), 6) AS heading_unwrapped FROM s WINDOW w AS {t.BY}""")
 def heading_unwrap(spark, d):
-    return derive.unwrap(t.states(spark, d)).select(*KEYS, r("heading_unwrapped").alias("heading_unwrapped"))
+    return derive.unwrap(t.states(spark, d), along=("vx", "vy")).select(*KEYS, r("heading_unwrapped").alias("heading_unwrapped"))
 
 
 @query(f"""WITH {t.STATES}, s AS (SELECT *, coalesce(CASE WHEN sqrt(vx * vx + vy * vy) >= 20 THEN {_STEP} END, 0.0) AS step FROM states WINDOW w AS {t.BY})
