@@ -11,11 +11,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.angles import wrap
+from ..functions.angles import in_libm, mean_direction, wrap
 from ..schema import MAP_ELEMENTS
 from ..scratch import discard, written
 from . import nearest, segments
 
+#: Sine and cosine of two directions add up to less than this where a line turns right back.
+BACK = 1e-3
+
 
 def points_of(elements: DataFrame, line: str = "center") -> DataFrame:
     """The points of a polyline column, one row each."""
@@ -118,10 +121,14 @@ def with_headings(points: DataFrame) -> DataFrame:
     """Headings along each element: the first point has that of the segment after it, the last that of the one before, all others the
     circular mean of both. A single point has 0."""
     w = Window.partitionBy("map_id", "elem_id").orderBy("seq")
-    after = F.atan2(F.lead("y").over(w) - F.col("y"), F.lead("x").over(w) - F.col("x"))
-    rows = points.withColumn("_after", after).withColumn("_before", F.lag("_after").over(w))
-    mean = F.atan2(F.sin("_before") + F.sin("_after"), F.cos("_before") + F.cos("_after"))
-    return rows.withColumn("h", F.coalesce(mean, F.col("_after"), F.col("_before"), F.lit(0.0))).drop("_after", "_before")
+    rows = points.withColumns({f"_a{c}": F.lead(c).over(w) - F.col(c) for c in ("x", "y")}).withColumn("_after", F.atan2("_ay", "_ax"))
+    rows = rows.withColumns({f"_b{c}": F.lag(f"_a{c}").over(w) for c in ("x", "y")}).withColumn("_before", F.lag("_after").over(w))
+    sine, cosine = F.sin("_before") + F.sin("_after"), F.cos("_before") + F.cos("_after")
+    # Where a line turns right back, last bits decide the mean.
+    back = (F.abs(sine) < BACK) & (F.abs(cosine) < BACK)
+    rows = rows.withColumns({"_mean": F.atan2(sine, cosine)} | {f"_{k}": F.when(back, F.col(f"_{k}")) for k in ("bx", "by", "ax", "ay")})
+    mean = F.coalesce(in_libm(mean_direction, *(F.col(f"_{k}") for k in ("bx", "by", "ax", "ay"))), F.col("_mean"))
+    return rows.withColumn("h", F.coalesce(mean, F.col("_after"), F.col("_before"), F.lit(0.0))).select(*points.columns, *(["h"] if "h" not in points.columns else []))
 
 
 def ends_of(points: DataFrame) -> DataFrame:

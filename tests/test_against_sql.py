@@ -37,7 +37,7 @@ def differences(spark, d, name):
     return sorted(set(got) - set(want)), sorted(set(want) - set(got)), len(got) - len(want)
 
 
-@pytest.mark.parametrize("name", ["heading_unwrap"])
+@pytest.mark.parametrize("name", ["heading_unwrap", "line_headings"])
 def test_tracks_that_turn_right_back(spark, tmp_path, name):
     """The sign of half a turn, and the mean of two opposite directions, hang on last bits."""
     rng = np.random.default_rng(5)
