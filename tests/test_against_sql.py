@@ -51,3 +51,23 @@ def test_tracks_that_turn_right_back(spark, tmp_path, name):
             xs.append(float(f"{at[0] / 100:.2f}"))
             ys.append(int(at[1]))
     assert differences(spark, save_events(tmp_path, users, xs, ys), name) == ([], [], 0)
+
+
+def test_hull_of_points_in_a_line_but_for_rounding(spark, tmp_path):
+    """Places along the sides of triangles, in decimals: which of them are corners hangs on last bits."""
+    rng = np.random.default_rng(6)
+    users, xs, ys = [], [], []
+    for u in range(300):
+        ends = np.stack((rng.integers(0, 50000, 3), rng.integers(0, 100, 3)), 1)
+        step = rng.integers(-700, 700)
+        inner = [(ends[0, 0] + i * step, ends[0, 1] + i) for i in range(8)] + [tuple(e) for e in ends[1:]] + [tuple(e) for e in rng.integers(0, 100, (5, 2)) * (100, 1)]
+        for a, b in inner:
+            users.append(u)
+            xs.append(float(f"{a / 100:.2f}"))
+            ys.append(int(b))
+    for u in range(300, 304):  # all in a line, level and upright and slanting, and all in one place
+        for i in range(20):
+            users.append(u)
+            xs.append((0.1 * i, 7.3, 0.1 * i, 5.0)[u - 300])
+            ys.append((3, i, 3 * i, 5)[u - 300])
+    assert differences(spark, save_events(tmp_path, users, xs, ys), "hulls") == ([], [], 0)
