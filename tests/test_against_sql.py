@@ -71,3 +71,12 @@ def test_hull_of_points_in_a_line_but_for_rounding(spark, tmp_path):
             xs.append((0.1 * i, 7.3, 0.1 * i, 5.0)[u - 300])
             ys.append((3, i, 3 * i, 5)[u - 300])
     assert differences(spark, save_events(tmp_path, users, xs, ys), "hulls") == ([], [], 0)
+
+
+@pytest.mark.parametrize("name", ["edges_without_duplicates", "edges_clear_of_lanes"])
+def test_items_of_large_orders(spark, tmp_path, name):
+    """Orders from 2 ** 24 on, where ids fit no long: the same edges as under small numbers."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    rows.withColumn("l_orderkey", rows.l_orderkey + 54_000_000).write.parquet(f"{tmp_path}/lineitem.parquet")
+    edges = lambda d: {(e.map_id, int(e.elem_id)) for e in QUERIES[name](spark, d).collect()}
+    assert edges(str(tmp_path)) == {(m, e + (54_000_000 << 39)) for m, e in edges("/root/testdata/sf0.001")}
