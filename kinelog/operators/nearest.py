@@ -20,6 +20,17 @@ from ..scratch import discard, written
 #: those at which far places look for any cell.
 TARGET, LEVELS, WIDER, STEP = 2, 60, 2, 3
 AXES = ("x", "y", "z")
+#: Bits of a cell number in a curve's key.
+BITS = 24
+
+
+def curve_key(cx: Column, cy: Column) -> Column:
+    """The bits of two cell numbers (from 0, under 2 ** BITS) taken in turn: near cells have near keys."""
+    spread = F.lit(0).cast("long")
+    for k in range(BITS):
+        bit = lambda c: F.shiftright(c, k).bitwiseAND(F.lit(1).cast("long"))  # noqa: B023, E731
+        spread = spread.bitwiseOR(F.shiftleft(bit(cx), 2 * k)).bitwiseOR(F.shiftleft(bit(cy), 2 * k + 1))
+    return spread
 
 
 def cell_size(points: DataFrame) -> float:

@@ -2,26 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.maps import found_place, near_points
-from ..operators.nearest import cell_size
+from ..operators.nearest import BITS, cell_size, curve_key
 
-#: Bits of a cell number in the curve's key; points of a file, about; cells along the longest side of a file's bounds in a search.
-BITS, FILE_POINTS, ACROSS = 24, 1_000_000, 16
+#: Points of a file, about; cells along the longest side of a file's bounds in a search.
+FILE_POINTS, ACROSS = 1_000_000, 16
 _AXES = ("x", "y")
 
 
-def curve_key(cx: Column, cy: Column) -> Column:
-    """The bits of two cell numbers (from 0, under 2 ** BITS) taken in turn: near cells have near keys."""
-    spread = F.lit(0).cast("long")
-    for k in range(BITS):
-        bit = lambda c: F.shiftright(c, k).bitwiseAND(F.lit(1).cast("long"))  # noqa: B023, E731
-        spread = spread.bitwiseOR(F.shiftleft(bit(cx), 2 * k)).bitwiseOR(F.shiftleft(bit(cy), 2 * k + 1))
-    return spread
-
-
 def save_points(points: DataFrame, path: str, file_points: int = FILE_POINTS) -> None:
     """``points`` (map_id, elem_id, seq, x, y, z, h) under ``path``/points, cut by map and curve into files of about ``file_points``, and ``path``/bounds with a row a file and map.
 
