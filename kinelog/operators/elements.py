@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.angles import frame_matrix
 from ..schema import AGENT
 from ..spec import QuerySpec
-from .neighbors import radius_of, ranked, within
+from .neighbors import nearest, radius_of, ranked, within
 from .windows import with_windows
 
 STATE = ("x", "y", "vx", "vy", "ax", "ay", "heading")
@@ -58,12 +58,12 @@ def agent_elements(index: DataFrame, states: DataFrame, spec: QuerySpec) -> Data
     )
     if limit is None:
         return own.withColumn("neighbors", F.lit(None))
-    pairs = within(targets, states, limit, "agent_type")
-    if spec.radii:
-        pairs = pairs.filter(F.col("distance") <= radius_of(spec.radii, spec.default_radius, F.col("n_agent_type"), F.col("t_agent_type")))
-    pairs = ranked(pairs)
+    reach = (lambda n, t: radius_of(spec.radii, spec.default_radius, n, t)) if spec.radii else None
     if spec.max_neighbors is not None:
-        pairs = pairs.filter(F.col("rank") <= spec.max_neighbors)
+        pairs = nearest(targets, states, spec.max_neighbors, limit, "agent_type", reach=reach)
+    else:
+        pairs = within(targets, states, limit, "agent_type")
+        pairs = ranked(pairs.filter(F.col("distance") <= reach(F.col("n_agent_type"), F.col("t_agent_type"))) if reach else pairs)
     theirs = full.select("scene", F.col("agent_id").alias("n_agent_id"), "scene_ts", F.col("history").alias("n_history"), F.col("future").alias("n_future"))
     frames = targets.select("scene", F.col("agent_id").alias("t_agent_id"), "scene_ts", frame_of(still).alias("frame"))
     joined = pairs.join(theirs, ["scene", "n_agent_id", "scene_ts"]).join(frames, ["scene", "t_agent_id", "scene_ts"])

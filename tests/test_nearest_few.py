@@ -3,7 +3,10 @@
 import math
 import random
 
-from kinelog.operators import neighbors
+from pyspark.sql import functions as F
+
+from kinelog.operators import elements, neighbors
+from kinelog.spec import QuerySpec
 
 
 def crowd(spark, n, seed, wide=60.0):
@@ -47,3 +50,18 @@ def test_a_crowd_makes_few_pairs(spark):
     """All within the radius of each other: 1,000,000 pairs a moment, of which a few for each are looked at."""
     s = crowd(spark, 2000, 2, 10.0)
     assert neighbors.closest(s, s, 3, 50.0).count() < 40 * 2000
+
+
+def test_elements_with_a_limit_make_no_pairs_within_the_radius(spark, monkeypatch):
+    s = crowd(spark, 300, 3).withColumns({c: F.lit(0.0) for c in ("vx", "vy", "ax", "ay", "heading")})
+    spec = QuerySpec(dt=1.0, history=(0.0, 1.0), future=(0.0, 1.0), default_radius=8.0)
+    ids = lambda e: {(r.agent_id, tuple(r.ids)) for r in e.select("agent_id", F.slice("neighbors.agent_id", 1, 4).alias("ids")).collect()}
+    index = s.select("scene", "agent_id", "scene_ts")
+    whole = ids(elements.agent_elements(index, s, spec))
+
+    def refuse(*_):
+        raise AssertionError("all pairs within the radius")
+
+    monkeypatch.setattr(elements, "within", refuse)
+    spec = QuerySpec(dt=1.0, history=(0.0, 1.0), future=(0.0, 1.0), default_radius=8.0, max_neighbors=4)
+    assert ids(elements.agent_elements(index, s, spec)) == whole
