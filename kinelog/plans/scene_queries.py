@@ -293,8 +293,8 @@ def map_roundtrip(spark, d):
 def stored_near(spark, d):
     path = new_path(spark)
     spatial.save_points(map_points(spark, d), path, file_points=2000)
-    pairs = spatial.stored_within(spark, path, map_places(spark, d), 0.4)
-    return pairs.groupBy("place_id", "elem_id").agg(F.count("*").alias("n"), r(F.min("distance")).alias("distance"))
+    places = map_places(spark, d)
+    return maps.lanes_counted(places, spatial.points_near(spark, path, places, 0.4), 0.4).withColumn("distance", r("distance"))
 
 
 @query(_I + " SELECT scene, agent_id, scene_ts FROM i")

@@ -61,7 +61,7 @@ def test_equal_to_all_pairs(spark, radius):
         assert [k for k, _, _ in sorted(rows)] == list(range(1, len(rows) + 1)) and [c for _, c, _ in sorted(rows)] == sorted(c for _, c, _ in rows)
 
 
-@pytest.mark.parametrize("name", ["current_lane", "lanes_within_all", "map_long_table", "current_lane_all", "lanes_within"])
+@pytest.mark.parametrize("name", ["current_lane", "lanes_within_all", "map_long_table", "current_lane_all", "lanes_within", "stored_near"])
 def test_no_pairs_are_dealt_out(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().sparkPlan().toString()
     above, below = plan.split("MapInArrow", 1)
